@@ -22,7 +22,7 @@ from .licences import words
 
 #: Labelled texts fitted on at most, words of the vocabulary at most, least document frequency of a word, and the least
 #: log odds of its toxic share in standard errors (rarer or weaker words would only memorise the sample).
-SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_ERRORS = 12_000, 4_096, 6, 3.5
+SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_ERRORS = 8_000, 4_096, 6, 3.5
 #: Least lower bound of the log odds of a word's toxic share for it to count towards a grade; grades' least counts.
 SINGLED_OUT, GRADES = 2.0, (0, 2, 4)
 #: A text is rejected when toxicity of any grade is likelier than not.
@@ -45,13 +45,13 @@ class Ordinal:
 
 def fit(texts: list[bytes | None], toxic: list[int], steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Ordinal:
     """Maximum likelihood by Adam, full batches over a sparse matrix in coordinate form, from zero: deterministic."""
-    counts = [Counter(words(x)) for x in texts]
     label = np.asarray(toxic, int)
     seen, hit = Counter(), Counter()
-    for c, y in zip(counts, label):
-        seen.update(c.keys())
+    for x, y in zip(texts, label):
+        own = set(words(x))
+        seen.update(own)
         if y:
-            hit.update(c.keys())
+            hit.update(own)
     n1 = max(1, int(label.sum()))
     n0 = max(1, len(label) - n1)
     if not label.any() or label.all():
@@ -62,12 +62,15 @@ def fit(texts: list[bytes | None], toxic: list[int], steps: int = 400, rate: flo
         return np.log(a / n1) - np.log(b / n0), np.sqrt(1 / a + 1 / b)
 
     rated = {w: odds(w) for w, n in seen.items() if n >= LEAST_TEXTS}
+    seen.clear()
+    hit.clear()
     # at least one word, so that the arrays below are never empty
     chosen = sorted((w for w, (o, e) in rated.items() if abs(o) >= LEAST_ERRORS * e), key=lambda w: (-abs(rated[w][0]) / rated[w][1], w))[:VOCABULARY] or [b""]
+    number = {w: i for i, w in enumerate(chosen)}
+    counts = [Counter(w for w in words(x) if w in number) for x in texts]
     marked = {w for w in chosen if w in rated and rated[w][0] - rated[w][1] >= SINGLED_OUT}
     grade = np.array([sum(sum(n for w, n in c.items() if w in marked) >= g for g in GRADES) if y else 0 for c, y in zip(counts, label)])
-    number = {w: i for i, w in enumerate(chosen)}
-    cells = [(r, number[w], np.log1p(n)) for r, c in enumerate(counts) for w, n in c.items() if w in number]
+    cells = [(r, number[w], np.log1p(n)) for r, c in enumerate(counts) for w, n in c.items()]
     row, col, val = (np.array(x) for x in (zip(*cells) if cells else ((0,), (0,), (0.0,))))
     K = len(GRADES)
     # theta_0 and the logs of the gaps, so that thresholds stay in order
