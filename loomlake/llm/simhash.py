@@ -233,7 +233,8 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
     # Copies share one fingerprint, so the first pass leaves one row a fingerprint, with the number of rows like it.
     same = docs.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct(rank.alias("rank"), F.col("n"))).alias("first"))
     winners = written(same.join(roots, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rank.key", "first.n"), "winners")
-    kept = held.join(winners, "key", "left_semi").select("row", "key")
+    # The winners grow with the input, so they are never broadcast: a merge join at every size.
+    kept = held.join(winners.hint("merge"), "key", "left_semi").select("row", "key")
     again = winners.filter("n > 1").select("key")
     if not again.isEmpty():
         single = kept.join(again, "key", "left_anti")
