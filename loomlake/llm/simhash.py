@@ -4,8 +4,8 @@ A fingerprint emits all its variants within half the radius; two fingerprints wi
 variant table would be thousands of times the fingerprints, so variants are shuffled by a prefix of theirs, unmade: a
 fingerprint is sent once to each prefix that its variants can have, and the task of that prefix makes the variants that
 have it, in numpy, part by part where they are many. The prefix bits are the most evenly split ones, so that clusters
-of close fingerprints part. Fingerprints that share a variant are linked to the least of them and to the next one, not
-all to all; each link is verified. Components follow from the links, in Spark.
+of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
+within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
 
 Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ._common import mapped, ship, written
 from .components import components
 
-#: Variants made at once in a task; fewest prefix bits and most.
-AT_ONCE, LEAST_BITS, MOST_BITS = 4_000_000, 8, 16
+#: Variants made at once in a task; fewest prefix bits and most; owners of a variant that are few.
+AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 16, 4
 #: The wide form: 32 blocks of 32 bits, linked in a block at 2 differing bits, verified at this many of 1024.
 #: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11.
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 160
@@ -90,7 +90,7 @@ def _compact(values: np.ndarray, positions: list[int]) -> np.ndarray:
 
 
 def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: list[int], flips: int) -> list[np.ndarray]:
-    """Pairs (least owner and other, and neighbours) of the owners that share a variant.
+    """Pairs (hub and other, few neighbours) of the owners that share a variant.
 
     values: with the prefix already turned; spent: flips used for that; free: positions that may still turn."""
     work = sum(int((spent == s).sum()) * len(_masks(free, flips - s)) for s in range(flips + 1)) if len(values) * len(free) ** flips > AT_ONCE else 0
@@ -121,12 +121,17 @@ def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: lis
     i = np.minimum(np.searchsorted(shared, made), len(shared) - 1)
     hit = shared[i] == made
     i, who = i[hit], owner[who[hit]]
-    order = np.lexsort((who, i))
+    # The hub of a variant's owners is the one that meets most others over all its variants: in a cluster of copies, the
+    # text they were made from. All are linked to it; in small sets, neighbours too.
+    met = np.bincount(i, minlength=len(shared))
+    reach = np.bincount(who, weights=met[i], minlength=int(who.max()) + 1)
+    order = np.lexsort((who, -reach[who], i))
     i, who = i[order], who[order]
     first = np.concatenate(([True], i[1:] != i[:-1]))
-    least = who[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
-    pairs = np.concatenate((np.stack((least[~first], who[~first]), 1), np.stack((who[:-1][~first[1:]], who[1:][~first[1:]]), 1)))
-    return [np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)]
+    hub = who[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
+    beside = ~first[1:] & (met[i[1:]] <= FEW)
+    pairs = np.concatenate((np.stack((hub[~first], who[~first]), 1), np.stack((who[:-1][beside], who[1:][beside]), 1)))
+    return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
 
 
 def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True) -> DataFrame:
