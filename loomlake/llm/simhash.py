@@ -7,7 +7,8 @@ have it, in numpy, part by part where they are many. The prefix bits are the mos
 of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
 within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
 
-Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits.
+Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits. The
+blocks are taken in a few rounds; a round makes no candidates of nodes that the rounds before it have connected.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 16, 4
 #: The wide form: 32 blocks of 32 bits, linked in a block at 2 differing bits, verified at this many of 1024.
 #: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11.
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 160
+#: The blocks of each round.
+ROUNDS = [range(4), range(4, BLOCKS)]
 
 _ODD = (np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -134,12 +137,14 @@ def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: lis
     return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
 
 
-def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True) -> DataFrame:
+def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True, part: range | None = None) -> DataFrame:
     """nodes (node long, value binary of ``blocks`` little-endian words of ``bits``, all distinct) -> links (a, b).
 
     With one block, any two nodes within ``radius`` differing bits are joined by links of that kind. With several, two
-    nodes within ``radius`` in any block are joined by links, as candidates. nodes is read twice: pass a written table."""
+    nodes within ``radius`` in any block (any of ``part``, if given) are joined by links, as candidates. Where nodes has a
+    column root, nodes of one root are known to be connected and get no link. nodes is read twice: pass a written table."""
     ship(nodes.sparkSession)
+    part, carried = part or range(blocks), ["node", "root"] if "root" in nodes.columns else ["node"]
     flips, word = radius // 2, np.dtype(f"<u{bits // 8}")
     n = max(1, nodes.count())
     a_node = len(_masks(list(range(bits)), flips))
@@ -158,23 +163,27 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
     def route(batches):
         for b in batches:
             v = np.frombuffer(b"".join(b.column("value").to_pylist()), word).reshape(b.num_rows, blocks).astype(np.uint64)
-            node = b.column("node").to_numpy()
-            for j in range(blocks):
+            held = [np.repeat(b.column(c).to_numpy(), len(turns)) for c in carried]
+            for j in part:
                 to = (_compact(v[:, j], prefix[j])[:, None] ^ turns).ravel() + (j << k)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.repeat(v[:, j].view(np.int64), len(turns))), pa.array(np.repeat(node, len(turns)))], ["at", "v", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.repeat(v[:, j].view(np.int64), len(turns))), *map(pa.array, held)], ["at", "v", *carried])
 
     def meet(key, held):
         j, bucket = key[0].as_py() >> k, key[0].as_py() & ((1 << k) - 1)
         v, node = held.column("v").to_numpy().view(np.uint64), held.column("node").to_numpy()
+        root = held.column(carried[-1]).to_numpy()
+        if (root == root[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         off = np.bitwise_count((_compact(v, prefix[j]) ^ bucket).astype(np.uint64)).astype(np.int8)
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *_collide(v & ~np.uint64(sum(1 << p for p in prefix[j])), off, np.arange(len(v)), free[j], flips)])
         if len(pairs):
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
             if verify:
                 pairs = pairs[np.bitwise_count(v[pairs[:, 0]] ^ v[pairs[:, 1]]) <= radius]
         return pa.table({"a": pa.array(node[pairs[:, 0]], pa.int64()), "b": pa.array(node[pairs[:, 1]], pa.int64())})
 
-    return mapped(nodes.select("node", "value"), route, "at long, v long, node long").groupBy("at").applyInArrow(meet, "a long, b long")
+    return mapped(nodes.select(*carried, "value"), route, "at long, v long, " + ", ".join(f"{c} long" for c in carried)).groupBy("at").applyInArrow(meet, "a long, b long")
 
 
 def fingerprints(documents: DataFrame, size: int, wide: bool = False, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -223,7 +232,6 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
     held = documents.select(F.struct(*documents.columns).alias("row"), key.alias("key"), F.col("doc_id"), F.col(text).alias("t"))
     docs = written(fingerprints(held, size, wide=True, text="t", carry=["doc_id", "key"]), "wide")
     nodes = written(docs.groupBy("node").agg(F.first("value").alias("value")), "nodes")
-    found = written(ball_links(nodes, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False).distinct(), "candidates")
     one, other = nodes.select(F.col("node").alias("a"), F.col("value").alias("x")), nodes.select(F.col("node").alias("b"), F.col("value").alias("y"))
 
     def near(batches):
@@ -232,8 +240,15 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
             good = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= WIDE_DISTANCE
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    links = mapped(found.join(one, "a").join(other, "b").select("a", "b", "x", "y"), near, "a long, b long")
-    roots = _roots(nodes, links)
+    at, roots = nodes, None
+    for part in ROUNDS:
+        if roots is not None:
+            at = written(nodes.join(roots, "node"), "rooted")
+        found = written(ball_links(at, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False, part=part).distinct(), "candidates")
+        links = mapped(found.join(one, "a").join(other, "b").select("a", "b", "x", "y"), near, "a long, b long")
+        if roots is not None:
+            links = links.union(roots.filter("node <> root").select("node", "root"))
+        roots = written(_roots(nodes, links), "roots")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     # Copies share one fingerprint, so the first pass leaves one row a fingerprint, with the number of rows like it.
     same = docs.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct(rank.alias("rank"), F.col("n"))).alias("first"))

@@ -181,6 +181,24 @@ def test_ball_links_are_complete(spark, at_once, monkeypatch):
         assert got.get(signed(a), signed(a)) == min(map(signed, group))
 
 
+def test_contraction_keeps_components(spark):
+    random = np.random.default_rng(2)
+    a, b = random.integers(0, 400, (2, 300))
+    node, root = components.contracted(a, b)
+    assert len(set(node.tolist())) == len(node) and (node > root).all()
+    whole = {r.node: r.root for r in components.components(spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")).collect()}
+    assert whole == dict(zip(node.tolist(), root.tolist())) | {r: r for r in root.tolist()}
+    assert [len(x) for x in components.contracted(a[:0], b[:0])] == [0, 0]
+
+
+def test_connected_nodes_get_no_candidates(spark):
+    values = [0, 1, 3, 1 << 40, (1 << 40) + 1]
+    rows = [(i, bytearray(v.to_bytes(8, "little")), 0 if i < 2 else i) for i, v in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "node long, value binary, root long")
+    links = {(r.a, r.b) for r in simhash.ball_links(nodes, 64, 2).collect()}
+    assert (0, 1) not in links and (3, 4) in links and links & {(0, 2), (1, 2)}
+
+
 def test_keep_first(spark):
     words = [f"w{i}" for i in range(400)]
     near = words[:]
