@@ -170,6 +170,7 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
 
     def meet(key, held):
         j, bucket = key[0].as_py() >> k, key[0].as_py() & ((1 << k) - 1)
+        held = held.sort_by("node")  # hubs go by this order, so the links do not hang on how rows arrive
         v, node = held.column("v").to_numpy().view(np.uint64), held.column("node").to_numpy()
         root = held.column(carried[-1]).to_numpy()
         if (root == root[0]).all():
