@@ -7,8 +7,12 @@ have it, in numpy, part by part where they are many. The prefix bits are the mos
 of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
 within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
 
-Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits. The
-blocks are taken in a few rounds; a round makes no candidates of nodes that the rounds before it have connected.
+Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits. Owners
+of one block's variant need not be near on all bits, so links to hubs alone would lose pairs there. The blocks are taken
+in a few rounds; a round makes no candidates of nodes that the rounds before it have connected. The first rounds link to
+hubs, which connects most of what is near. The last takes all blocks again, and compares each owner of a variant with
+every other that is not connected with it: one by one, or, where the pairs of a variant are too many for one task, in
+blocks of owners dealt over tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +31,13 @@ from .components import components
 
 #: Variants made at once in a task; fewest prefix bits and most; owners of a variant that are few.
 AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 16, 4
+#: Pairs of a variant that one task lists at most; owners in a block of a larger variant.
+LISTED, SALTED = 1_000_000, 512
 #: The wide form: 32 blocks of 32 bits, linked in a block at 2 differing bits, verified at this many of 1024.
 #: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11.
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 160
-#: The blocks of each round.
-ROUNDS = [range(4), range(4, BLOCKS)]
+#: The blocks of each round, and whether owners go to hubs only.
+ROUNDS = [(range(4), True), (range(4, BLOCKS), True), (range(BLOCKS), False)]
 
 _ODD = (np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -92,8 +99,66 @@ def _compact(values: np.ndarray, positions: list[int]) -> np.ndarray:
     return out
 
 
-def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: list[int], flips: int) -> list[np.ndarray]:
-    """Pairs (hub and other, few neighbours) of the owners that share a variant.
+def _to_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
+    """Pairs of the owners (who) of each variant (i): hub and other, neighbours where they are few.
+
+    The hub of a variant's owners is the one that meets most others over all its variants: in a cluster of copies, the
+    text they were made from."""
+    met = np.bincount(i)
+    reach = np.bincount(who, weights=met[i], minlength=int(who.max()) + 1)
+    order = np.lexsort((who, -reach[who], i))
+    i, who = i[order], who[order]
+    first = np.concatenate(([True], i[1:] != i[:-1]))
+    hub = who[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
+    beside = ~first[1:] & (met[i[1:]] <= FEW)
+    pairs = np.concatenate((np.stack((hub[~first], who[~first]), 1), np.stack((who[:-1][beside], who[1:][beside]), 1)))
+    return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
+
+
+class _Across:
+    """All pairs of the owners of each variant whose roots differ; ``large``: sets of owners that have too many pairs."""
+
+    def __init__(self, root: np.ndarray):
+        self.root, self.large, self.seen = np.unique(root, return_inverse=True)[1], {}, set()
+
+    def __call__(self, i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((who, self.root[who], i))
+        i, who = i[order], who[order]
+        root, begin = self.root[who], np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        end = np.append(begin[1:], len(i))
+        mixed = root[begin] != root[end - 1]
+        small = mixed & (end - begin <= 16)
+        out = []
+        for a, b in zip(begin[mixed & ~small].tolist(), end[mixed & ~small].tolist()):
+            name = xxhash.xxh3_128_digest(np.sort(who[a:b]).tobytes())
+            if name in self.seen:  # neighbouring variants have the same owners
+                continue
+            self.seen.add(name)
+            cut = np.append(np.flatnonzero(np.diff(root[a:b], prepend=-1)), b - a)  # where the roots of the set begin
+            if ((b - a) ** 2 - int((np.diff(cut) ** 2).sum())) // 2 > LISTED:
+                self.large[name] = who[a:b]
+                continue
+            rest = (b - a) - np.repeat(cut[1:], np.diff(cut))  # owners after those of one's root
+            left = np.repeat(np.arange(a, b), rest)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest) + np.repeat(b - rest, rest)
+            out = self._add(out, who[left], who[right])
+        held = np.repeat(small, end - begin)
+        i, who = i[held], who[held]
+        for step in range(1, 16):
+            at = np.flatnonzero(i[step:] == i[:-step]) if len(i) > step else []
+            if not len(at):
+                break
+            apart = at[self.root[who[at]] != self.root[who[at + step]]]
+            out = self._add(out, who[apart], who[apart + step])
+        return out
+
+    def _add(self, out: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        out = [*out, np.stack((np.minimum(a, b), np.maximum(a, b)), 1)]
+        return [np.unique(np.concatenate(out), axis=0)] if sum(map(len, out)) > 2 * max(LISTED, len(out[0])) else out
+
+
+def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: list[int], flips: int, paired=_to_hub) -> list[np.ndarray]:
+    """Pairs, as ``paired`` makes them, of the owners that share a variant.
 
     values: with the prefix already turned; spent: flips used for that; free: positions that may still turn."""
     work = sum(int((spent == s).sum()) * len(_masks(free, flips - s)) for s in range(flips + 1)) if len(values) * len(free) ** flips > AT_ONCE else 0
@@ -105,7 +170,7 @@ def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: lis
             able = cost <= flips
             if able.sum() > 1:
                 clear = values[able] & ~np.uint64(sum(1 << p for p in cut))
-                out += _collide(clear, cost[able], owner[able], rest, flips)
+                out += _collide(clear, cost[able], owner[able], rest, flips, paired)
         return out
     made, who = [], []
     for s in range(flips + 1):
@@ -123,26 +188,19 @@ def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: lis
         return []
     i = np.minimum(np.searchsorted(shared, made), len(shared) - 1)
     hit = shared[i] == made
-    i, who = i[hit], owner[who[hit]]
-    # The hub of a variant's owners is the one that meets most others over all its variants: in a cluster of copies, the
-    # text they were made from. All are linked to it; in small sets, neighbours too.
-    met = np.bincount(i, minlength=len(shared))
-    reach = np.bincount(who, weights=met[i], minlength=int(who.max()) + 1)
-    order = np.lexsort((who, -reach[who], i))
-    i, who = i[order], who[order]
-    first = np.concatenate(([True], i[1:] != i[:-1]))
-    hub = who[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
-    beside = ~first[1:] & (met[i[1:]] <= FEW)
-    pairs = np.concatenate((np.stack((hub[~first], who[~first]), 1), np.stack((who[:-1][beside], who[1:][beside]), 1)))
-    return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
+    return paired(i[hit], owner[who[hit]])
 
 
-def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True, part: range | None = None) -> DataFrame:
+def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True, part: range | None = None, hubs: bool = True) -> DataFrame:
     """nodes (node long, value binary of ``blocks`` little-endian words of ``bits``, all distinct) -> links (a, b).
 
     With one block, any two nodes within ``radius`` differing bits are joined by links of that kind. With several, two
     nodes within ``radius`` in any block (any of ``part``, if given) are joined by links, as candidates. Where nodes has a
-    column root, nodes of one root are known to be connected and get no link. nodes is read twice: pass a written table."""
+    column root, nodes of one root are known to be connected and get no link. nodes is read twice: pass a written table.
+
+    Unless ``hubs``, every two nodes that are within ``radius`` in a block and not known to be connected get a link
+    themselves. Rows of variants with too many pairs have a set of nodes (its name, by twos) and a place in it instead:
+    (a, null, set, other, place, size); see salted()."""
     ship(nodes.sparkSession)
     part, carried = part or range(blocks), ["node", "root"] if "root" in nodes.columns else ["node"]
     flips, word = radius // 2, np.dtype(f"<u{bits // 8}")
@@ -168,23 +226,59 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
                 to = (_compact(v[:, j], prefix[j])[:, None] ^ turns).ravel() + (j << k)
                 yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.repeat(v[:, j].view(np.int64), len(turns))), *map(pa.array, held)], ["at", "v", *carried])
 
+    kind = "a long, b long" if hubs else "a long, b long, set long, other long, place long, size long"
+
     def meet(key, held):
         j, bucket = key[0].as_py() >> k, key[0].as_py() & ((1 << k) - 1)
         held = held.sort_by("node")  # hubs go by this order, so the links do not hang on how rows arrive
         v, node = held.column("v").to_numpy().view(np.uint64), held.column("node").to_numpy()
         root = held.column(carried[-1]).to_numpy()
         if (root == root[0]).all():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in kind.split(", ")})
+        paired = _to_hub if hubs else _Across(root)
         off = np.bitwise_count((_compact(v, prefix[j]) ^ bucket).astype(np.uint64)).astype(np.int8)
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *_collide(v & ~np.uint64(sum(1 << p for p in prefix[j])), off, np.arange(len(v)), free[j], flips)])
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *_collide(v & ~np.uint64(sum(1 << p for p in prefix[j])), off, np.arange(len(v)), free[j], flips, paired)])
         if len(pairs):
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
             if verify:
                 pairs = pairs[np.bitwise_count(v[pairs[:, 0]] ^ v[pairs[:, 1]]) <= radius]
-        return pa.table({"a": pa.array(node[pairs[:, 0]], pa.int64()), "b": pa.array(node[pairs[:, 1]], pa.int64())})
+        if hubs:
+            return pa.table({"a": pa.array(node[pairs[:, 0]], pa.int64()), "b": pa.array(node[pairs[:, 1]], pa.int64())})
+        rows = [(node[pairs[:, 0]], node[pairs[:, 1]], *[np.zeros(len(pairs), np.int64)] * 4)]
+        for who in paired.large.values():
+            own = np.sort(node[who])
+            name = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
+            rows.append((own, np.zeros(len(own), np.int64), np.full(len(own), name[0]), np.full(len(own), name[1]), np.arange(len(own)), np.full(len(own), len(own))))
+        cols = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows)]
+        cols[1] = pc.if_else(pc.equal(cols[5], 0), cols[1], pa.scalar(None, pa.int64()))
+        return pa.table(dict(zip(["a", "b", "set", "other", "place", "size"], cols)))
+
+    return mapped(nodes.select(*carried, "value"), route, "at long, v long, " + ", ".join(f"{c} long" for c in carried)).groupBy("at").applyInArrow(meet, kind)
+
+
+def salted(sets: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of the nodes of each set that are within ``distance`` on all bits and not of one root.
+
+    sets (a, set, other, place, size); nodes (node, value, root). A set is cut into blocks of its nodes, and each two
+    blocks meet in a task of their own."""
+    block, blocks = F.floor(F.col("place") / SALTED), F.floor((F.col("size") - 1) / SALTED) + 1
+    cells = sets.select(F.col("a").alias("node"), "set", "other", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
+    cells = cells.join(nodes.select("node", "value", "root"), "node").select("node", "value", "root", "set", "other", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
+
+    def meet(key, held):
+        own, first = held.column("own").to_numpy(), key[2].as_py()
+        value = np.frombuffer(b"".join(held.column("value").to_pylist()), np.uint64).reshape(len(own), -1)
+        node, root = held.column("node").to_numpy(), held.column("root").to_numpy()
+        left, right = np.flatnonzero(own == first), np.arange(len(own)) if key[2] == key[3] else np.flatnonzero(own != first)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in left:
+            near = right[(root[right] != root[x]) & (np.bitwise_count(value[right] ^ value[x]).sum(1, dtype=np.int64) <= distance)]
+            a.append(np.full(len(near), node[x]))
+            b.append(node[near])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return mapped(nodes.select(*carried, "value"), route, "at long, v long, " + ", ".join(f"{c} long" for c in carried)).groupBy("at").applyInArrow(meet, "a long, b long")
+    return cells.groupBy("set", "other", "one", "two").applyInArrow(meet, "a long, b long")
 
 
 def fingerprints(documents: DataFrame, size: int, wide: bool = False, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -242,11 +336,14 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good))
 
     at, roots = nodes, None
-    for part in ROUNDS:
+    for part, hubs in ROUNDS:
         if roots is not None:
             at = written(nodes.join(roots, "node"), "rooted")
-        found = written(ball_links(at, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False, part=part).distinct(), "candidates")
-        links = mapped(found.join(one, "a").join(other, "b").select("a", "b", "x", "y"), near, "a long, b long")
+        found = written(ball_links(at, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False, part=part, hubs=hubs).distinct(), "candidates")
+        links = mapped(found.filter("b IS NOT NULL").join(one, "a").join(other, "b").select("a", "b", "x", "y"), near, "a long, b long")
+        if not hubs:
+            sets = found.filter("b IS NULL")
+            links = links if sets.isEmpty() else links.union(salted(sets, at, WIDE_DISTANCE))
         if roots is not None:
             links = links.union(roots.filter("node <> root").select("node", "root"))
         roots = written(_roots(nodes, links), "roots")

@@ -209,6 +209,26 @@ def test_keep_first(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7]
 
 
+@pytest.mark.parametrize("listed", [1_000_000, 50])
+def test_owners_that_no_hub_link_connects_are_compared(spark, listed, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # Forty texts, near by twos, whose fingerprints are alike in block 0: most hub links there fail on all bits, and a
+    # text and its partner differ in three bits of every other block, so block 0 alone can link them.
+    monkeypatch.setattr(simhash, "LISTED", listed, raising=False)
+    monkeypatch.setattr(simhash, "SALTED", 7, raising=False)
+    one = np.random.default_rng(3).integers(0, 1 << 32, (20, 32), dtype=np.uint64).astype("<u4")
+    one[:, 0] = 12345
+    two = one.copy()
+    two[:, 1:] ^= np.uint32(7 << 9)
+    values = F.array(*[F.lit(bytearray(w.tobytes())) for w in np.concatenate((one, two))])
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **b: docs.select("doc_id", "key", F.get(values, F.col("doc_id").cast("int")).alias("value")).withColumn("node", F.xxhash64("value")))
+    texts = [[f"w{i}x{j}" for j in range(100)] for i in range(20)]
+    texts += [[*t[:50], "changed", *t[51:]] for t in texts]
+    kept = simhash.keep_first(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+
+
 def test_quality(docs, empty):
     def brute(t):
         t = t or ""
