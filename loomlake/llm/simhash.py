@@ -7,8 +7,8 @@ have it, in numpy, part by part where they are many. The prefix bits are the mos
 of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
 within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
 
-Wide fingerprints (several blocks, for a similarity of 0.8) find candidates in any block and verify on all bits. Owners
-of one block's variant need not be near on all bits, so links to hubs alone would lose pairs there. The blocks are taken
+Wide fingerprints (several blocks) find candidates in any block; a loose bound on all bits clears chance collisions out,
+and what is left is linked if the Jaccard similarity of the shingle sets themselves is 0.8 or more. Owners of one block's variant need not be near on all bits, so links to hubs alone would lose pairs there. The blocks are taken
 in a few rounds; a round makes no candidates of nodes that the rounds before it have connected. The first rounds link to
 hubs, which connects most of what is near. The last takes all blocks again, and compares each owner of a variant with
 every other that is not connected with it: one by one, or, where the pairs of a variant are too many for one task, in
@@ -33,9 +33,12 @@ from .components import components
 AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 16, 4
 #: Pairs of a variant that one task lists at most; owners in a block of a larger variant.
 LISTED, SALTED = 1_000_000, 512
-#: The wide form: 32 blocks of 32 bits, linked in a block at 2 differing bits, verified at this many of 1024.
-#: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11.
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 160
+#: The wide form: 32 blocks of 32 bits, candidates in a block at 2 differing bits, dropped beyond this many of 1024.
+#: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11 (192
+#: and 13 for sets of four and five, the worst case); unrelated sets differ in 512, with a deviation of 16.
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 272
+#: Bits of the map of the texts whose shingle sets are wanted: of one size at every size of the input.
+MAP_BITS = 1 << 23
 #: The blocks of each round, and whether owners go to hubs only.
 ROUNDS = [(range(4), True), (range(4, BLOCKS), True), (range(BLOCKS), False)]
 
@@ -71,7 +74,10 @@ def fingerprint(text: bytes | None, size: int) -> int:
 
 def wide_fingerprint(text: bytes | None, size: int) -> bytes:
     """1024 bits over the set of shingles: each hash is mixed into sixteen words."""
-    hashes = np.unique(shingle_hashes(text, size))
+    return wide_value(np.unique(shingle_hashes(text, size)))
+
+
+def wide_value(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(128)
     total = np.zeros(1024, np.int64)
@@ -283,14 +289,18 @@ def salted(sets: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
 
 def fingerprints(documents: DataFrame, size: int, wide: bool = False, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (doc_id), ``value``, the fingerprint's bytes (words little-endian), and ``node``, 64 bits that
-    stand for it (the fingerprint itself, or the hash of a wide one), of every row."""
+    stand for it (the fingerprint itself) or, in the wide form, for the set of shingles, of every row."""
     carry = carry or ["doc_id"]
 
     def run(batches):
         for b in batches:
             texts = b.column("__text").to_pylist()
-            value = [wide_fingerprint(x, size) if wide else fingerprint(x, size).to_bytes(8, "little") for x in texts]
-            node = np.frombuffer(b"".join(xxhash.xxh64_digest(v) if wide else v for v in value), "<i8")
+            if wide:
+                sets = [np.unique(shingle_hashes(x, size)) for x in texts]
+                value, names = [wide_value(x) for x in sets], [xxhash.xxh64_digest(x.tobytes()) for x in sets]
+            else:
+                value = names = [fingerprint(x, size).to_bytes(8, "little") for x in texts]
+            node = np.frombuffer(b"".join(names), "<i8")
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(value, pa.binary()), pa.array(node)], [*carry, "value", "node"])
 
     kept = documents.select(*carry, F.col(text).cast("binary").alias("__text"))
@@ -318,32 +328,64 @@ def simhash_components(documents: DataFrame, size: int = 4, radius: int = 4, tex
     return docs.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(held: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """(key, set array<long>, the distinct hashes of the shingles) of the rows of held (key, t) whose key is in keys.
+
+    A bit map of the keys, of a fixed size, keeps most other texts from being read; the join drops the rest."""
+    at = F.pmod("key", F.lit(MAP_BITS))
+    words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+
+    def run(batches):
+        for b in batches:
+            key = b.column("key").to_numpy()
+            where = key % MAP_BITS
+            b = b.filter(pa.array((bits[where >> 5] >> (where & 31).astype(np.uint32) & 1).astype(bool)))
+            texts = b.column("t")
+            for start in range(0, b.num_rows, 256):
+                sets = [np.unique(shingle_hashes(x, size)).view(np.int64) for x in texts.slice(start, 256).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(start, 256), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["key", "set"])
+
+    found = mapped(held.select("key", F.col("t").cast("binary").alias("t")), run, "key long, set array<long>")
+    return found.join(keys.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("set").alias("set"))
+
+
 def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least doc_id.
 
-    Rows are compared by wide fingerprints. Columns are those of documents. Of rows alike in doc_id and text one stays;
+    Wide fingerprints find the rows to compare, and the sets of their shingles are compared. Columns are those of documents. Of rows alike in doc_id and text one stays;
     rows with null doc_id come after others; null and blank texts are one group."""
     spark, key = documents.sparkSession, F.xxhash64(F.lit(1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     held = documents.select(F.struct(*documents.columns).alias("row"), key.alias("key"), F.col("doc_id"), F.col(text).alias("t"))
     docs = written(fingerprints(held, size, wide=True, text="t", carry=["doc_id", "key"]), "wide")
-    nodes = written(docs.groupBy("node").agg(F.first("value").alias("value")), "nodes")
-    one, other = nodes.select(F.col("node").alias("a"), F.col("value").alias("x")), nodes.select(F.col("node").alias("b"), F.col("value").alias("y"))
+    nodes = written(docs.groupBy("node").agg(F.first("value").alias("value"), F.min("key").alias("key")), "nodes")
+    one, other = (nodes.select(F.col("node").alias(n), F.col("value").alias(v), F.col("key").alias(k)) for n, v, k in ("axk", "byl"))
 
     def near(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in "xy")
             good = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= WIDE_DISTANCE
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in "abkl"], [*"abkl"]).filter(pa.array(good))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sets = written(shingle_sets(held, pairs.select(F.col("k").alias("key")).union(pairs.select("l")), size), "sets")
+        both = pairs.join(sets.select(F.col("key").alias("k"), F.col("set").alias("x")).hint("merge"), "k").join(sets.select(F.col("key").alias("l"), F.col("set").alias("y")).hint("merge"), "l")
+        # In whole numbers, shared / (x + y - shared) >= 4 / 5.
+        return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
     at, roots = nodes, None
     for part, hubs in ROUNDS:
         if roots is not None:
             at = written(nodes.join(roots, "node"), "rooted")
         found = written(ball_links(at, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False, part=part, hubs=hubs).distinct(), "candidates")
-        links = mapped(found.filter("b IS NOT NULL").join(one, "a").join(other, "b").select("a", "b", "x", "y"), near, "a long, b long")
+        pairs = found.filter("b IS NOT NULL").select("a", "b")
         if not hubs:
             sets = found.filter("b IS NULL")
-            links = links if sets.isEmpty() else links.union(salted(sets, at, WIDE_DISTANCE))
+            pairs = pairs if sets.isEmpty() else pairs.union(salted(sets, at, WIDE_DISTANCE)).distinct()
+        pairs = written(mapped(pairs.join(one, "a").join(other, "b").select(*"abklxy"), near, "a long, b long, k long, l long"), "pairs")
+        links = alike(pairs)
         if roots is not None:
             links = links.union(roots.filter("node <> root").select("node", "root"))
         roots = written(_roots(nodes, links), "roots")

@@ -229,6 +229,21 @@ def test_owners_that_no_hub_link_connects_are_compared(spark, listed, monkeypatc
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
 
 
+def test_keep_first_decides_by_jaccard(spark):
+    # Pairs of a text and the same with words added, at similarities from 0.75 to 0.9.
+    texts = {}
+    for m in range(11, 34):
+        for trial in range(4):
+            base = [f"w{m}x{trial}x{j}" for j in range(104)]
+            texts[len(texts)] = base
+            texts[len(texts)] = [*base, *[f"a{m}x{trial}x{j}" for j in range(m)]]
+    shingles = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in texts.items()}
+    near = {i + 1 for i in range(0, len(texts), 2) if 5 * len(shingles[i] & shingles[i + 1]) >= 4 * len(shingles[i] | shingles[i + 1])}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    gone = set(texts) - kept
+    assert gone <= near and len(gone) >= 0.97 * len(near)  # candidates are found with a probability of 0.98 at 0.8, more above
+
+
 def test_quality(docs, empty):
     def brute(t):
         t = t or ""
