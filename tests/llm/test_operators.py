@@ -328,17 +328,65 @@ def test_lm_windows_and_gradients():
     model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
     random = np.random.default_rng(0)
     ids, target = random.integers(0, 50, (4, lm.WINDOW)), random.integers(0, 3, (4, lm.WINDOW))
-    loss = lambda: -model.forward(ids)[0][np.arange(target.size), target.ravel()].mean()
-    grads = model.backward(ids, target)
+    real = np.ones((4, lm.WINDOW))
+    real[0, :5] = 0
+    loss = lambda: -(model.forward(ids)[0][np.arange(target.size), target.ravel()] * real.ravel()).sum() / real.sum()
+    met, grads = model.backward(ids, target, real)
+    assert met.tolist() == sorted(set(ids.ravel().tolist()))
     for name, x in model.p.items():
-        i = (int(ids[0, 0]), 0) if name == "e" else (0,) * x.ndim
+        i = (int(met[2]), 0) if name == "e" else (0,) * x.ndim
         kept = x[i]
         x[i] = kept + 1e-5
         up = loss()
         x[i] = kept - 1e-5
         down = loss()
         x[i] = kept
-        assert abs((up - down) / 2e-5 - grads[name][i]) < 1e-6, name
+        assert abs((up - down) / 2e-5 - grads[name][(2, 0) if name == "e" else i]) < 1e-6, name
+
+
+def test_lm_scores_are_those_of_the_model_token_by_token():
+    random = np.random.default_rng(4)
+    model = lm.Model(random.integers(0, lm.CLASSES, lm.IDS), seed=3)
+    model.p["b"] += random.normal(size=lm.CLASSES).astype(np.float32)
+    inside = random.normal(size=lm.IDS)
+    texts = [random.integers(0, lm.END, n) for n in (0, 1, 7, 11, 12, 13, 100)]
+    for text, found in zip(texts, lm.log10_scores(lm.Scorer(model), inside, texts, at_once=3)):
+        ids, total = [*text.tolist(), lm.END], 0.0
+        pad = [lm.START] * (lm.WINDOW - lm.STRIDE + 1)
+        for n, token in enumerate(ids):
+            first = n // lm.STRIDE * lm.STRIDE  # the window that scores it begins WINDOW - STRIDE tokens before this one
+            held = [*pad, *ids][first : first + lm.WINDOW]
+            held += [0] * (lm.WINDOW - len(held))  # what stands behind cannot be seen
+            place = n - first + lm.WINDOW - lm.STRIDE
+            total += model.forward(np.array([held]))[0][place, model.classes[token]] + inside[token]
+        assert math.isclose(found, total / math.log(10), rel_tol=1e-4)
+
+
+def test_lm_training_reads_all_texts_and_learns(spark):
+    random = np.random.default_rng(5)
+    ids = np.array([int(x) for x in random.integers(0, 40, 6000)])
+    ids[1::2] = (ids[::2] * 7 + 1) % 40 + 100  # every second id follows from the one before it
+    rows = [(i, bytearray(ids[20 * i : 20 * i + 20].astype("<u2").tobytes())) for i in range(300)]
+    training = spark.createDataFrame(rows, "row long, ids binary").repartition(3)
+    count = lm.id_counts(training)
+    assert count.sum() == 6300 and count[lm.END] == 300
+    seen, before = lm.before_counts(training, count)
+    assert before.sum() == 6300 and sorted(seen.tolist()) == np.flatnonzero(count).tolist()
+    classes = lm.classes_of(seen, before)
+    after = lm.trained(training, classes, rate=0.05)
+    score = lambda m: lm.log10_scores(lm.Scorer(m), np.zeros(lm.IDS), [ids[:400]])[0]
+    assert score(after) > score(lm.Model(classes)) + 50
+    windows = lm.training_windows(np.arange(1000), 3)
+    assert windows.shape == (3, lm.WINDOW + 1) and (windows[:, -1] != lm.START).all()
+    assert lm.training_windows(np.arange(0), 9).tolist() == [[lm.START] * lm.WINDOW + [lm.END]]
+
+
+def test_frequent_words_are_bounded(spark, monkeypatch):
+    counts = spark.createDataFrame([(bytearray(b"w%d" % i), 1 + 1000 // (i + 1)) for i in range(500)] + [(bytearray(b"x" * 99), 5000)], "word binary, c long")
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    found = lm.frequent_words(counts)
+    assert 20 <= len(found) <= 50 and min(found.values()) > 15 and b"x" * 99 not in found
+    assert lm.frequent_words(counts.limit(0)) == {}
 
 
 def test_chat(spark):
