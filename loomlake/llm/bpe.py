@@ -2,6 +2,8 @@
 
 A long text is parted at safe boundaries: a space whose neighbours are both no white space always starts a match of
 the pre-splitting pattern, and no match crosses it, so the parts' ids put one after another are the text's ids.
+Very long runs of white space, on which the pattern's look-ahead would overflow the library's stack, are matched here, by
+the pattern's own rule: a run is one match, without its last character unless the text ends there.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from ._common import mapped
 
 #: A safe boundary: one space between two characters that are no white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of a part, up to the next safe boundary.
-PART = 100_000
+#: Characters of a part, up to the next safe boundary; those of a run of white space that the pattern does not see.
+PART, RUN = 100_000, 10_000
+# The characters that the pattern's \s stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def parts(text: str) -> list[str]:
@@ -35,19 +39,41 @@ def parts(text: str) -> list[str]:
 
 
 class Coder:
-    """encode(text) -> the ids, as unsigned 32-bit numbers."""
+    """encode(text) -> the ids, as unsigned 32-bit numbers. special: strings that stand for an id wherever they occur."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         # A name for a special token that is never allowed is never special; without any, each character is tried for one.
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|never|>": max(ranks.values()) + 1})
-        self.table = {i: b for b, i in ranks.items()}
+        self.special = special or {}
+        self.table = {i: b for b, i in ranks.items()} | {i: x.encode() for x, i in self.special.items()}
+        self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.run = re.compile(f"[{WHITE}]{{{RUN},}}")
 
     def encode(self, text: str) -> np.ndarray:
+        if self.at_special is None or not self.at_special.search(text):
+            return self._ordinary(text)
+        out, at = [], 0
+        for m in self.at_special.finditer(text):
+            out += [self._ordinary(text[at : m.start()]), np.array([self.special[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> np.ndarray:
         if len(text) <= PART:
+            return self._part(text)
+        return np.concatenate([self._part(x) for x in parts(text)])
+
+    def _part(self, text: str) -> np.ndarray:
+        if len(text) <= RUN:
             return self.encoding.encode_to_numpy(text, disallowed_special=())
-        return np.concatenate([self.encoding.encode_to_numpy(x, disallowed_special=()) for x in parts(text)])
+        out, at = [], 0
+        for m in self.run.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += [self.encoding.encode_to_numpy(text[at : m.start()], disallowed_special=()), np.array(self.encoding._encode_single_piece(m[0][: end - m.start()].encode()), np.uint32)]
+            at = end
+        return np.concatenate([*out, self.encoding.encode_to_numpy(text[at:], disallowed_special=())])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The raw bytes of ids; they need not be valid UTF-8."""
@@ -65,14 +91,22 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     with open(path, encoding="utf-8") as f:
         held = json.load(f)
-    special = {x["content"] for x in held.get("added_tokens", []) if x.get("special")}
+    special = special_tokens(path)
     return {bytes(byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
 @lru_cache(maxsize=2)
 def coder_of(path: str, pattern: str) -> Coder:
-    """A coder by the tiktoken library from a rank file or a tokenizers file."""
-    return Coder(read_vocabulary(path) if path.endswith(".json") else read_ranks(path), pattern)
+    """A coder by the tiktoken library from a rank file, without special tokens, or from a tokenizers file, with its own."""
+    if path.endswith(".json"):
+        return Coder(read_vocabulary(path), pattern, special_tokens(path))
+    return Coder(read_ranks(path), pattern)
 
 
 def encode_documents(documents: DataFrame, path, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:

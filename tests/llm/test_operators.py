@@ -74,24 +74,74 @@ def test_automaton_statistics():
     assert reached == accepted
 
 
-@pytest.mark.parametrize("part", [5, 100_000])
-def test_bpe(docs, part, monkeypatch):
+ODD_TEXTS = ["a  b \n c", " lead", "it's we'll", "<|endoftext|>", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>  y", " x \u3000y z", "a\x1c \x1d  b", "   ", "x \n\n\n", " \n x"]
+
+
+@pytest.mark.parametrize(("part", "run"), [(5, 2), (5, 3), (100_000, 10_000), (100_000, 2)])
+def test_bpe(part, run, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(bpe, "PART", part)
-    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "RUN", run)
+    own, path = Tokenizer.from_file(P.path("byte_bpe_50k.json")), P.path("byte_bpe_50k.json")
+    coder = bpe.Coder(bpe.read_vocabulary(path), P.PATTERN, bpe.special_tokens(path))
+    plain = bpe.Coder(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    for t in [x for x in TEXTS if x is not None] + ODD_TEXTS:
+        assert coder.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids, t
+        assert coder.decode(coder.encode(t)) == plain.decode(plain.encode(t)) == t.encode()
     own.encode_special_tokens = True
-    coder = bpe.Coder(bpe.read_vocabulary(P.path("byte_bpe_50k.json")), P.PATTERN)
-    for t in [x for x in TEXTS if x is not None] + ["a  b \n c", " lead", "it's we'll", "<|endoftext|>", " x 　y z"]:
-        assert coder.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids
-        assert coder.decode(coder.encode(t)) == t.encode()
+    for t in ODD_TEXTS:
+        assert plain.encode(t).tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
+def merged(piece, ranks):
+    """The ids of one match: the pair of least rank is merged first, again and again."""
+    held = [bytes([b]) for b in piece]
+    while len(held) > 1:
+        best = min(range(len(held) - 1), key=lambda i: (ranks.get(held[i] + held[i + 1], 1 << 30), i))
+        if held[best] + held[best + 1] not in ranks:
+            break
+        held[best : best + 2] = [held[best] + held[best + 1]]
+    return [ranks[x] for x in held]
+
+
+def test_bpe_documents(spark, docs, empty):
+    import regex
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks, pattern, cache = bpe.read_ranks(path), regex.compile(P.PATTERN), {}
+
+    def brute(text):
+        out = []
+        for m in pattern.finditer(text):
+            if m[0] not in cache:
+                cache[m[0]] = merged(m[0].encode(), ranks)
+            out += cache[m[0]]
+        return out
+
+    long = "Über naïve 日本語 text, 12345 $$$ it's \n\n  a\u3000b " * 50_000  # over 2 MB
+    odd = spark.createDataFrame([(100 + i, t) for i, t in enumerate([*ODD_TEXTS, long])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(odd)
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    found = bpe.encode_documents(both, path, P.PATTERN, ids=True).collect()
+    assert len(found) == both.count()
+    for r in found:
+        expected = brute(texts[r.doc_id])
+        assert r.ids == expected and r.n_tokens == len(expected)
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(np.array(expected, "<u4").tobytes()).hexdigest()
+    assert bpe.encode_documents(empty, path, P.PATTERN).collect() == []
 
 
-def test_bpe_documents(docs):
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    for r in bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ids=True).collect():
-        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000"])
+def test_bpe_takes_long_white_space(blank):
+    coder = bpe.coder_of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    run = blank * (1_200_000 // len(blank))
+    for text in (run, "a" + run, run + "b", "a" + run + "b", "a b " * 60_000 + run + "." + run):
+        assert coder.decode(coder.encode(text)) == text.encode()
+    # what stands around a run is encoded as it would be by itself; the run's last character goes with what follows
+    alone = [*coder.encode("a"), *coder.encoding._encode_single_piece(run[:-1].encode()), *coder.encode(run[-1] + "b")]
+    assert coder.encode("a" + run + "b").tolist() == [int(x) for x in alone]
 
 
 def best_fit(lengths, capacity):
@@ -121,8 +171,20 @@ def test_plan_is_best_fit_decreasing():
         assert sorted(32 - u for u in used.values()) == best_fit(lengths, 32)
 
 
-def test_packing(docs, empty):
-    found = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    odd = spark.createDataFrame([(100 + i, t) for i, t in enumerate([*ODD_TEXTS, "long text here, " * 9_000])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(odd)
+    found = packing.pack_documents(both, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    expected = Counter()
+    for r in both.collect():
+        ids = [*own.encode(r.text or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], range(first, len(ids) + 1, 1024))):
+            expected[r.doc_id, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == expected
     by_sequence = {}
     for r in found:
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
