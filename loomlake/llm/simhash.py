@@ -7,12 +7,14 @@ have it, in numpy, part by part where they are many. The prefix bits are the mos
 of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
 within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
 
-Wide fingerprints (several blocks) find candidates in any block; a loose bound on all bits clears chance collisions out,
-and what is left is linked if the Jaccard similarity of the shingle sets themselves is 0.8 or more. Owners of one block's variant need not be near on all bits, so links to hubs alone would lose pairs there. The blocks are taken
-in a few rounds; a round makes no candidates of nodes that the rounds before it have connected. The first rounds link to
-hubs, which connects most of what is near. The last takes all blocks again, and compares each owner of a variant with
-every other that is not connected with it: one by one, or, where the pairs of a variant are too many for one task, in
-blocks of owners dealt over tasks.
+Wide fingerprints (several blocks) find candidates in any block; a bound on all bits clears chance collisions out, and
+what is left is linked if the Jaccard similarity of the shingle sets themselves is 0.8 or more. Owners of one block's
+variant need not be near on all bits, so links to hubs alone would lose pairs there. So the blocks are taken in rounds.
+The first two link to hubs: links within a loose bound make up families, those that pass the exact test make up groups.
+The third takes all blocks again and compares each owner of a variant with every other that is not of its family: one by
+one, or, where the pairs of a variant are too many for one task, in blocks of owners dealt over tasks. Within a family,
+every two nodes of different groups are compared on all bits, in such blocks too, and only those within the bound come
+out, so a large family whose members are no near-duplicates of each other makes no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +32,22 @@ from ._common import mapped, ship, written
 from .components import components
 
 #: Variants made at once in a task; fewest prefix bits and most; owners of a variant that are few.
-AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 16, 4
-#: Pairs of a variant that one task lists at most; owners in a block of a larger variant.
-LISTED, SALTED = 1_000_000, 512
-#: The wide form: 32 blocks of 32 bits, candidates in a block at 2 differing bits, dropped beyond this many of 1024.
-#: A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits, with a deviation of 11 (192
-#: and 13 for sets of four and five, the worst case); unrelated sets differ in 512, with a deviation of 16.
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS, WIDE_DISTANCE = 32, 32, 2, 272
+AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 26, 4
+#: Pairs of a variant that one task lists at most; nodes in a block of a larger variant or of a family.
+LISTED, SALTED = 1_000_000, 2_048
+#: The wide form has 1024 bits. A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits,
+#: with a deviation of 11.5; WIDE_DISTANCE is 3.5 deviations more. For fewer than FEW_SHINGLES the expectation is higher (192
+#: and 13 for sets of four and five, the worst case), and LOOSE is 6 deviations more; it also bounds a family's links.
+#: Unrelated sets differ in 512, with a deviation of 16.
+WIDE_DISTANCE, LOOSE, FEW_SHINGLES = 195, 272, 32
+#: Blocks of a wide fingerprint, by the number of nodes: (nodes at most, bits of a block, radius, blocks). Pairs at a
+#: similarity of 0.8 collide in one with a probability of 0.98 or more. Wider blocks, which overlap, keep chance collisions
+#: few where nodes are many.
+SHAPES = [(1 << 27, 32, 2, 32), (1 << 62, 48, 4, 41)]
 #: Bits of the map of the texts whose shingle sets are wanted: of one size at every size of the input.
 MAP_BITS = 1 << 23
-#: The blocks of each round, and whether owners go to hubs only.
-ROUNDS = [(range(4), True), (range(4, BLOCKS), True), (range(BLOCKS), False)]
+#: Blocks of the first round that links to hubs; the second takes the others.
+FIRST = 4
 
 _ODD = (np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -90,6 +97,16 @@ def wide_value(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
+def block_words(values: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """values (nodes x 128 bytes) -> nodes x blocks words of ``bits``: evenly spread runs of the 1024 bits, whole bytes,
+    which lie side by side if they fit and overlap if not."""
+    step, size = 128 // blocks if bits * blocks <= 1024 else (128 - bits // 8) // (blocks - 1), bits // 8
+    out = np.zeros((len(values), blocks, 8), np.uint8)
+    for j in range(blocks):
+        out[:, j, :size] = values[:, j * step : j * step + size]
+    return out.view("<u8")[:, :, 0].astype(np.uint64)
+
+
 def _masks(positions: list[int], flips: int) -> np.ndarray:
     """All words with at most so many bits set, all at the given positions."""
     out = [0]
@@ -197,27 +214,32 @@ def _collide(values: np.ndarray, spent: np.ndarray, owner: np.ndarray, free: lis
     return paired(i[hit], owner[who[hit]])
 
 
-def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True, part: range | None = None, hubs: bool = True) -> DataFrame:
-    """nodes (node long, value binary of ``blocks`` little-endian words of ``bits``, all distinct) -> links (a, b).
+def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify: bool = True, part: range | None = None, hubs: bool = True, n: int | None = None) -> DataFrame:
+    """nodes (node long, value binary, all distinct) -> links (a, b). n: how many nodes there are, where that is known.
 
-    With one block, any two nodes within ``radius`` differing bits are joined by links of that kind. With several, two
-    nodes within ``radius`` in any block (any of ``part``, if given) are joined by links, as candidates. Where nodes has a
-    column root, nodes of one root are known to be connected and get no link. nodes is read twice: pass a written table.
+    With one block, values are words of ``bits``, and any two nodes within ``radius`` differing bits are joined by links of
+    that kind. With several, values are wide fingerprints, and two nodes within ``radius`` in any block (any of ``part``, if
+    given) are joined by links, as candidates. Where nodes has a column root, nodes of one root are known to be connected
+    and get no link. nodes is read twice: pass a written table.
 
     Unless ``hubs``, every two nodes that are within ``radius`` in a block and not known to be connected get a link
     themselves. Rows of variants with too many pairs have a set of nodes (its name, by twos) and a place in it instead:
     (a, null, set, other, place, size); see salted()."""
     ship(nodes.sparkSession)
     part, carried = part or range(blocks), ["node", "root"] if "root" in nodes.columns else ["node"]
-    flips, word = radius // 2, np.dtype(f"<u{bits // 8}")
-    n = max(1, nodes.count())
+    flips = radius // 2
+    n = max(1, nodes.count() if n is None else n)
     a_node = len(_masks(list(range(bits)), flips))
     k = min(MOST_BITS, max(LEAST_BITS if blocks == 1 else 3, (n * a_node // AT_ONCE).bit_length()))
 
+    def split(batch) -> np.ndarray:
+        v = np.frombuffer(b"".join(batch.column("value").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        return block_words(v, bits, blocks) if blocks > 1 else v.view(f"<u{bits // 8}").astype(np.uint64)
+
     def sums(batches):
         for b in batches:
-            v = np.frombuffer(b"".join(b.column("value").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([np.unpackbits(v, axis=1, bitorder="little").sum(0, dtype=np.int64).tolist()], pa.list_(pa.int64()))], ["ones"])
+            each = np.unpackbits(split(b).view(np.uint8).reshape(b.num_rows, blocks, 8), axis=2, bitorder="little")[:, :, :bits]
+            yield pa.RecordBatch.from_arrays([pa.array([each.sum(0, dtype=np.int64).ravel().tolist()], pa.list_(pa.int64()))], ["ones"])
 
     ones = mapped(nodes.select("value"), sums, "ones array<long>").agg(*[F.sum(F.get("ones", F.lit(i))).alias(f"b{i}") for i in range(bits * blocks)]).first()
     even = [sorted(range(bits), key=lambda p: (abs((ones[j * bits + p] or 0) / n - 0.5), p)) for j in range(blocks)]
@@ -226,11 +248,11 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
 
     def route(batches):
         for b in batches:
-            v = np.frombuffer(b"".join(b.column("value").to_pylist()), word).reshape(b.num_rows, blocks).astype(np.uint64)
+            v = split(b)
             held = [np.repeat(b.column(c).to_numpy(), len(turns)) for c in carried]
             for j in part:
                 to = (_compact(v[:, j], prefix[j])[:, None] ^ turns).ravel() + (j << k)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.repeat(v[:, j].view(np.int64), len(turns))), *map(pa.array, held)], ["at", "v", *carried])
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.repeat(np.ascontiguousarray(v[:, j]).view(np.int64), len(turns))), *map(pa.array, held)], ["at", "v", *carried])
 
     kind = "a long, b long" if hubs else "a long, b long, set long, other long, place long, size long"
 
@@ -263,23 +285,32 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
     return mapped(nodes.select(*carried, "value"), route, "at long, v long, " + ", ".join(f"{c} long" for c in carried)).groupBy("at").applyInArrow(meet, kind)
 
 
-def salted(sets: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) of the nodes of each set that are within ``distance`` on all bits and not of one root.
+def within(x: np.ndarray, y: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which rows of the wide values x and y (as words) are within the bound; few: where a set has few shingles."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= np.where(few, LOOSE, WIDE_DISTANCE)
+
+
+def salted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes of each set that are within the bound on all bits, of like sizes, and not of one root.
 
-    sets (a, set, other, place, size); nodes (node, value, root). A set is cut into blocks of its nodes, and each two
+    sets (a, set, other, place, size); nodes (node, value, n, root). A set is cut into blocks of its nodes, and each two
     blocks meet in a task of their own."""
     block, blocks = F.floor(F.col("place") / SALTED), F.floor((F.col("size") - 1) / SALTED) + 1
     cells = sets.select(F.col("a").alias("node"), "set", "other", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
-    cells = cells.join(nodes.select("node", "value", "root"), "node").select("node", "value", "root", "set", "other", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
+    cells = cells.join(nodes.select("node", "value", "n", "root"), "node").select("node", "value", "n", "root", "set", "other", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
 
     def meet(key, held):
+        held = held.sort_by("node")
         own, first = held.column("own").to_numpy(), key[2].as_py()
         value = np.frombuffer(b"".join(held.column("value").to_pylist()), np.uint64).reshape(len(own), -1)
-        node, root = held.column("node").to_numpy(), held.column("root").to_numpy()
-        left, right = np.flatnonzero(own == first), np.arange(len(own)) if key[2] == key[3] else np.flatnonzero(own != first)
+        node, root, n = (held.column(c).to_numpy() for c in ("node", "root", "n"))
+        same = key[2] == key[3]
+        left, right = np.flatnonzero(own == first), np.arange(len(own)) if same else np.flatnonzero(own != first)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
-            near = right[(root[right] != root[x]) & (np.bitwise_count(value[right] ^ value[x]).sum(1, dtype=np.int64) <= distance)]
+            other = right[right > x] if same else right
+            other = other[(root[other] != root[x]) & (5 * np.minimum(n[other], n[x]) >= 4 * np.maximum(n[other], n[x]))]
+            near = other[within(value[other], value[x], np.minimum(n[other], n[x]) < FEW_SHINGLES)]
             a.append(np.full(len(near), node[x]))
             b.append(node[near])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
@@ -287,9 +318,21 @@ def salted(sets: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
     return cells.groupBy("set", "other", "one", "two").applyInArrow(meet, "a long, b long")
 
 
+def mixed_families(nodes: DataFrame, family: DataFrame) -> DataFrame:
+    """The families (node, root: the family's name) that hold several roots of nodes, as salted() takes sets.
+
+    Nodes are dealt to a set's blocks by a hash, so no task holds a set."""
+    held = family.select("node", F.col("root").alias("set")).join(nodes.select("node", "root"), "node")
+    sizes = held.groupBy("set").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    block = F.pmod(F.xxhash64("node"), F.floor((F.col("size") - 1) / SALTED) + 1)
+    held = held.join(sizes.filter("low < high"), "set")
+    return held.select(F.col("node").alias("a"), "set", F.lit(0).cast("long").alias("other"), (block * SALTED).alias("place"), "size")
+
+
 def fingerprints(documents: DataFrame, size: int, wide: bool = False, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (doc_id), ``value``, the fingerprint's bytes (words little-endian), and ``node``, 64 bits that
-    stand for it (the fingerprint itself) or, in the wide form, for the set of shingles, of every row."""
+    stand for it (the fingerprint itself) or, in the wide form, for the set of shingles, of every row; in the wide form
+    also ``n``, the size of the set."""
     carry = carry or ["doc_id"]
 
     def run(batches):
@@ -301,11 +344,12 @@ def fingerprints(documents: DataFrame, size: int, wide: bool = False, text: str
             else:
                 value = names = [fingerprint(x, size).to_bytes(8, "little") for x in texts]
             node = np.frombuffer(b"".join(names), "<i8")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(value, pa.binary()), pa.array(node)], [*carry, "value", "node"])
+            sizes = [pa.array([len(x) for x in sets], pa.int32())] if wide else []
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(value, pa.binary()), pa.array(node), *sizes], [*carry, "value", "node", *["n"] * wide])
 
     kept = documents.select(*carry, F.col(text).cast("binary").alias("__text"))
     kinds = dict(kept.dtypes)
-    return mapped(kept, run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", value binary, node long")
+    return mapped(kept, run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", value binary, node long" + ", n int" * wide)
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -355,40 +399,58 @@ def shingle_sets(held: DataFrame, keys: DataFrame, size: int) -> DataFrame:
 def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least doc_id.
 
-    Wide fingerprints find the rows to compare, and the sets of their shingles are compared. Columns are those of documents. Of rows alike in doc_id and text one stays;
-    rows with null doc_id come after others; null and blank texts are one group."""
+    Wide fingerprints find the rows to compare, and the sets of their shingles are compared. Columns are those of documents.
+    A text with fewer words than a shingle is one shingle of all its words. Of rows alike in doc_id and text one stays; rows
+    with null doc_id come after others; null, empty and blank texts are one group. An empty table stays empty."""
     spark, key = documents.sparkSession, F.xxhash64(F.lit(1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
     held = documents.select(F.struct(*documents.columns).alias("row"), key.alias("key"), F.col("doc_id"), F.col(text).alias("t"))
     docs = written(fingerprints(held, size, wide=True, text="t", carry=["doc_id", "key"]), "wide")
-    nodes = written(docs.groupBy("node").agg(F.first("value").alias("value"), F.min("key").alias("key")), "nodes")
-    one, other = (nodes.select(F.col("node").alias(n), F.col("value").alias(v), F.col("key").alias(k)) for n, v, k in ("axk", "byl"))
+    nodes = written(docs.groupBy("node").agg(F.first("value").alias("value"), F.min("key").alias("key"), F.first("n").alias("n")), "nodes")
+    one, other = (nodes.select(F.col("node").alias(i), F.col("value").alias(v), F.col("key").alias(k), F.col("n").alias(n)) for i, v, k, n in ("axkp", "bylq"))
+    count = nodes.count()
+    _, bits, radius, blocks = next(shape for shape in SHAPES if count <= shape[0])
 
-    def near(batches):
+    def compared(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in "xy")
-            good = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= WIDE_DISTANCE
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in "abkl"], [*"abkl"]).filter(pa.array(good))
+            p, q = (b.column(c).to_numpy().astype(np.int64) for c in "pq")
+            d = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            near = (d <= np.where(np.minimum(p, q) < FEW_SHINGLES, LOOSE, WIDE_DISTANCE)) & (5 * np.minimum(p, q) >= 4 * np.maximum(p, q))
+            columns = [*map(b.column, "abkl"), pa.array(near)]
+            yield pa.RecordBatch.from_arrays(columns, [*"abkl", "near"]).filter(pa.array(d <= LOOSE))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """The pairs within the loose bound, with their keys, and whether they are within the narrower one."""
+        joined = pairs.join(one, "a").join(other, "b").select(*"abklxypq")
+        return written(mapped(joined, compared, "a long, b long, k long, l long, near boolean"), "pairs")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("near").drop("near")
         sets = written(shingle_sets(held, pairs.select(F.col("k").alias("key")).union(pairs.select("l")), size), "sets")
         both = pairs.join(sets.select(F.col("key").alias("k"), F.col("set").alias("x")).hint("merge"), "k").join(sets.select(F.col("key").alias("l"), F.col("set").alias("y")).hint("merge"), "l")
         # In whole numbers, shared / (x + y - shared) >= 4 / 5.
         return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
-    at, roots = nodes, None
-    for part, hubs in ROUNDS:
-        if roots is not None:
-            at = written(nodes.join(roots, "node"), "rooted")
-        found = written(ball_links(at, BLOCK_BITS, BLOCK_RADIUS, BLOCKS, verify=False, part=part, hubs=hubs).distinct(), "candidates")
-        pairs = found.filter("b IS NOT NULL").select("a", "b")
-        if not hubs:
-            sets = found.filter("b IS NULL")
-            pairs = pairs if sets.isEmpty() else pairs.union(salted(sets, at, WIDE_DISTANCE)).distinct()
-        pairs = written(mapped(pairs.join(one, "a").join(other, "b").select(*"abklxy"), near, "a long, b long, k long, l long"), "pairs")
-        links = alike(pairs)
+    def grouped(links: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is not None:
             links = links.union(roots.filter("node <> root").select("node", "root"))
-        roots = written(_roots(nodes, links), "roots")
+        return written(_roots(nodes, links), "roots")
+
+    roots, loose = None, []
+    for part in (range(FIRST), range(FIRST, blocks)):
+        at = nodes if roots is None else written(nodes.join(roots, "node"), "rooted")
+        loose.append(measured(ball_links(at, bits, radius, blocks, verify=False, part=part, n=count).distinct()))
+        roots = grouped(alike(loose[-1]), roots)
+    rooted = written(nodes.join(roots, "node"), "rooted")
+    known = loose[0].select("a", "b").union(loose[1].select("a", "b")).union(roots.filter("node <> root").select("node", "root"))
+    family = written(_roots(nodes, known), "families")
+    apart = written(nodes.join(family, "node"), "apart")
+    found = written(ball_links(apart, bits, radius, blocks, verify=False, hubs=False, n=count).distinct(), "candidates")
+    crowded = found.filter("b IS NULL").drop("b")
+    pairs = found.filter("b IS NOT NULL").select("a", "b").union(salted(mixed_families(rooted, family), rooted))
+    if not crowded.isEmpty():
+        pairs = pairs.union(salted(crowded, rooted))
+    roots = grouped(alike(measured(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), roots)
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     # Copies share one fingerprint, so the first pass leaves one row a fingerprint, with the number of rows like it.
     same = docs.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct(rank.alias("rank"), F.col("n"))).alias("first"))

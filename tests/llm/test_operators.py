@@ -284,28 +284,65 @@ def test_owners_that_no_hub_link_connects_are_compared(spark, listed, monkeypatc
     two = one.copy()
     two[:, 1:] ^= np.uint32(7 << 9)
     values = F.array(*[F.lit(bytearray(w.tobytes())) for w in np.concatenate((one, two))])
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **b: docs.select("doc_id", "key", F.get(values, F.col("doc_id").cast("int")).alias("value")).withColumn("node", F.xxhash64("value")))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **b: docs.select("doc_id", "key", F.get(values, F.col("doc_id").cast("int")).alias("value"), F.lit(96).alias("n")).withColumn("node", F.xxhash64("value")))
     texts = [[f"w{i}x{j}" for j in range(100)] for i in range(20)]
     texts += [[*t[:50], "changed", *t[51:]] for t in texts]
     kept = simhash.keep_first(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
 
 
-def test_keep_first_decides_by_jaccard(spark):
-    # Pairs of a text and the same with words added, at similarities from 0.75 to 0.9.
+@pytest.mark.parametrize("shapes", [simhash.SHAPES, simhash.SHAPES[1:]])
+def test_keep_first_decides_by_jaccard(spark, shapes, monkeypatch):
+    # Pairs of a text and the same with words added, at similarities from 0.75 to 0.9, with blocks of either width.
+    monkeypatch.setattr(simhash, "SHAPES", shapes)
     texts = {}
-    for m in range(11, 34):
+    for m in range(11, 34, 2 if len(shapes) == 1 else 1):
         for trial in range(4):
             base = [f"w{m}x{trial}x{j}" for j in range(104)]
             texts[len(texts)] = base
             texts[len(texts)] = [*base, *[f"a{m}x{trial}x{j}" for j in range(m)]]
-    shingles = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in texts.items()}
-    near = {i + 1 for i in range(0, len(texts), 2) if 5 * len(shingles[i] & shingles[i + 1]) >= 4 * len(shingles[i] | shingles[i + 1])}
+    near = {b for a, b in alike_pairs(texts) if b == a + 1 and a % 2 == 0}
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
     gone = set(texts) - kept
     assert gone <= near and len(gone) >= 0.97 * len(near)  # candidates are found with a probability of 0.98 at 0.8, more above
 
 
+def alike_pairs(texts):
+    shingles = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in texts.items()}
+    return [(a, b) for a in texts for b in texts if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+
+
+@pytest.mark.parametrize("salted", [2_048, 16])
+def test_keep_first_in_crowded_blocks(spark, salted, monkeypatch):
+    # Texts made from one template, most of them no near-duplicates of each other, and each with a near copy of its own:
+    # every block is crowded, and hubs are near to few.
+    monkeypatch.setattr(simhash, "SALTED", salted)
+    random, texts = np.random.default_rng(6), {}
+    template = [f"t{j}" for j in range(150)]
+    for i in range(60):
+        own = [f"o{i}x{j}" if random.random() < 0.07 else w for j, w in enumerate(template)]
+        texts[2 * i] = own
+        texts[2 * i + 1] = [*own, *[f"e{i}x{j}" for j in range(random.integers(1, 30))]]
+    group = {i: i for i in texts}
+    for a, b in alike_pairs(texts):
+        low, high = sorted((group[a], group[b]))
+        group = {i: low if g == high else g for i, g in group.items()}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    expected = set(group.values())
+    assert 30 < len(expected) < 110 and expected <= kept and len(kept - expected) <= 0.03 * len(texts)
+
+
+def test_keep_first_takes_odd_rows(spark, docs, empty):
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(found) == len(set(found))
+    blank = [x for x in found if not (x[1] or "").split()]
+    assert blank == [(0, None)]  # null, empty and blank texts are one group
+    assert {x[0] for x in found} >= {0, 3, 5, 7, 8, 9} and (4, "Hello world") not in found
+    assert simhash.keep_first(empty).collect() == []
+
+
 def test_quality(docs, empty):
     def brute(t):
         t = t or ""
