@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from ._common import mapped, ship, written
 from .components import components
 
-#: Variants made at once in a task; fewest prefix bits and most; owners of a variant that are few.
-AT_ONCE, LEAST_BITS, MOST_BITS, FEW = 4_000_000, 8, 26, 4
+#: Variants made at once in a task; fewest prefix bits and most.
+AT_ONCE, LEAST_BITS, MOST_BITS = 4_000_000, 8, 26
 #: Pairs of a variant that one task lists at most; nodes in a block of a larger variant or of a family.
-LISTED, SALTED = 1_000_000, 2_048
-#: The wide form has 1024 bits. A similarity (Jaccard, of sets of 5-word shingles) of 0.8 is an expected 155 differing bits,
-#: with a deviation of 11.5; WIDE_DISTANCE is 3.5 deviations more. For fewer than FEW_SHINGLES the expectation is higher (192
-#: and 13 for sets of four and five, the worst case), and LOOSE is 6 deviations more; it also bounds a family's links.
-#: Unrelated sets differ in 512, with a deviation of 16.
-WIDE_DISTANCE, LOOSE, FEW_SHINGLES = 195, 272, 32
+LISTED, SALTED = 1_000_000, 1_024
+#: The wide form has 2048 bits, of which the blocks take the first 1024. A similarity (Jaccard, of sets of 5-word shingles)
+#: of 0.8 is an expected 310 differing bits, with a deviation of 16.3; WIDE_DISTANCE is 3.5 deviations more. For fewer than
+#: FEW_SHINGLES the expectation is higher (384 and 18 for sets of four and five, the worst case), and LOOSE is 8 deviations
+#: more; it also bounds a family's links. Unrelated sets differ in 1024, with a deviation of 23.
+WIDE_BITS, WIDE_DISTANCE, LOOSE, FEW_SHINGLES = 2_048, 367, 530, 32
 #: Blocks of a wide fingerprint, by the number of nodes: (nodes at most, bits of a block, radius, blocks). Pairs at a
 #: similarity of 0.8 collide in one with a probability of 0.98 or more. Wider blocks, which overlap, keep chance collisions
 #: few where nodes are many.
@@ -49,7 +49,7 @@ MAP_BITS = 1 << 23
 #: Blocks of the first round that links to hubs; the second takes the others.
 FIRST = 4
 
-_ODD = (np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ODD = (np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -80,14 +80,14 @@ def fingerprint(text: bytes | None, size: int) -> int:
 
 
 def wide_fingerprint(text: bytes | None, size: int) -> bytes:
-    """1024 bits over the set of shingles: each hash is mixed into sixteen words."""
+    """WIDE_BITS bits over the set of shingles: each hash is mixed into as many words as that takes."""
     return wide_value(np.unique(shingle_hashes(text, size)))
 
 
 def wide_value(hashes: np.ndarray) -> bytes:
     if not len(hashes):
-        return bytes(128)
-    total = np.zeros(1024, np.int64)
+        return bytes(WIDE_BITS // 8)
+    total = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(hashes), 255):
         x = hashes[at : at + 255, None] * _ODD
         x ^= x >> np.uint64(32)
@@ -98,8 +98,8 @@ def wide_value(hashes: np.ndarray) -> bytes:
 
 
 def block_words(values: np.ndarray, bits: int, blocks: int) -> np.ndarray:
-    """values (nodes x 128 bytes) -> nodes x blocks words of ``bits``: evenly spread runs of the 1024 bits, whole bytes,
-    which lie side by side if they fit and overlap if not."""
+    """values (nodes x bytes) -> nodes x blocks words of ``bits``: evenly spread runs of the first 1024 bits, whole
+    bytes, which lie side by side if they fit and overlap if not."""
     step, size = 128 // blocks if bits * blocks <= 1024 else (128 - bits // 8) // (blocks - 1), bits // 8
     out = np.zeros((len(values), blocks, 8), np.uint8)
     for j in range(blocks):
@@ -122,8 +122,8 @@ def _compact(values: np.ndarray, positions: list[int]) -> np.ndarray:
     return out
 
 
-def _to_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
-    """Pairs of the owners (who) of each variant (i): hub and other, neighbours where they are few.
+def _hubs(i: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The owners (who) of each variant (i) in order, each one's hub, and how many others the hub meets.
 
     The hub of a variant's owners is the one that meets most others over all its variants: in a cluster of copies, the
     text they were made from."""
@@ -133,11 +133,25 @@ def _to_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
     i, who = i[order], who[order]
     first = np.concatenate(([True], i[1:] != i[:-1]))
     hub = who[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
-    beside = ~first[1:] & (met[i[1:]] <= FEW)
-    pairs = np.concatenate((np.stack((hub[~first], who[~first]), 1), np.stack((who[:-1][beside], who[1:][beside]), 1)))
+    return who, hub, reach[hub], first
+
+
+def _to_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
+    """Pairs of hub and owner, for each variant that the owner has."""
+    who, hub, _, first = _hubs(i, who)
+    pairs = np.stack((hub[~first], who[~first]), 1)
     return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
 
 
+def _to_best_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
+    """One pair for each owner, with the hub that meets most others among those of its variants."""
+    who, hub, reach, _ = _hubs(i, who)
+    order = np.lexsort((hub, -reach, who))
+    who, hub = who[order], hub[order]
+    first = np.concatenate(([True], who[1:] != who[:-1])) & (who != hub)
+    return [np.unique(np.sort(np.stack((hub[first], who[first]), 1), axis=1), axis=0)]
+
+
 class _Across:
     """All pairs of the owners of each variant whose roots differ; ``large``: sets of owners that have too many pairs."""
 
@@ -263,7 +277,7 @@ def ball_links(nodes: DataFrame, bits: int, radius: int, blocks: int = 1, verify
         root = held.column(carried[-1]).to_numpy()
         if (root == root[0]).all():
             return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in kind.split(", ")})
-        paired = _to_hub if hubs else _Across(root)
+        paired = _Across(root) if not hubs else _to_hub if blocks == 1 else _to_best_hub
         off = np.bitwise_count((_compact(v, prefix[j]) ^ bucket).astype(np.uint64)).astype(np.int8)
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *_collide(v & ~np.uint64(sum(1 << p for p in prefix[j])), off, np.arange(len(v)), free[j], flips, paired)])
         if len(pairs):
@@ -291,19 +305,19 @@ def within(x: np.ndarray, y: np.ndarray, few: np.ndarray) -> np.ndarray:
 
 
 def salted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) of the nodes of each set that are within the bound on all bits, of like sizes, and not of one root.
+    """Pairs (a, b, k, l) of the nodes of each set that are within the bound on all bits, of like sizes, and not of one root.
 
-    sets (a, set, other, place, size); nodes (node, value, n, root). A set is cut into blocks of its nodes, and each two
+    sets (a, set, other, place, size); nodes (node, key, value, n, root). A set is cut into blocks of its nodes, and each two
     blocks meet in a task of their own."""
     block, blocks = F.floor(F.col("place") / SALTED), F.floor((F.col("size") - 1) / SALTED) + 1
     cells = sets.select(F.col("a").alias("node"), "set", "other", block.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
-    cells = cells.join(nodes.select("node", "value", "n", "root"), "node").select("node", "value", "n", "root", "set", "other", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
+    cells = cells.join(nodes.select("node", "key", "value", "n", "root"), "node").select("node", "key", "value", "n", "root", "set", "other", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
 
     def meet(key, held):
         held = held.sort_by("node")
         own, first = held.column("own").to_numpy(), key[2].as_py()
         value = np.frombuffer(b"".join(held.column("value").to_pylist()), np.uint64).reshape(len(own), -1)
-        node, root, n = (held.column(c).to_numpy() for c in ("node", "root", "n"))
+        node, key_of, root, n = (held.column(c).to_numpy() for c in ("node", "key", "root", "n"))
         same = key[2] == key[3]
         left, right = np.flatnonzero(own == first), np.arange(len(own)) if same else np.flatnonzero(own != first)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -311,11 +325,12 @@ def salted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             other = right[right > x] if same else right
             other = other[(root[other] != root[x]) & (5 * np.minimum(n[other], n[x]) >= 4 * np.maximum(n[other], n[x]))]
             near = other[within(value[other], value[x], np.minimum(n[other], n[x]) < FEW_SHINGLES)]
-            a.append(np.full(len(near), node[x]))
-            b.append(node[near])
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+            a.append(np.full(len(near), x))
+            b.append(near)
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip("abkl", (node[a], node[b], key_of[a], key_of[b]))})
 
-    return cells.groupBy("set", "other", "one", "two").applyInArrow(meet, "a long, b long")
+    return cells.groupBy("set", "other", "one", "two").applyInArrow(meet, "a long, b long, k long, l long")
 
 
 def mixed_families(nodes: DataFrame, family: DataFrame) -> DataFrame:
@@ -412,7 +427,7 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
 
     def compared(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in "xy")
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in "xy")
             p, q = (b.column(c).to_numpy().astype(np.int64) for c in "pq")
             d = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             near = (d <= np.where(np.minimum(p, q) < FEW_SHINGLES, LOOSE, WIDE_DISTANCE)) & (5 * np.minimum(p, q) >= 4 * np.maximum(p, q))
@@ -425,7 +440,6 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
         return written(mapped(joined, compared, "a long, b long, k long, l long, near boolean"), "pairs")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter("near").drop("near")
         sets = written(shingle_sets(held, pairs.select(F.col("k").alias("key")).union(pairs.select("l")), size), "sets")
         both = pairs.join(sets.select(F.col("key").alias("k"), F.col("set").alias("x")).hint("merge"), "k").join(sets.select(F.col("key").alias("l"), F.col("set").alias("y")).hint("merge"), "l")
         # In whole numbers, shared / (x + y - shared) >= 4 / 5.
@@ -440,17 +454,18 @@ def keep_first(documents: DataFrame, size: int = 5, text: str = "text") -> DataF
     for part in (range(FIRST), range(FIRST, blocks)):
         at = nodes if roots is None else written(nodes.join(roots, "node"), "rooted")
         loose.append(measured(ball_links(at, bits, radius, blocks, verify=False, part=part, n=count).distinct()))
-        roots = grouped(alike(loose[-1]), roots)
+        roots = grouped(alike(loose[-1].filter("near").drop("near")), roots)
     rooted = written(nodes.join(roots, "node"), "rooted")
     known = loose[0].select("a", "b").union(loose[1].select("a", "b")).union(roots.filter("node <> root").select("node", "root"))
     family = written(_roots(nodes, known), "families")
     apart = written(nodes.join(family, "node"), "apart")
     found = written(ball_links(apart, bits, radius, blocks, verify=False, hubs=False, n=count).distinct(), "candidates")
+    pairs = measured(found.filter("b IS NOT NULL").select("a", "b")).filter("near").drop("near")
+    pairs = pairs.union(salted(mixed_families(rooted, family), rooted))
     crowded = found.filter("b IS NULL").drop("b")
-    pairs = found.filter("b IS NOT NULL").select("a", "b").union(salted(mixed_families(rooted, family), rooted))
     if not crowded.isEmpty():
-        pairs = pairs.union(salted(crowded, rooted))
-    roots = grouped(alike(measured(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), roots)
+        pairs = pairs.union(salted(crowded, rooted).distinct())
+    roots = grouped(alike(written(pairs, "last-pairs")), roots)
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     # Copies share one fingerprint, so the first pass leaves one row a fingerprint, with the number of rows like it.
     same = docs.groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.min(F.struct(rank.alias("rank"), F.col("n"))).alias("first"))
