@@ -19,20 +19,92 @@ from ._common import mapped
 
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Well-known passages of public licences, with the label of each.
+# Texts and notices of public licences as words, with the label of each. A chain need not cover a whole text:
+# MIN_WORDS of it are enough.
+_GPL_TAIL = (
+    "as published by the free software foundation either version {} of the license or at your option any later version "
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+    "merchantability or fitness for a particular purpose see the {} for more details you should have received a copy of the {} "
+    "along with this program if not see https www gnu org licenses"
+)
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable "
+    "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection "
+    "with the software or the use or other dealings in the software"
+)
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+    "are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+    "the documentation and or other materials provided with the distribution"
+)
+_BSD_TAIL = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+    "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+    "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including "
+    "but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+    "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+    "of the use of this software even if advised of the possibility of such damage"
+)
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license " + _GPL_TAIL.format("3", "gnu affero general public license", "gnu affero general public license")),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+        "or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("bsd", _BSD_HEAD + " " + _BSD_TAIL),
+    (
+        "bsd",
+        "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission",
+    ),
+    (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to "
+        "prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+    ),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license " + _GPL_TAIL.format("3", "gnu general public license", "gnu general public license")),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all "
+        "warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license " + _GPL_TAIL.format("2 1", "gnu lesser general public license", "gnu lesser general public license")),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+        "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software " + _AS_IS,
+    ),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions",
+    ),
 ]
-#: Shortest run of words that counts as a long match, most words left out between two links of a chain, least coverage for a label.
-MIN_MATCH, MAX_GAP, MIN_COVERAGE = 4, 8, 0.6
+#: Shortest run of words that counts as a long match, most words left out between two links of a chain; least coverage of a
+#: template, or words of it, for a label.
+MIN_MATCH, MAX_GAP, MIN_COVERAGE, MIN_WORDS = 4, 8, 0.6, 15
 
 #: Bytes that part words after A-Z was lower-cased: all ASCII but 0-9 and a-z.
 _PART = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -105,7 +177,7 @@ def _compiled(base: tuple, templates: tuple):
     return texts, ids, machine, phrases
 
 
-def scan(text: bytes | None, base: tuple = tuple(BASE.items()), templates: tuple = tuple(TEMPLATES), min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_coverage: float = MIN_COVERAGE) -> dict:
+def scan(text: bytes | None, base: tuple = tuple(BASE.items()), templates: tuple = tuple(TEMPLATES), min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_coverage: float = MIN_COVERAGE, min_words: int = MIN_WORDS) -> dict:
     """n_words, hits [(start, label)] of base phrases, spans [(label, first, last word, coverage)] of templates."""
     texts, ids, machine, phrases = _compiled(base, templates)
     found = words(text)
@@ -130,10 +202,13 @@ def scan(text: bytes | None, base: tuple = tuple(BASE.items()), templates: tuple
         before = i
     if length >= min_match:
         runs.append((before, length, state))
-    return {"n_words": len(found), "hits": hits, "spans": _chain(runs, texts, machine, max_gap, min_coverage)}
+    return {"n_words": len(found), "hits": hits, "spans": _chain(runs, texts, machine, max_gap, min_coverage, min_words)}
 
 
-def _chain(runs: list[tuple], texts: list, machine: Automaton, max_gap: int, min_coverage: float) -> list[tuple]:
+def _chain(runs: list[tuple], texts: list, machine: Automaton, max_gap: int, min_coverage: float, min_words: int) -> list[tuple]:
+    """Spans (label, first, last word, coverage): chains of runs, in order in text and template, that cover enough.
+
+    Chains that the text has left behind by more than the gap are closed, so few are open at any place."""
     by_template: dict[int, list[tuple]] = {}
     for end, length, state in runs:
         for t, k in machine.ends[state]:
@@ -141,20 +216,42 @@ def _chain(runs: list[tuple], texts: list, machine: Automaton, max_gap: int, min
                 by_template.setdefault(t, []).append((end - length + 1, end, k - length + 1, k))
     spans = []
     for t, matches in by_template.items():
-        size, open_chains = len(texts[t][1]), []
+        size, open_chains, top = len(texts[t][1]), [], {}
+        enough = min(min_coverage * size, min_words)
+
+        def close(chain: list, top=top, enough=enough) -> None:
+            if chain[4] >= enough and (chain[0] not in top or chain[4] > top[chain[0]][4]):
+                top[chain[0]] = chain
+
         for first, last, a, b in sorted(matches):
-            #: the longest open chain that this match continues: later in the text and in the template, close by
-            able = [c for c in open_chains if 0 <= first - c[1] - 1 <= max_gap and a > c[3]]
+            still = []
+            for c in open_chains:
+                still.append(c) if first - c[1] - 1 <= max_gap else close(c)
+            # the longest open chain that this match continues: later in the text and in the template
+            able = [c for c in still if first > c[1] and a > c[3]]
             best = max(able, key=lambda c: c[4], default=None)
-            chain = [best[0], last, best[2], b, best[4] + b - a + 1] if best else [first, last, a, b, b - a + 1]
-            open_chains = [c for c in open_chains if first - c[1] - 1 <= max_gap or c[4] >= min_coverage * size] + [chain]
-        good = [c for c in open_chains if c[4] >= min_coverage * size]
-        top: dict[int, list] = {}
-        for c in good:
-            if c[0] not in top or c[4] > top[c[0]][4]:
-                top[c[0]] = c
-        spans += [(texts[t][0], c[0], c[1], min(1.0, c[4] / size)) for c in top.values()]
-    return sorted(spans)
+            still.append([best[0], last, best[2], b, best[4] + b - a + 1] if best else [first, last, a, b, b - a + 1])
+            open_chains = still
+        for c in open_chains:
+            close(c)
+        spans += [(c[0], c[1], -c[4], texts[t][0], min(1.0, c[4] / size)) for c in top.values()]
+    return sorted((label, first, last, coverage) for first, last, _, label, coverage in _best(sorted(spans)))
+
+
+def _best(spans: list[tuple]) -> list[tuple]:
+    """Without spans that overlap one of more words: templates share passages, and the one that covers most names the place."""
+    out, cluster, end = [], [], -1
+    for span in [*spans, (1 << 62,) * 3]:
+        if span[0] > end:
+            kept: list[tuple] = []
+            for x in sorted(cluster, key=lambda x: x[2]):
+                if not any(y[2] < x[2] and y[0] <= x[1] and x[0] <= y[1] for y in kept):
+                    kept.append(x)
+            out.extend(kept)
+            cluster = []
+        cluster.append(span)
+        end = max(end, span[1])
+    return out
 
 
 SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])
@@ -163,8 +260,8 @@ SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int
 def scan_licences(documents: DataFrame, text: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the spans of every row.
 
-    Base phrases are found at all places, overlaps included; labels are those of base phrases and of templates that a
-    chain covers by ``min_coverage``; score is the largest coverage found (1 with a base phrase, 0 with nothing).
+    Base phrases are found at all places, overlaps included; labels are those of base phrases and of templates of
+    which a chain covers ``min_coverage``, or ``min_words`` words; score is the largest coverage found (1 with a base phrase, 0 with nothing).
     A null text is an empty one: no words, empty labels, null places. Repeated rows are scanned alike."""
 
     def run(batches):

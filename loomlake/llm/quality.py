@@ -106,6 +106,8 @@ def judge_documents(documents: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep_good(documents: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of documents that pass, with the columns of documents."""
+    """The rows of documents that pass, with the columns of documents.
+
+    Null, empty and blank texts fail; repeated rows stay or go together; an empty table stays empty."""
     good = ledger(documents).filter(passes("base") & passes(policy))
     return good.select([F.col("row").getField(c).alias(c) for c in documents.columns])

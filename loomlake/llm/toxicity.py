@@ -23,6 +23,8 @@ from .licences import words
 #: Labelled texts fitted on at most, words of the vocabulary at most, least document frequency of a word, and the least
 #: log odds of its toxic share in standard errors (rarer or weaker words would only memorise the sample).
 SAMPLE, VOCABULARY, LEAST_TEXTS, LEAST_ERRORS = 8_000, 4_096, 6, 3.5
+#: Places of the histogram by which the sample is chosen.
+PLACES = 1 << 16
 #: Least lower bound of the log odds of a word's toxic share for it to count towards a grade; grades' least counts.
 SINGLED_OUT, GRADES = 2.0, (0, 2, 4)
 #: A text is rejected when toxicity of any grade is likelier than not.
@@ -97,13 +99,23 @@ def fit(texts: list[bytes | None], toxic: list[int], steps: int = 400, rate: flo
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """Fit on at most ``sample`` labelled rows, those first in the order of a hash of doc_id.
-
-    The sample is chosen on the labels alone, so only its texts are gathered. Labels that are null or belong to no
-    document are left out; a document with several labels counts with each."""
-    chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").limit(sample)
-    found = documents.select("doc_id", F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()  # at most sample rows are broadcast
-    found = sorted(found, key=lambda r: (r.doc_id, bytes(r.text or b""), r.toxic))
+    """Fit on at most ``sample`` labelled rows, those of the lowest hashes of doc_id.
+
+    The sample is chosen on the labels alone, by a threshold on the hash that a histogram of fixed size gives, so only its
+    texts are gathered. Labels that are null or belong to no document are left out; a document with several labels counts
+    with each; of several texts with one doc_id the least counts."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PLACES))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
+    least, total = 0, 0
+    for r in sorted(known.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.place):
+        total += r.n
+        if total > sample:
+            break
+        least = r.place + 1
+    chosen = F.broadcast(known.filter(place < least))  # at most sample rows
+    found = documents.select("doc_id", F.col(text).cast("binary").alias("text")).join(chosen, "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    found = sorted(found, key=lambda r: (r.doc_id, r.toxic))
     return fit([None if r.text is None else bytes(r.text) for r in found], [int(r.toxic > 0) for r in found])
 
 
@@ -131,7 +143,9 @@ def grade_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that are not toxic, with the columns of documents."""
+    """The rows of documents that are not toxic, with the columns of documents.
+
+    A null or empty text is never toxic while labels of both classes exist; repeated rows stay or go together."""
     model = fit_on(documents, labels)
     held = documents.select(F.struct(*documents.columns).alias("row"), F.col("text"))
     clean = score_texts(held, model, carry=["row"]).filter(F.col("p_any") < REJECT)
