@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ BOOLEANS = (["true", "false"], ["yes", "no"])
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd"]
 DATE_HINTS = ["date", "_at", "signup"]
 NUMERIC_SHARE, DATE_SHARE = 0.95, 0.90
-# Function words that mark prose.
-STOPWORDS = "a an and are as at be been but by can do for from had has have he her his i if in is it its not of on or our she so than that the their them then there they this to was we were what when which who will with would you your".split()
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -49,11 +49,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+@lru_cache(maxsize=1)
+def stop_words() -> tuple[str, ...]:
+    """Spark's own English stop words, those that are single words."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(sorted(w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha()))
+
+
 def is_prose(c: Column) -> Column:
-    """At least 12 words, and over a fifth of them function words or over 40 of them."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"(\b\w+\b)"), F.lit(1))
-    stop = F.size(F.filter(tokens, lambda t: t.isin(STOPWORDS)))
-    return (F.size(tokens) >= 12) & ((stop / F.size(tokens) > 0.2) | (F.size(tokens) > 40))
+    """At least 12 words, and over a fifth of them stop words or over 40 characters."""
+    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\b\w+\b)"), F.lit(1))
+    stop = F.size(F.filter(tokens, lambda t: t.isin(*stop_words())))
+    return (F.size(tokens) >= 12) & ((stop / F.size(tokens) > 0.2) | (F.length(c) > 40))
+
+
+def is_date(c: Column) -> Column:
+    """Whether a text reads as a date or time."""
+    return F.when(c.rlike(r"\d.*\d"), F.coalesce(F.try_to_timestamp(c).cast("string"), as_date(c)).isNotNull()).otherwise(c.isNull())
 
 
 def looks_like_list(c: Column) -> Column:

@@ -40,14 +40,27 @@ def uniqueness(columns: DataFrame) -> DataFrame:
     return columns.select("dataset", "column", F.when(some > 0, F.col("unique_count") / some).otherwise(0.0).alias("uniqueness"))
 
 
-def governance(nodes: DataFrame, gold: DataFrame, scores: DataFrame, soundness: DataFrame) -> DataFrame:
-    """Edges of a composed run: gold (table_id, column, dataset, original), scores (base_dataset, base_column,
-    candidate_dataset, candidate_column, score), soundness (source, target, score). Edges to missing nodes and loops are dropped."""
+def eligible_bases(nodes: DataFrame, datasets: DataFrame) -> DataFrame:
+    """dataset, row_count, eligible, of the usable datasets: eligible with a usable text column."""
+    texts = nodes.filter("kind = 'column' AND main_type = 'string'").select("dataset").distinct().withColumn("eligible", F.lit(True))
+    held = nodes.filter("kind = 'dataset'").select("dataset").join(datasets.select("dataset", "row_count"), "dataset")
+    return held.join(texts, "dataset", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+
+
+def governance(nodes: DataFrame, gold: DataFrame, scores: DataFrame, soundness: DataFrame, joins: DataFrame | None = None) -> DataFrame:
+    """Edges (source, target, relation, score, detail) of a composed run: gold (table_id, column, dataset, original), scores
+    (base_dataset, base_column, candidate_dataset, candidate_column, score), soundness (source, target, score), joins
+    (table_id, dataset, base_column, candidate_column, score, aggregated). Edges to missing nodes and loops are dropped."""
     of = lambda d, c: F.concat(F.lit("column::"), F.col(d), F.lit("::"), F.col(c))
-    table, none = F.concat(F.lit("gold::"), "table_id"), F.lit(None).cast("double")
-    edges = gold.select(table.alias("source"), F.concat(F.lit("dataset::"), "dataset").alias("target"), F.lit("built_from").alias("relation"), none.alias("score")).distinct()
-    edges = edges.unionByName(gold.select(table.alias("source"), of("dataset", "original").alias("target"), F.lit("derived_from").alias("relation"), none.alias("score")).distinct())
-    edges = edges.unionByName(scores.select(of("base_dataset", "base_column").alias("source"), of("candidate_dataset", "candidate_column").alias("target"), F.lit("joinable").alias("relation"), "score"))
-    edges = edges.unionByName(soundness.select("source", "target", F.lit("statistically_related").alias("relation"), "score"))
+    table, none, blank = F.concat(F.lit("gold::"), "table_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("detail")
+    relation = lambda x: F.lit(x).alias("relation")
+    dataset = F.concat(F.lit("dataset::"), "dataset")
+    edges = gold.select(table.alias("source"), dataset.alias("target"), relation("built_from"), none, blank).distinct()
+    edges = edges.unionByName(gold.select(table.alias("source"), of("dataset", "original").alias("target"), relation("derived_from"), none, F.col("column").alias("detail")))
+    edges = edges.unionByName(scores.select(of("base_dataset", "base_column").alias("source"), of("candidate_dataset", "candidate_column").alias("target"), relation("joinable"), "score", blank))
+    edges = edges.unionByName(soundness.select("source", "target", relation("statistically_related"), "score", blank))
+    if joins is not None:
+        how = F.concat("base_column", F.lit(" = "), "candidate_column", F.when(F.col("aggregated"), " aggregated").otherwise(""))
+        edges = edges.unionByName(joins.select(table.alias("source"), dataset.alias("target"), relation("joined_via"), "score", how.alias("detail")))
     ids = nodes.select("id").unionByName(gold.select(table.alias("id"))).distinct()
     return edges.filter("source <> target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")

@@ -22,7 +22,8 @@ class ComposeError(ValueError):
 class Candidate:
     """A table to attach: its key column, the base column it meets, and functions for columns (others take the default).
 
-    ``unique`` says the key is known to be unique and without nulls, which saves the aggregation; ``order`` is what ``first`` goes by."""
+    ``unique`` says that the key should be unique and without nulls: that is checked, and only then is the aggregation
+    spared (see guarded()). ``order`` is what ``first`` goes by."""
 
     dataset: str
     df: DataFrame
@@ -74,14 +75,26 @@ def is_unique(df: DataFrame, key: str) -> bool:
     return df.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | quoted(key).isNull()).isEmpty()
 
 
-def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage: Composed | None = None) -> Composed:
+def guarded(candidate: Candidate) -> Candidate:
+    """The granularity guard: candidate as it may be joined, unique only if its key is."""
+    return replace(candidate, unique=candidate.unique and is_unique(candidate.df, candidate.key))
+
+
+def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage: Composed | None = None, usable: set[tuple[str, str]] | None = None) -> Composed:
     """left with the candidate's columns, one row for each row of left. Null keys never match.
 
-    lineage: where the candidate is composed itself, with ``keep_key`` its key stays a column."""
+    lineage: where the candidate is composed itself, with ``keep_key`` its key stays a column. usable: the (dataset,
+    column) pairs that may be joined on, if only those may."""
     key, own = candidate.key, candidate.df
+    if usable is not None:
+        at = (left.provenance.get(candidate.base_column), left.originals.get(candidate.base_column))
+        of = (lineage.provenance[key], lineage.originals[key]) if lineage and key in lineage.provenance else (candidate.dataset, key)
+        if not {at, of} <= usable:
+            raise ComposeError(f"flagged columns cannot be joined on: {sorted(x for x in (at, of) if x not in usable)}")
     if candidate.base_column not in left.df.columns or key not in own.columns:
         raise ComposeError(f"no such column: {candidate.base_column} or {key}")
     a, b = left.df.schema[candidate.base_column].dataType, own.schema[key].dataType
+    candidate = guarded(candidate)
     if a != b and not (isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)):
         raise ComposeError(f"{candidate.base_column} is {a.simpleString()}, {key} is {b.simpleString()}")
     members = set(lineage.datasets) if lineage else {candidate.dataset}
@@ -110,11 +123,11 @@ def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage
     return replace(left, df=df, provenance=left.provenance | source, originals=left.originals | original, protected=tuple(dict.fromkeys((*left.protected, candidate.base_column, *((names[key],) if key in names else ())))), aggregated=left.aggregated + (() if candidate.unique else (candidate.dataset,)), renamed=left.renamed | renamed)
 
 
-def star(left: Composed, candidates: list[Candidate]) -> Composed:
+def star(left: Composed, candidates: list[Candidate], usable: set[tuple[str, str]] | None = None) -> Composed:
     if not candidates:
         raise ComposeError("no candidate")
     for c in candidates:
-        left = attach(left, c)
+        left = attach(left, c, usable=usable)
     return left
 
 

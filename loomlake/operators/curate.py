@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import quoted
 from .compose import Composed
+from .profile import quantiles
 
 # Thresholds and bin counts.
 NEAR_BIJECTION, LEAST_VALUES, MOSTLY_NULL, PRIMARY_KEY = 0.98, 3, 0.96, 0.90
@@ -101,14 +102,14 @@ def binned(df: DataFrame, bins: int = BINS) -> DataFrame:
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     if not numbers:
         return df
-    cuts = ", ".join(f"{k / bins}D" for k in range(bins + 1))
+    cuts = {r["column"]: r.q for r in quantiles(df, numbers, [k / bins for k in range(bins + 1)]).collect()}  # one row a column
     sums = []
     for i, c in enumerate(numbers):
         x = f"CAST({'`' + c.replace('`', '``') + '`'} AS DOUBLE)"
-        sums += [F.count_distinct(quoted(c)).alias(f"d{i}"), F.expr(f"count_if({x} <> floor({x}))").alias(f"w{i}"), F.expr(f"count({x})").alias(f"n{i}"), F.expr(f"kurtosis({x})").alias(f"k{i}"), F.expr(f"percentile({x}, array({cuts}))").alias(f"q{i}")]
+        sums += [F.count_distinct(quoted(c)).alias(f"d{i}"), F.expr(f"count_if({x} <> floor({x}))").alias(f"w{i}"), F.expr(f"count({x})").alias(f"n{i}"), F.expr(f"kurtosis({x})").alias(f"k{i}")]
     s, out = df.agg(*sums).first(), {}
     for i, c in enumerate(numbers):
-        x, n, q = quoted(c).cast("double"), s[f"n{i}"], s[f"q{i}"]
+        x, n, q = quoted(c).cast("double"), s[f"n{i}"], cuts.get(c)
         if s[f"d{i}"] <= 1 or (not s[f"w{i}"] and s[f"d{i}"] <= AS_CATEGORIES):
             continue
         g2 = s[f"k{i}"]

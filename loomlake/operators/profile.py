@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import BOOLEANS, is_prose, looks_like_list, quoted, word_count
+from ..functions.text import BOOLEANS, is_date, is_prose, looks_like_list, quoted, word_count
+from .quality import column_flags, dataset_flags
 
 # Sizes of the profile.
-TOP, CATEGORIES, SAMPLE, PROSE_SAMPLE = 10, 20, 1000, 50
+TOP, CATEGORIES, SAMPLES = 10, 20, 3
+#: Accuracy of the sketch that brackets a quantile before it is counted exactly.
+ACCURACY = 10_000
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value as text, freq), nulls included as a null value."""
+def value_counts(df: DataFrame, columns: list[str] | None = None, first: bool = False) -> DataFrame:
+    """(column, value as text, freq), nulls included as a null value; with ``first`` also first_row, where it occurs first."""
     columns = columns or df.columns
     held = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
-    return df.select(F.explode(held).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("freq"))
+    row = [F.monotonically_increasing_id().alias("row")] if first else []
+    sums = [F.count(F.lit(1)).alias("freq")] + ([F.min("row").alias("first_row")] if first else [])
+    return df.select(*row, held.alias("held")).select(*(["row"] if first else []), F.explode("held").alias("x")).groupBy("x.column", "x.value").agg(*sums)
 
 
 def cardinality(counts: DataFrame) -> DataFrame:
@@ -83,60 +88,151 @@ def boundary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.select(F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("x")).select("x.*")
 
 
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v double) of numeric columns; NaN is no value."""
+    value = F.array(*[F.struct(F.lit(c).alias("column"), F.nullif(quoted(c).cast("double"), F.lit(float("nan"))).alias("v")) for c in columns])
+    return df.select(F.explode(value).alias("x")).select("x.*")
+
+
+def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """column, q (array of the exact quantiles, interpolated between the two nearest values), n, in two scans.
+
+    A sketch of bounded size brackets each quantile; the second scan counts what lies below a bracket and the distinct
+    values inside it, which are few, so no task holds a column's values."""
+    long = _long(df, columns).filter("v IS NOT NULL")
+    margin = 2 / ACCURACY
+    around = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)})
+    sketch = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", around, ACCURACY).alias("a"))
+    bracket = []
+    for i, p in enumerate(probabilities):
+        low, high = around.index(max(0.0, p - margin)), around.index(min(1.0, p + margin))
+        place = F.lit(p) * (F.col("n") - 1)
+        low_value = F.col("low") if p <= margin else F.col("a")[low]
+        high_value = F.col("high") if p >= 1 - margin else F.col("a")[high]
+        bracket.append(F.struct(F.lit(i).alias("i"), low_value.alias("lo"), high_value.alias("hi"), place.alias("place")))
+    brackets = F.broadcast(sketch.select("column", "n", F.array(*bracket).alias("b")))  # one row a column
+    met = long.join(brackets, "column")
+    below = met.groupBy("column", "n").agg(*[F.count_if(F.col("v") < F.col("b")[i]["lo"]).alias(f"below{i}") for i in range(len(probabilities))])
+    below = below.select("column", "n", F.posexplode(F.array(*[f"below{i}" for i in range(len(probabilities))])).alias("i", "below"))
+    inside = met.select("column", "v", F.explode(F.filter("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("x"))
+    inside = inside.groupBy("column", "x.i", "x.place", "v").agg(F.count(F.lit(1)).alias("f")).join(F.broadcast(below), ["column", "i"])
+    upto = F.col("below") + F.sum("f").over(Window.partitionBy("column", "i").orderBy("v"))
+    ranked = inside.withColumn("upto", upto)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    floor, ceil = F.floor("place"), F.ceil("place")
+    found = ranked.groupBy("column", "i", "n", "place").agg(at(floor).alias("x"), at(ceil).alias("y"))
+    value = F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - floor)
+    found = found.select("column", "n", F.struct("i", value.alias("v")).alias("z"))
+    return found.groupBy("column", "n").agg(F.array_sort(F.collect_list("z")).alias("z")).select("column", F.transform("z", lambda z: z["v"]).alias("q"), "n")
+
+
 def numerical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Signs, zeros, quartiles and outliers beyond 1.5 interquartile ranges, of numeric columns.
 
     total_outliers is the number of rows, and percentage_outliers its share outside the bounds."""
-    value = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.explode(value).alias("x")).select("x.*")
-    # exact quartiles from counts of distinct values, combined before the shuffle
-    bounds = long.groupBy("column").agg(F.expr("percentile(v, array(0.25D, 0.75D))").alias("q")).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    bounds = quantiles(df, columns, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    held = long.join(F.broadcast(bounds), "column")  # one row a column
-    return held.groupBy("column", "q1", "q3").agg(F.count(F.lit(1)).alias("values_count"), (F.count_if(F.col("v") < 0) / F.count(F.lit(1))).alias("percentage_negative"), (F.count_if(F.col("v") == 0) / F.count(F.lit(1))).alias("number_zero"), F.count_if(F.col("v") < F.col("q1") - 1.5 * iqr).alias("outliers_below_iqr"), F.count_if(F.col("v") > F.col("q3") + 1.5 * iqr).alias("outliers_above_iqr"), F.count(F.lit(1)).alias("total_outliers"), (F.count_if((F.col("v") < F.col("q1") - 1.5 * iqr) | (F.col("v") > F.col("q3") + 1.5 * iqr)) / F.count(F.lit(1))).alias("percentage_outliers"))
+    held = _long(df, columns).join(F.broadcast(bounds), "column", "left")  # one row a column
+    rows, v = F.count(F.lit(1)), F.col("v")
+    below, above = v < F.col("q1") - 1.5 * iqr, v > F.col("q3") + 1.5 * iqr
+    return held.groupBy("column", "q1", "q3").agg(
+        rows.alias("values_count"),
+        (F.count_if(v < 0) / rows).alias("percentage_negative"),
+        (F.count_if(v == 0) / rows).alias("number_zero"),
+        F.count_if(below).alias("outliers_below_iqr"),
+        F.count_if(above).alias("outliers_above_iqr"),
+        rows.alias("total_outliers"),
+        (F.count_if(below | above) / rows).alias("percentage_outliers"),
+    )
+
+
+def _storage(kind: T.DataType) -> str:
+    if isinstance(kind, T.StringType):
+        return "text"
+    if isinstance(kind, T.IntegralType):
+        return "integer"
+    if isinstance(kind, T.NumericType):
+        return "float"
+    if isinstance(kind, T.BooleanType):
+        return "bool"
+    return "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "other"
+
+
+def _typed(df: DataFrame, counts: DataFrame, *more) -> DataFrame:
+    """column, row_count, null_count, unique_count, top_freq, dtype, main_type, secondary_type, and more sums: one shuffle of
+    the value counts, whatever the number of columns."""
+    dtype = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, _storage(f.dataType))])[F.col("column")]
+    some, blank = F.col("value").isNotNull(), F.col("value").isNull() | (F.col("value") == "")
+    v = F.when(dtype == "text", F.col("value"))  # only texts are tested for what they read as
+    word = F.lower(F.trim(v))
+    odd = lambda test: F.count_if(v.isNotNull() & ~test)
+    sums = [
+        F.sum("freq").alias("row_count"),
+        F.coalesce(F.sum(F.when(blank, F.col("freq"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("unique_count"),
+        F.max(F.when(some, F.col("freq"))).alias("top_freq"),
+        F.coalesce(F.sum(F.when(some, F.col("freq"))), F.lit(0)).alias("held"),
+        *[odd((word == "") | word.isin(b)).alias(f"bool{i}") for i, b in enumerate(BOOLEANS)],
+        F.count_if(word != "").alias("words"),
+        odd(is_date(v)).alias("no_date"),
+        odd(looks_like_list(v)).alias("no_list"),
+        F.count_if(F.contains(v, F.lit("base64"))).alias("base64"),
+        F.coalesce(F.sum(F.when(is_prose(v), F.col("freq"))), F.lit(0)).alias("prose"),
+        F.count_if(some & ~F.col("value").isin("0", "1")).alias("no_bit"),
+    ]
+    held = counts.groupBy("column").agg(*sums, *more).withColumn("dtype", dtype)
+    c, few = F.col, F.col("unique_count") <= CATEGORIES
+    whole = (c("dtype") == "integer") & (c("held") == c("row_count"))  # an integer column with a null counts as float
+    kind = (
+        F.when(c("unique_count") == 0, "other")
+        .when(c("dtype") == "bool", "boolean")
+        .when(whole & (c("unique_count") == 2) & (c("no_bit") == 0), "binary")
+        .when(whole & few, "categorical_with_numbers")
+        .when(whole, "integer")
+        .when(c("dtype").isin("integer", "float"), "float")
+        .when(c("dtype") == "date", "date")
+        .when(c("dtype") != "text", "other")
+        .when((c("words") > 0) & ((c("bool0") == 0) | (c("bool1") == 0)), "boolean")
+        .when(c("no_date") == 0, "date")
+        .when(c("no_list") == 0, "array")
+        .when(few, "categorical")
+        .when(c("base64") > 0, "other")
+        .when(c("prose") / c("held") > 0.5, "textual")
+        .otherwise("string")
+    )
+    main = F.when(kind.isin("binary", "categorical_with_numbers", "integer", "float"), "numeric").otherwise("string")
+    return held.withColumns({"secondary_type": kind, "main_type": main}).drop("held", "bool0", "bool1", "words", "no_date", "no_list", "base64", "prose", "no_bit")
 
 
 def classify(df: DataFrame) -> dict[str, tuple[str, str]]:
-    """column -> (main, secondary) semantic type, from the whole column's counts and tests in one aggregate."""
-    sums = []
-    for i, f in enumerate(df.schema):
-        c, s = quoted(f.name), quoted(f.name).cast("string")
-        text = isinstance(f.dataType, T.StringType)
-        sums += [F.count(c).alias(f"n{i}"), F.count(F.lit(1)).alias(f"r{i}"), F.approx_count_distinct(c).alias(f"a{i}"), F.size(F.collect_set(F.when(c.isin(0, 1) if not text and isinstance(f.dataType, T.IntegralType) else F.lit(False), c))).alias(f"z{i}")]
-        if text:
-            low = F.lower(s)
-            sums += [F.count_if(F.contains(s, F.lit("base64"))).alias(f"b{i}"), *[F.count_if(low.isin(w)).alias(f"v{i}_{k}") for k, w in enumerate(BOOLEANS)], F.count_if(F.try_to_timestamp(s).isNotNull() & s.rlike(r"\d{1,4}[-/]\d")).alias(f"d{i}"), F.count_if(looks_like_list(s)).alias(f"l{i}"), F.count_if(is_prose(s)).alias(f"p{i}")]
-    row, out = df.agg(*sums).first(), {}
-    few = [f.name for i, f in enumerate(df.schema) if row[f"a{i}"] <= 2 * CATEGORIES]
-    exact = df.agg(*[F.count_distinct(quoted(c)).alias(f"x{i}") for i, c in enumerate(few)]).first() if few else ()
-    distinct = dict(zip(few, exact))
-    for i, f in enumerate(df.schema):
-        n, d = row[f"n{i}"], distinct.get(f.name, 1 << 60)
-        if isinstance(f.dataType, T.StringType):
-            if not n or row[f"b{i}"]:
-                kind = "other"
-            elif n in (row[f"v{i}_0"], row[f"v{i}_1"]):
-                kind = "boolean"
-            elif row[f"d{i}"] == n:
-                kind = "date"
-            elif row[f"l{i}"] == n:
-                kind = "array"
-            elif d <= CATEGORIES:
-                kind = "categorical"
-            else:
-                kind = "textual" if row[f"p{i}"] / n > 0.5 else "string"
-            out[f.name] = ("string", kind)
-        elif isinstance(f.dataType, T.BooleanType):
-            out[f.name] = ("string", "boolean")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            out[f.name] = ("string", "date")
-        elif isinstance(f.dataType, T.NumericType):
-            whole = isinstance(f.dataType, T.IntegralType) and n == row[f"r{i}"]  # an integer column with a null counts as float
-            kind = "other" if not n else "float" if not whole else "binary" if d == 2 and row[f"z{i}"] == 2 else "categorical_with_numbers" if d <= CATEGORIES else "integer"
-            out[f.name] = ("string" if kind == "other" else "numeric", kind)
-        else:
-            out[f.name] = ("string", "other")
-    return out
+    """column -> (main, secondary) semantic type, from all values; one row a column reaches the driver."""
+    found = _typed(df, value_counts(df)).select("column", "main_type", "secondary_type").collect()
+    return {r["column"]: (r.main_type, r.secondary_type) for r in found}
+
+
+def column_profile(df: DataFrame, dataset: str) -> DataFrame:
+    """dataset, column, dtype, types, counts, null_pct, the first three distinct values in row order, outliers and flags."""
+    counts = value_counts(df, first=True)
+    held = _typed(df, counts).withColumns({"dataset": F.lit(dataset), "null_pct": F.round(100 * F.col("null_count") / F.col("row_count"), 1)})
+    order = Window.partitionBy("column").orderBy("first_row", "value")
+    first = counts.filter("value IS NOT NULL").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLES)
+    first = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]).alias("sample_values"))
+    held = held.join(first, "column", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    outliers = F.lit(0).cast("long")
+    if numbers:
+        beyond = numerical(df, numbers).select("column", (F.col("outliers_below_iqr") + F.col("outliers_above_iqr")).alias("beyond"))
+        held, outliers = held.join(beyond, "column", "left"), F.coalesce("beyond", F.lit(0))
+    flagged = column_flags(held.withColumn("outliers", outliers))
+    order = ["dataset", "column", "dtype", "main_type", "secondary_type", "row_count", "null_count", "null_pct", "unique_count", "top_freq", "sample_values", "outliers", "flags"]
+    return flagged.select(*order)
+
+
+def dataset_profile(df: DataFrame, columns: DataFrame, dataset: str, size_bytes: int | None = None) -> DataFrame:
+    """One row: dataset, row_count, column_count, size_bytes, duplicate_row_count, flags, from the flagged column profile."""
+    twice = duplicate_rows(df).select(F.lit(dataset).alias("dataset"), "duplicate_row_count")
+    held = dataset_flags(columns).join(F.broadcast(twice), "dataset").withColumn("size_bytes", F.lit(size_bytes).cast("long"))  # one row
+    return held.select("dataset", "row_count", "column_count", "size_bytes", "duplicate_row_count", "flags")
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -153,11 +249,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def deep_profile(df: DataFrame, dataset: str) -> DataFrame:
     """All metrics of every column, one row a column."""
-    counts = value_counts(df).cache()
-    types = classify(df)
-    numbers = [c for c, (main, _) in types.items() if main == "numeric"]
-    kinds = F.create_map(*[F.lit(x) for c, (m, s) in types.items() for x in (c, f"{m}/{s}")])
+    counts = value_counts(df)
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     out = cardinality(counts)
-    for part in (frequency(counts), common_values(counts), coverage(counts), lengths(counts), boundary(df), *([numerical(df, numbers)] if numbers else [])):
+    for part in (_typed(df, counts).select("column", "main_type", "secondary_type"), frequency(counts), common_values(counts), coverage(counts), lengths(counts), boundary(df)):
         out = out.join(part, "column", "left")
-    return out.withColumns({"dataset": F.lit(dataset), "main_type": F.split_part(kinds[F.col("column")], F.lit("/"), F.lit(1)), "secondary_type": F.split_part(kinds[F.col("column")], F.lit("/"), F.lit(2))})
+    if numbers:
+        out = out.join(numerical(df, numbers), "column", "left")
+    return out.withColumn("dataset", F.lit(dataset))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, curate, discovery, profile, quality
+from ..operators import curate, discovery, profile, quality
 from ..operators.compose import Candidate, Composed, Step, base, chain, match_rate, merge, star
 from ..sources.lake import page
+from . import lake_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,7 +219,7 @@ def quality_flags(spark, sf_dir):
     return quality.column_flags(_flag_profile(spark, sf_dir)).select("column", F.array_join("flags.type", ",").alias("flags"))
 
 
-@query()
+@query("""SELECT 'lineitem' AS dataset, count(*) AS row_count, CAST(3 AS BIGINT) AS column_count, CASE WHEN count(*) < 20 THEN 'too_few_rows' ELSE '' END || CASE WHEN count(*) FILTER (l_quantity < 50) > 0.95 * count(*) THEN 'too_few_valid_columns' ELSE '' END AS flags FROM lineitem""")
 def quality_dataset_flags(spark, sf_dir):
     return quality.dataset_flags(quality.column_flags(_flag_profile(spark, sf_dir))).select("dataset", "row_count", "column_count", F.array_join("flags.type", ",").alias("flags"))
 
@@ -240,12 +242,12 @@ def date_normalize(spark, sf_dir):
     return orders.select("o_orderkey", X.as_date(F.col("s")).alias("day"))
 
 
-@query()
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) >= 12 AND length(text) > 40 AS prose FROM documents""")
 def prose_heuristic(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.is_prose(F.col("text")).alias("prose"))
 
 
-@query()
+@query(lake_queries._PROFILE + """ SELECT c AS "column", main AS main_type, kind AS secondary_type FROM p WHERE d = 'customer'""")
 def classify_types(spark, sf_dir):
     kinds = profile.classify(t(spark, sf_dir, "customer"))
     return spark.createDataFrame([(c, *k) for c, k in kinds.items()], "column string, main_type string, secondary_type string")
@@ -331,36 +333,6 @@ def score_normalize(spark, sf_dir):
     return curate.normalised(_scores(spark, sf_dir)).select("base_column", "candidate_column", "normalised")
 
 
-def _catalog(spark, sf_dir):
-    columns = _profiles(spark, sf_dir).select("dataset", "column", "main_type", F.col("cardinality").cast("long").alias("unique_count"), F.col("num_rows").alias("row_count"), F.lit(0).cast("long").alias("null_count"), F.col("cardinality").cast("long").alias("top_freq"), F.lit(0).alias("outliers"), F.when(F.col("column") == "c_name", "textual").otherwise("string").alias("secondary_type")).withColumn("top_freq", F.lit(1))
-    flagged = quality.column_flags(columns)
-    return catalog.build(quality.dataset_flags(flagged), flagged), flagged
-
-
-@query("""SELECT kind, count(*) AS n FROM (SELECT unnest(['dataset','dataset','dataset','dataset','column','column','column','column','column','column','column','column','column','quality_flag','quality_flag']) AS kind) GROUP BY kind""")
-def catalog_nodes(spark, sf_dir):
-    (nodes, _), _ = _catalog(spark, sf_dir)
-    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('customer', 'c_mktsegment,c_nationkey'), ('nation', 'n_name,n_regionkey'), ('supplier', 's_name,s_nationkey')) x(dataset, columns)")
-def usable_columns(spark, sf_dir):
-    (nodes, edges), _ = _catalog(spark, sf_dir)
-    kept, _ = catalog.usable(nodes, edges)
-    return catalog.usable_columns(kept, "string").select("dataset", F.array_join("columns", ",").alias("columns"))
-
-
-@query(_PROFILE + ' SELECT d AS dataset, c AS "column", uniq AS uniqueness FROM q')
-def column_uniqueness(spark, sf_dir):
-    return catalog.uniqueness(_catalog(spark, sf_dir)[1])
-
-
-@query("SELECT * FROM (VALUES ('a', 10, 'a+b', NULL), ('b', 10, 'a+b', 'a'), ('c', 5, 'a+c', NULL), ('d', 7, 'a+d', NULL)) x(base_dataset, row_count, members, duplicate_of)")
-def base_dedupe(spark, sf_dir):
-    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "a")], "base_dataset string, candidate_dataset string")
-    return discovery.unique_bases(edges, spark.createDataFrame([("a", 10), ("b", 10), ("c", 5), ("d", 7)], "base_dataset string, row_count int"))
-
-
 # -- curation ------------------------------------------------------------------------------------------------------
 
 
@@ -376,13 +348,6 @@ def mostly_null(spark, sf_dir):
     return curate.null_shares(made.df)
 
 
-@query("""SELECT "column", count(*) AS n FROM (SELECT unnest(['c_custkey', 'c_name']) AS "column") GROUP BY 1""")
-def unused_keys(spark, sf_dir):
-    customer = t(spark, sf_dir, "customer", "CAST(c_custkey AS STRING) AS c_custkey", "c_name", "c_mktsegment")
-    unique = {("customer", r["column"]): r.uniqueness for r in profile.cardinality(profile.value_counts(customer)).select("column", "uniqueness").collect()}
-    return spark.createDataFrame([(c, 1) for c in curate.unused_keys(base("customer", customer), unique)], '`column` string, n long')
-
-
 _BIN = """SELECT CAST(least(9, greatest(0, ceil((x - lo) / ((hi - lo) / 10.0)) - 1)) AS INT) AS bin, count(*) AS n FROM (SELECT CAST(l_quantity * 8 AS BIGINT) AS x FROM lineitem), (SELECT min(CAST(l_quantity * 8 AS BIGINT)) AS lo, max(CAST(l_quantity * 8 AS BIGINT)) AS hi FROM lineitem) GROUP BY 1"""
 
 
@@ -391,8 +356,9 @@ def bin_equal_width(spark, sf_dir):
     return curate.binned(t(spark, sf_dir, "lineitem", "CAST(l_quantity * 8 AS BIGINT) AS bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DEP = """WITH c AS (SELECT c1, c2, a, b, count(*) AS n FROM (SELECT 'flag' AS c1, 'size' AS c2, l_returnflag AS a, CAST(l_linenumber AS VARCHAR) AS b FROM lineitem UNION ALL SELECT 'flag', 'step', l_returnflag, CAST(CAST(l_quantity AS BIGINT) // 10 AS VARCHAR) FROM lineitem
-    UNION ALL SELECT 'price', 'step', CAST(CAST(l_quantity AS BIGINT) // 5 AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) // 10 AS VARCHAR) FROM lineitem) GROUP BY ALL), r AS (SELECT c1, c2, a, sum(n) AS r FROM c GROUP BY ALL), k AS (SELECT c1, c2, b, sum(n) AS k FROM c GROUP BY ALL),
+_ONE = {"flag": "l_returnflag", "price": "CAST(CAST(l_quantity AS BIGINT) // 5 AS VARCHAR)", "size": "CAST(l_linenumber AS VARCHAR)", "step": "CAST(CAST(l_quantity AS BIGINT) // 10 AS VARCHAR)"}
+_TWO = " UNION ALL ".join(f"SELECT '{x}' AS c1, '{y}' AS c2, {_ONE[x]} AS a, {_ONE[y]} AS b FROM lineitem" for x, y in combinations(_ONE, 2))
+_DEP = f"""WITH c AS (SELECT c1, c2, a, b, count(*) AS n FROM ({_TWO}) GROUP BY ALL), r AS (SELECT c1, c2, a, sum(n) AS r FROM c GROUP BY ALL), k AS (SELECT c1, c2, b, sum(n) AS k FROM c GROUP BY ALL),
     s AS (SELECT c1, c2, sum(CAST(n AS DOUBLE) * n / (CAST(r AS DOUBLE) * k)) AS s, sum(n) AS n FROM c JOIN r USING (c1, c2, a) JOIN k USING (c1, c2, b) GROUP BY ALL), d AS (SELECT c1, c2, CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS DOUBLE) AS dof FROM c GROUP BY ALL)
     SELECT c1 AS column_1, c2 AS column_2, round(log2(greatest((n * (s - 1) - dof) / sqrt(2 * dof), 1)), 6) AS soundness FROM s JOIN d USING (c1, c2)"""
 
@@ -404,7 +370,7 @@ def _dependent(spark, sf_dir):
 
 @query(_DEP)
 def dependence_pairs(spark, sf_dir):
-    return curate.dependence(_dependent(spark, sf_dir)).filter("column_1 = 'flag' AND column_2 IN ('size', 'step') OR column_1 = 'price' AND column_2 = 'step'")
+    return curate.dependence(_dependent(spark, sf_dir))
 
 
 @query("WITH x AS (" + _DEP + ") SELECT column_1, column_2, soundness FROM x WHERE soundness >= 4.0")
@@ -412,13 +378,5 @@ def relationship_edges(spark, sf_dir):
     return curate.relationship_edges(curate.dependence(_dependent(spark, sf_dir)))
 
 
-@query()
-def gold_every_table(spark, sf_dir):
-    """One row a column of each output table of the autonomous composition of four tables."""
-    from .gold import build_gold
-
-    tables = {n: t(spark, sf_dir, n, *c) for n, c in {"nation": ["n_name", "n_nationkey"], "supplier": ["s_name", "s_nationkey", "s_acctbal"], "customer": ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]}.items()}
-    keys = [("supplier", "s_nationkey", "nation", "n_nationkey", 0.9, 1.0), ("customer", "c_nationkey", "nation", "n_nationkey", 0.8, 1.0)]
-    scores = spark.createDataFrame(keys, "base_dataset string, base_column string, candidate_dataset string, candidate_column string, score double, candidate_uniqueness double")
-    run = build_gold(tables, scores, {(n, c) for n, df in tables.items() for c in df.columns}, {})
-    return spark.createDataFrame([(x.id, x.kind, c) for x in run.tables for c in x.columns], "table_id string, kind string, column string")
+QUERIES |= lake_queries.QUERIES
+ORACLE_SQL |= lake_queries.ORACLE_SQL

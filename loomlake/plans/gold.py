@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compose as C
-from ..operators.curate import curate, declutter
+from ..operators.curate import curate, declutter, relationship_edges
 from ..operators.discovery import best_per_dataset, unique_bases
 
+EVERY_TABLE, AD_HOC = "every_table", "ad_hoc"
+
 
 @dataclass(frozen=True)
 class GoldConfig:
-    mode: str = "every_table"
+    """threshold of scores, candidates of a base (every table), least uniqueness of a candidate's key, most columns and
+    least match rate of a join (ad hoc)."""
+
+    mode: str = EVERY_TABLE
     threshold: float = 0.001
     top: int | None = 4
     uniqueness: float = 0.0
     width: int = 80
     match: float = 0.1
 
+    @staticmethod
+    def ad_hoc(**own) -> GoldConfig:
+        return GoldConfig(**{"mode": AD_HOC, "top": None, "uniqueness": 0.9} | own)
+
 
 @dataclass
 class GoldTable:
-    """One output table: its recipe's lineage and a lazy DataFrame."""
+    """One output table: where its rows and columns come from, how it was joined, and a lazy DataFrame."""
 
     id: str
     name: str
@@ -32,6 +41,13 @@ class GoldTable:
     datasets: list[str]
     columns: list[str]
     df: DataFrame
+    provenance: dict[str, str] = field(default_factory=dict)
+    originals: dict[str, str] = field(default_factory=dict)
+    joins: list[dict] = field(default_factory=list)
+
+    def record(self) -> dict:
+        """All but the rows."""
+        return asdict(replace(self, df=None)) | {"df": None}
 
 
 @dataclass
@@ -39,10 +55,20 @@ class GoldRun:
     config: GoldConfig
     tables: list[GoldTable]
     redundant: dict[str, str] = field(default_factory=dict)
+    skipped: list[str] = field(default_factory=list)
     scores: DataFrame | None = None
+    related: list[tuple[str, str, str, str, float]] = field(default_factory=list)
 
     def table(self, id: str) -> GoldTable:
-        return next(t for t in self.tables if t.id == id)
+        """One table, whose rows are computed anew from its recipe when they are asked for."""
+        found = [t for t in self.tables if t.id == id]
+        if not found:
+            raise KeyError(f"no such table in this run: {id}")
+        return found[0]
+
+    def record(self) -> dict:
+        """The run as plain values."""
+        return {"config": asdict(self.config), "redundant": self.redundant, "skipped": self.skipped, "tables": [{k: v for k, v in t.record().items() if k != "df"} for t in self.tables]}
 
 
 def display_name(datasets: list[str], most: int = 3) -> str:
@@ -50,63 +76,144 @@ def display_name(datasets: list[str], most: int = 3) -> str:
     return "+".join(named[:most]) + (f" and {len(named) - most} more" if len(named) > most else "")
 
 
-def _tables(id: str, made: C.Composed, drop: list[str]) -> list[GoldTable]:
-    lean = replace(made, df=made.df.drop(*drop))
-    _, _, found = curate(lean)
-    if set(found) <= {"unclustered"}:
-        return [] if len(made.datasets) > 1 else [GoldTable(id, display_name(made.datasets), "unclustered", made.datasets, lean.df.columns, lean.df)]
-    return [GoldTable(f"{id}::cf2::{k}", k.replace("_", " ").capitalize(), "cluster", sorted({made.provenance[c] for c in df.columns}), df.columns, df) for k, df in found.items()]
-
-
-def build_gold(tables: dict[str, DataFrame], scores: DataFrame, usable: set[tuple[str, str]], uniqueness: dict[tuple[str, str], float], config: GoldConfig = GoldConfig()) -> GoldRun:
-    """tables: name -> preprocessed DataFrame; scores of column pairs (profile-sized, so its best edges reach the driver)."""
-    rows = {n: df.count() for n, df in sorted(tables.items())}
-    top = config.top if config.mode == "every_table" else None
+@dataclass
+class Asset:
+    """A growing composite: its lineage, its rows' number, its anchor (whose rows it has), its members, those of them
+    whose home it is, and the joins made so far."""
+
+    made: C.Composed
+    rows: int
+    anchor: str
+    members: list[str]
+    home: set[str]
+    joins: list[dict]
+
+
+class _Gold:
+    def __init__(self, tables, usable, uniqueness, config, keep):
+        self.tables, self.usable, self.uniqueness, self.config, self.keep = tables, usable, uniqueness, config, keep
+
+    def output(self, id: str, made: C.Composed, joins: list[dict], run: GoldRun) -> None:
+        """Declutter and curate a composite into tables."""
+        drop = declutter(made, self.usable, self.uniqueness) if joins else []
+        lean = replace(made, df=made.df.drop(*drop))
+        soundness, _, found = curate(lean)
+        for r in relationship_edges(soundness).collect():  # pairs of columns of one table
+            a, b = ((made.provenance[c], made.originals[c]) for c in (r.column_1, r.column_2))
+            if a != b:
+                run.related.append((*a, *b, r.soundness))
+
+        def table(id: str, name: str, kind: str, df: DataFrame, datasets: list[str]) -> GoldTable:
+            own = {c: made.provenance[c] for c in df.columns}
+            return GoldTable(id, name, kind, datasets, df.columns, df, own, {c: made.originals[c] for c in df.columns}, joins)
+
+        if set(found) <= {"unclustered"}:
+            if not joins:
+                run.tables.append(table(id, display_name(made.datasets), "unclustered", lean.df, made.datasets))
+            return
+        for k, df in found.items():
+            run.tables.append(table(f"{id}::cf2::{k}", k.replace("_", " ").capitalize(), "cluster", df, sorted({made.provenance[c] for c in df.columns})))
+
+    def attempt(self, current: Asset, on: tuple[str, str], other: Asset, key: tuple[str, str], score: float, forced: bool = False) -> Asset | None:
+        """current and other joined on their source columns; the side with more rows is the base, unless current must be."""
+        left, right, a, b = current, other, on, key
+        if other.rows > current.rows and not forced:
+            left, right, a, b = other, current, key, on
+        at, of = left.made.column_of(*a), right.made.column_of(*b)
+        shared = set(left.members) & set(right.members)
+        if at is None or of is None or shared or len(left.made.df.columns) + len(right.made.df.columns) - 1 > self.config.width:
+            return None
+        try:
+            made = C.merge(left.made, at, right.made, of)
+        except C.ComposeError:
+            return None
+        new = [c for c in made.df.columns if c not in left.made.df.columns]
+        if C.match_rate(made, new).first()[0] < self.config.match:
+            return None
+        protected = (*made.protected, *(c for c in right.made.protected if c in made.df.columns))
+        made = replace(made, protected=tuple(dict.fromkeys(protected)), df=self.keep(made.df, f"composite-{left.anchor}"))
+        step = {"dataset": b[0], "column": b[1], "base_dataset": a[0], "base_column": a[1], "score": score, "aggregated": True}
+        home = left.home | (set() if forced else right.home)
+        return Asset(made, left.rows, left.anchor, [*left.members, *right.members], home, [*left.joins, *right.joins, step])
+
+    def grow(self, rows: dict[str, int], by_base: dict[str, list]) -> dict[str, Asset]:
+        """The largest table first; each has one turn, and offers what it found to the composite that is its home."""
+
+        def alone(d: str, home: bool = True) -> Asset:
+            return Asset(C.base(d, self.tables[d]), rows[d], d, [d], {d} if home else set(), [])
+
+        assets: dict[str, Asset] = {}
+        owner: dict[str, str] = {}
+
+        def commit(result: Asset, *gone: str) -> Asset:
+            for anchor in gone:
+                assets.pop(anchor, None)
+            assets[result.anchor] = result
+            owner.update(dict.fromkeys(result.home, result.anchor))
+            return result
+
+        for name in sorted(rows, key=lambda n: (-rows[n], n)):
+            current = assets[owner[name]] if name in owner else commit(alone(name))
+            for e in by_base.get(name, []):
+                d, on, key = e.candidate_dataset, (name, e.base_column), (e.candidate_dataset, e.candidate_column)
+                if d in current.members:
+                    continue
+                if d not in owner:
+                    made = self.attempt(current, on, alone(d), key, e.score)
+                    current = commit(made, current.anchor) if made else current
+                    continue
+                other = assets[owner[d]]
+                if other.anchor == current.anchor:
+                    continue
+                made = self.attempt(current, on, other, key, e.score)
+                if made:
+                    current = commit(made, current.anchor, other.anchor)
+                elif d != other.anchor and len(other.home) > 1:
+                    # d alone, as a fresh copy; its home stays where it is
+                    made = self.attempt(current, on, alone(d, home=False), key, e.score, forced=True)
+                    current = commit(made, current.anchor) if made else current
+        return assets
+
+
+def build_gold(tables: dict[str, DataFrame], scores: DataFrame, usable: set[tuple[str, str]], uniqueness: dict[tuple[str, str], float], config: GoldConfig = GoldConfig(), rows: dict[str, int] | None = None, bases: list[str] | None = None, keep=None) -> GoldRun:
+    """tables: name -> preprocessed DataFrame; scores of column pairs (profile-sized, so its best edges reach the driver).
+
+    rows: numbers of rows, counted if not given; bases: the tables that may be bases, all if not given; keep(df, name):
+    what writes an accepted composite and reads it back, so that later joins and measures do not repeat it."""
+    rows = rows or {n: df.count() for n, df in sorted(tables.items())}
+    bases = sorted(rows) if bases is None else sorted(bases)
+    keep = keep or (lambda df, name: df)
+    top = config.top if config.mode == EVERY_TABLE else None
     edges = best_per_dataset(scores, config.threshold, config.uniqueness, top)
-    by_base: dict[str, list] = {n: [] for n in rows}
+    by_base: dict[str, list] = {n: [] for n in bases}
     for e in sorted(edges.collect(), key=lambda e: (e.base_dataset, e["rank"])):
-        by_base[e.base_dataset].append(e)
-    run = GoldRun(config, [], scores=scores)
-    if config.mode == "every_table":
+        if e.base_dataset in by_base and e.candidate_dataset in tables:
+            by_base[e.base_dataset].append(e)
+    run = GoldRun(config, [], skipped=sorted(set(rows) - set(bases)), scores=scores)
+    gold = _Gold(tables, usable, uniqueness, config, keep)
+    if config.mode == EVERY_TABLE:
         spark = scores.sparkSession
         held = unique_bases(edges, spark.createDataFrame(list(rows.items()), "base_dataset string, row_count long"))
         run.redundant = {r.base_dataset: r.duplicate_of for r in held.filter("duplicate_of IS NOT NULL").collect()}
         for name, found in by_base.items():
             if name in run.redundant:
                 continue
-            made = C.base(name, tables[name])
+            made, joins = C.base(name, tables[name]), []
             for e in found:
-                made = C.attach(made, C.Candidate(e.candidate_dataset, tables[e.candidate_dataset], e.candidate_column, e.base_column))
-            run.tables += _tables(name, made, declutter(made, usable, uniqueness) if found else [])
+                try:
+                    made = C.attach(made, C.Candidate(e.candidate_dataset, tables[e.candidate_dataset], e.candidate_column, e.base_column))
+                except C.ComposeError:
+                    continue
+                joins.append({"dataset": e.candidate_dataset, "column": e.candidate_column, "base_dataset": name, "base_column": e.base_column, "score": e.score, "aggregated": True})
+            gold.output(name, replace(made, df=keep(made.df, f"joined-{name}")) if joins else made, joins, run)
         return run
-    # ad hoc: the largest table first; each dataset has one turn, and offers what it found to the composite it is in
-    assets = {n: (C.base(n, df), rows[n]) for n, df in tables.items()}
-    owner = {n: n for n in tables}
-    for name in sorted(rows, key=lambda n: (-rows[n], n)):
-        for e in by_base[name]:
-            a, b = owner[name], owner[e.candidate_dataset]
-            if a == b:
-                continue
-            (left, n_left), (right, n_right) = assets[a], assets[b]
-            on, key = left.column_of(name, e.base_column), right.column_of(e.candidate_dataset, e.candidate_column)
-            if n_right > n_left:
-                (left, n_left, on, a), (right, n_right, key, b) = (right, n_right, key, b), (left, n_left, on, a)
-            if on is None or key is None or len(left.df.columns) + len(right.df.columns) - 1 > config.width:
-                continue
-            made = C.merge(left, on, right, key)
-            new = [c for c in made.df.columns if c not in left.df.columns]
-            if C.match_rate(made, new).first()[0] < config.match:
-                continue
-            # both sides' keys stay protected
-            assets[a] = (replace(made, protected=tuple(dict.fromkeys((*made.protected, *(c for c in right.protected if c in made.df.columns))))), n_left)
-            del assets[b]
-            owner.update({d: a for d, o in owner.items() if o == b})
-    for name, (made, _) in sorted(assets.items()):
-        run.tables += _tables(name, made, declutter(made, usable, uniqueness) if len(made.datasets) > 1 else [])
+    for name, asset in sorted(gold.grow({n: rows[n] for n in bases}, by_base).items()):
+        gold.output(name, asset.made, asset.joins, run)
     return run
 
 
 def lineage(run: GoldRun) -> list[tuple[str, str]]:
+    """(table, source dataset) of all tables."""
     return [(t.id, d) for t in run.tables for d in t.datasets]
 
 

@@ -20,10 +20,23 @@ def list_tables(spark: SparkSession, folder: str) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Every cell as text, empty cells null, quoted line breaks kept, a byte order mark dropped from the first header."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all bytes of the files read as that, else ISO-8859-1; decided on the executors."""
+    lines = spark.read.format("binaryFile").load(path).select(F.try_validate_utf8(F.col("content").cast("string")).isNull().alias("odd"))
+    return "ISO-8859-1" if lines.filter("odd").limit(1).count() else "UTF-8"
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Every cell as text, empty cells null, quoted line breaks kept, a byte order mark dropped from the first header.
+
+    Without an encoding, UTF-8 is read, and ISO-8859-1 where the file is no UTF-8."""
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding or encoding_of(spark, path))
+    return df.toDF(*[c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns])
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -85,3 +98,25 @@ def stored(spark: SparkSession, folder: str, name: str, mark: str) -> DataFrame
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def stored_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the results in a folder of stored results."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def prune(spark: SparkSession, folder: str, live: list[str]) -> list[str]:
+    """Delete the stored results of tables that are gone; their names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [n for n in stored_names(spark, folder) if n not in live]
+    for n in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p, n), True)
+    return gone
+
+
+def clear(spark: SparkSession, folder: str) -> list[str]:
+    """Delete all stored results."""
+    return prune(spark, folder, [])
