@@ -117,7 +117,7 @@ def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage
         prepared = own.select(quoted(key).alias("__key"), *[quoted(c).alias(n) for c, n in names.items()])
     else:
         prepared = own.groupBy(quoted(key).alias("__key")).agg(*[(F.first(quoted(c)) if c == key else aggregate(candidate, c)).alias(n) for c, n in names.items()]) if names else own.select(quoted(key).alias("__key")).distinct()
-    df = left.df.join(prepared, left.df[candidate.base_column] == prepared["__key"], "left").drop("__key")
+    df = left.df.join(prepared, quoted(candidate.base_column) == F.col("__key"), "left").drop("__key")
     source = {n: lineage.provenance[c] if lineage else candidate.dataset for c, n in names.items()}
     original = {n: lineage.originals[c] if lineage else c for c, n in names.items()}
     return replace(left, df=df, provenance=left.provenance | source, originals=left.originals | original, protected=tuple(dict.fromkeys((*left.protected, candidate.base_column, *((names[key],) if key in names else ())))), aggregated=left.aggregated + (() if candidate.unique else (candidate.dataset,)), renamed=left.renamed | renamed)

@@ -7,12 +7,11 @@ pair of columns, and is gathered once.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..operators import catalog, discovery, profile
 from ..operators.compose import Candidate, Composed, Step, attach, base, chain, star
 from ..operators.curate import curate, declutter, mostly_null, redundant_groups, unused_keys
@@ -148,7 +147,7 @@ class Lake:
         from dataclasses import replace
 
         drop = declutter(made, self.usable_pairs(), self.unique_values()) if drop is None else drop
-        return curate(replace(made, df=made.df.drop(*drop)))
+        return curate(replace(made, df=made.df.drop(*map(quoted, drop))))
 
     def gold(self, config: GoldConfig | None = None, mode: str = EVERY_TABLE) -> GoldRun:
         config = config or (GoldConfig.ad_hoc() if mode == AD_HOC else GoldConfig())
@@ -171,12 +170,7 @@ class Lake:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """df written to the shared folder and read back: its lineage is cut, and a lost executor costs no recomputation."""
-        folder = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not self.spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-loomlake-")
-        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = source.shared_path(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

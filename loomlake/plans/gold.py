@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..operators import compose as C
 from ..operators.curate import curate, declutter, relationship_edges
 from ..operators.discovery import best_per_dataset, unique_bases
@@ -96,7 +97,7 @@ class _Gold:
     def output(self, id: str, made: C.Composed, joins: list[dict], run: GoldRun) -> None:
         """Declutter and curate a composite into tables."""
         drop = declutter(made, self.usable, self.uniqueness) if joins else []
-        lean = replace(made, df=made.df.drop(*drop))
+        lean = replace(made, df=made.df.drop(*map(quoted, drop)))
         soundness, _, found = curate(lean)
         for r in relationship_edges(soundness).collect():  # pairs of columns of one table
             a, b = ((made.provenance[c], made.originals[c]) for c in (r.column_1, r.column_2))

@@ -240,6 +240,27 @@ def gold_ad_hoc(spark, sf_dir):
     return _columns(spark, lake(spark, sf_dir).gold(GoldConfig.ad_hoc(uniqueness=0.0)))
 
 
+# -- text files ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 50 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 40 > 0 THEN o_totalprice END AS total, strftime(o_orderdate, '%Y-%m-%d') AS order_date,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'a "quoted", cell' ELSE 'x' || o_orderkey END AS note FROM orders""")
+def csv_preprocessed(spark, sf_dir):
+    """Orders written as text cells with untidy names and null words, listed, read, typed and cleaned."""
+    from ..sources.lake import shared_path, write_csv
+
+    cells = [
+        "CAST(o_orderkey AS STRING) AS ` Order Key `",
+        "CASE WHEN o_orderkey % 100 = 0 THEN 'nan' WHEN o_orderkey % 50 = 0 THEN ' None ' ELSE concat('  ', o_orderstatus) END AS Status",
+        "CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) END AS TOTAL",
+        "date_format(o_orderdate, 'M/d/yyyy') AS `Order Date`",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'a \"quoted\", cell' ELSE concat('x', o_orderkey) END AS note",
+    ]
+    folder = shared_path(spark, "csv")
+    write_csv(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").selectExpr(*cells), f"{folder}/orders.csv")
+    return Lake.open(spark, folder).tables["orders"]
+
+
 # -- single tables -------------------------------------------------------------------------------------------------
 
 
