@@ -3,7 +3,11 @@
 A message may carry tool calls (JSON with ``tool_calls``: objects of id, name, arguments) or be a result (role ``tool``,
 JSON with ``tool_call_id``). Calls and results are hash-joined by conversation and identifier; arguments are validated
 against the tools' schemas; calls are put in topological order by the results they refer to (``$result:ID`` in
-the arguments); everything is serialised as canonical JSON (keys sorted, no spaces).
+the arguments); everything is serialised as canonical JSON (keys sorted, no spaces). Calls may have the name and arguments
+themselves or, as is common, under ``function``.
+
+Conversations without tools can be linked too: with ``exchanges``, each user turn that carries no calls is taken as a call
+of the tool ``reply`` (identifier from its turn, arguments measured from it), and the assistant's next turn as its result.
 
 One row comes out for each message, call and result, with the columns that order them (turn, level, part), so a
 conversation of any length is never gathered in one task.
@@ -21,10 +25,11 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
     "calculator": {"expression": ("string", True)},
     "weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
+    "reply": {"chars": ("integer", True), "turn": ("integer", True)},
 }
 # How Spark names the types of JSON values.
 KINDS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL.*|DOUBLE)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
-CALLS = "tool_calls array<struct<id:string,name:string,arguments:string>>, tool_call_id string, content string"
+CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>, tool_call_id string, content string"
 
 
 def canonical(json: Column) -> Column:
@@ -81,7 +86,7 @@ def _levels(calls: DataFrame) -> DataFrame:
         done = done.unionByName(ready)
 
 
-def format_chat(conversations: DataFrame, tools: dict | None = None) -> DataFrame:
+def format_chat(conversations: DataFrame, tools: dict | None = None, exchanges: bool = False) -> DataFrame:
     """One row for each message, call and result of conversations.
 
     conv_id, turn, part (0 message, 1 call, 2 result), kind, call_id, level, status, problems, json. Sorting a conversation by
@@ -89,16 +94,23 @@ def format_chat(conversations: DataFrame, tools: dict | None = None) -> DataFram
     and a linked result is placed at its own turn. status is ``linked``, ``orphan`` (a call without a result, a result
     without a call), ``early`` (a result at a turn before its call's) or ``repeated`` (an identifier that several calls or several results of a conversation share);
     null for messages. A null text is a message with null content; text that is no JSON is plain content. Null conv_id or
-    turn are kept and never linked. Repeated rows are formatted each; other columns are not read."""
+    turn are kept and never linked. Repeated rows are formatted each; other columns are not read. exchanges: see above."""
     tools = TOOLS if tools is None else tools
     base = conversations.select("conv_id", "turn", "role", "text", F.from_json(F.when(F.ltrim("text").startswith("{"), F.col("text")), CALLS).alias("j"))
     messages = base.select("conv_id", "turn", F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<string>").alias("problems"), _entries(("content", _quoted(F.when(F.col("j.tool_calls").isNotNull() | F.col("j.tool_call_id").isNotNull(), F.col("j.content")).otherwise(F.col("text")))), ("role", _quoted(F.col("role")))).alias("json"))
     special = base.filter(F.col("j.tool_calls").isNotNull() | F.col("j.tool_call_id").isNotNull())
-    if special.isEmpty():
+    if special.isEmpty() and not exchanges:
         return messages
     special = written(special, "tool-messages")
-    calls = special.select("conv_id", "turn", F.explode("j.tool_calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
+    name, arguments = (F.coalesce(f"c.{x}", f"c.function.{x}").alias(x) for x in ("name", "arguments"))
+    calls = special.select("conv_id", "turn", F.explode("j.tool_calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), name, arguments)
     results = special.filter(F.col("j.tool_call_id").isNotNull()).select("conv_id", "turn", F.col("j.tool_call_id").alias("call_id"), F.col("j.content").alias("content"))
+    if exchanges:
+        plain = base.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.col("j.tool_calls").isNull() & F.col("j.tool_call_id").isNull())
+        at = lambda turn: F.concat(F.lit("turn-"), turn.cast("string")).alias("call_id")
+        measured = F.to_json(F.struct(F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.col("turn").cast("long").alias("turn")))
+        calls = calls.unionByName(plain.filter("role = 'user'").select("conv_id", "turn", at(F.col("turn")), F.lit("reply").alias("name"), measured.alias("arguments")))
+        results = results.unionByName(plain.filter("role = 'assistant'").select("conv_id", "turn", at(F.col("turn") - 1), F.col("text").alias("content")))
     key = ["conv_id", "call_id"]
     n_calls = calls.groupBy(*key).agg(F.count(F.lit(1)).alias("n_calls"), F.min("turn").alias("called"))
     n_results = results.groupBy(*key).agg(F.count(F.lit(1)).alias("n_results"), F.max("turn").alias("answered"))

@@ -38,7 +38,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chat
 
-    return format_chat(table(spark, sf_dir, "conversations"))
+    return format_chat(table(spark, sf_dir, "conversations"), exchanges=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

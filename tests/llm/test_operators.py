@@ -527,6 +527,51 @@ def test_chat(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_chat_shapes_cycles_and_clashing_columns(spark):
+    import json
+
+    def call(i, refers=None):
+        return {"id": i, "type": "function", "function": {"name": "calculator", "arguments": json.dumps({"expression": f"$result:{refers}" if refers else "1"})}}
+
+    # a chain of calls, each on the result of the one before it, and a cycle with a call behind it
+    chain = [call(f"c{k}", f"c{k - 1}" if k else None) for k in range(12)]
+    cycle = [call("x", "y"), call("y", "x"), call("z", "x")]
+    rows = [(1, 0, "assistant", json.dumps({"content": None, "tool_calls": chain + cycle}), "r", 1)]
+    found = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string, status int")).collect()
+    level = {r.call_id: r.level for r in found if r.kind == "call"}
+    assert level == {f"c{k}": k for k in range(12)} | {"x": None, "y": None, "z": None}
+    assert all(r.problems == [] for r in found if r.kind == "call")
+    assert '{"arguments":{"expression":"$result:c0"},"id":"c1","name":"calculator"}' in {r.json for r in found}
+
+
+def test_chat_exchanges_are_linked(spark):
+    import json
+
+    rows = []
+    for conv in range(30):
+        for turn in range(conv % 7):
+            rows.append((conv, turn, "assistant" if turn % 2 else "user", None if (conv + turn) % 11 == 0 else f'say "{conv}" {turn}\n'))
+    rows += [(3, 0, "user", "again"), (None, 1, "user", "lost"), (5, None, "assistant", "lost"), (40, 1, "assistant", "nobody asked"), (41, 5, "tool", "odd")]
+    found = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), exchanges=True).collect()
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    calls = Counter((c, f"turn-{t}") for c, t, role, _ in rows if role == "user" and c is not None)
+    results = Counter((c, f"turn-{t - 1}") for c, t, role, _ in rows if role == "assistant" and t is not None)
+    status = lambda k: "repeated" if calls[k] > 1 or results[k] > 1 else "linked" if calls[k] and results[k] else "orphan"
+    expected = Counter()
+    for c, t, role, text in rows:
+        expected[c, t, "message", None, None, dump({"content": text, "role": role})] += 1
+        if c is None or t is None:
+            continue
+        if role == "user":
+            k = (c, f"turn-{t}")
+            expected[c, t, "call", k[1], status(k), dump({"arguments": {"chars": len(text or ""), "turn": t}, "id": k[1], "name": "reply"})] += 1
+        if role == "assistant":
+            k = (c, f"turn-{t - 1}")
+            expected[c, t, "result", k[1], status(k), dump({"content": text, "role": "tool", "tool_call_id": k[1]})] += 1
+    assert Counter((r.conv_id, r.turn, r.kind, r.call_id, r.status, r.json) for r in found) == expected
+    assert all(not r.problems and r.level == 0 for r in found if r.kind == "call")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
