@@ -33,9 +33,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, _path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_low_quality), ("simhash_near_dedup", drop_near_duplicates), ("best_fit_packing", pack)]
-
-#: A fitted classifier, fingerprints and a tokenizer are beyond SQL; tests hold the stages against brute force.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack),
+]
+
+#: A fitted classifier, fingerprints and a tokenizer are beyond SQL. The tests hold the near-duplicate stage against all pairs,
+#: packing and the quality measurements against brute force, and the toxicity stage against held-out labels, on fixtures.
 ORACLE_SQL = None
 
 
