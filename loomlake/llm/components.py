@@ -5,7 +5,7 @@ node that the batch alone connects it with, so that several links between a node
 stay as they are, and a batch is bounded, so no task holds more than that.
 Every round is two group-bys and two joins on node keys, whose skewed sides adaptive execution splits; its table of
 links is written to the shared folder. Links shrink towards stars, in a number of rounds about the logarithm of the
-longest chain. Nothing but one check sum a round reaches the driver.
+longest chain, and end once they are stars, by one group-by. Nothing but its answer reaches the driver.
 """
 
 from __future__ import annotations
@@ -53,6 +53,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u > v")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is the upper end of one link at most, and then the lower end of none: stars around their least nodes."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("upper")).union(links.select("v", F.lit(0)))
+    held = ends.groupBy("node").agg(F.sum("upper").alias("upper"), F.count(F.lit(1)).alias("links"))
+    return held.filter("upper > 0 AND links > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b long; loops, repeats and either direction allowed) -> (node, root).
 
@@ -60,10 +67,6 @@ def components(links: DataFrame) -> DataFrame:
     links = mapped(links.select("a", "b"), _contract, "a long, b long")
     held = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     held = written(held, "links")
-    seen = None
-    while True:
-        sums = tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if sums == seen or not sums[0]:
-            return held.select(F.col("u").alias("node"), F.col("v").alias("root")).union(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = sums
+    while not _settled(held):
         held = written(_star(_star(held, large=True).distinct(), large=False).distinct(), "links")
+    return held.select(F.col("u").alias("node"), F.col("v").alias("root")).union(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
