@@ -4,8 +4,9 @@ A fingerprint emits all its variants within half the radius; two fingerprints wi
 variant table would be thousands of times the fingerprints, so variants are shuffled by a prefix of theirs, unmade: a
 fingerprint is sent once to each prefix that its variants can have, and the task of that prefix makes the variants that
 have it, in numpy, part by part where they are many. The prefix bits are the most evenly split ones, so that clusters
-of close fingerprints part. Fingerprints that share a variant are linked to one hub of them, not all to all (any two are
-within the radius of each other, so components lose nothing); each link is verified. Components follow from the links, in Spark.
+of close fingerprints part. Fingerprints that share a variant are linked to one hub of them and each to the next, not all to
+all (any two are within the radius of each other, so components lose nothing); each link is verified. Components follow from
+the links, in Spark.
 
 Wide fingerprints (several blocks) find candidates in any block; a bound on all bits clears chance collisions out, and
 what is left is linked if the Jaccard similarity of the shingle sets themselves is 0.8 or more. Owners of one block's
@@ -137,9 +138,10 @@ def _hubs(i: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _to_hub(i: np.ndarray, who: np.ndarray) -> list[np.ndarray]:
-    """Pairs of hub and owner, for each variant that the owner has."""
+    """Pairs of hub and owner, for each variant that the owner has, and of each owner and the next one."""
     who, hub, _, first = _hubs(i, who)
-    pairs = np.stack((hub[~first], who[~first]), 1)
+    beside = who[:-1][~first[1:]], who[1:][~first[1:]]
+    pairs = np.concatenate((np.stack((hub[~first], who[~first]), 1), np.stack(beside, 1)))
     return [np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)]
 
 
