@@ -6,6 +6,7 @@ exactly \\x20 and \\x09-\\x0D, so both are used on the UTF-8 bytes of a text.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -44,6 +45,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, written, with ``place``: gapless from 0 in the given order. Rows alike in it are interchangeable.
+
+    Range partitions are sorted each on its own; of each, only its number of rows reaches the driver."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = written(ranged, name)
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r.part: r.n for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, n = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(n)
+        n += sizes.get(k, 0)
+    start = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), part)
+    return held.withColumn("place", start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written df as it may be joined: broadcast if it has at most so many rows, which are counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def word_count(text: Column) -> Column:
+    """Words that ASCII white space parts; null for a null text."""
+    return F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

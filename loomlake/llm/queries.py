@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _path(name: str):
@@ -77,11 +78,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import audit_documents
+
+    return audit_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_licence_scan, op3_byte_bpe, op4_chat_format, op5_toxicity, op6_nearest, op7_packing, op8_simhash, op9_lm_scores, op10_quality_rules, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_licence_scan, op3_byte_bpe, op4_chat_format, op5_toxicity, op6_nearest, op7_packing, op8_simhash, op9_lm_scores, op10_quality_rules, op11_source_mix, op12_prefix_trie, op13_merkle_manifest, pipeline)}
