@@ -551,6 +551,10 @@ def test_chat_exchanges_are_linked(spark):
     for conv in range(30):
         for turn in range(conv % 7):
             rows.append((conv, turn, "assistant" if turn % 2 else "user", None if (conv + turn) % 11 == 0 else f'say "{conv}" {turn}\n'))
+    # texts that read as JSON stay what they are
+    rows += [(50, 2 * k + 1, "assistant", x) for k, x in enumerate(["42", "1.50", "true", " null ", '{"b": 1, "a": 2}', '"quoted"', "[1, 2]"])]
+    rows += [(50, 2 * k, "user", "1.50") for k in range(7) if k != 3]
+    rows += [(51, t, "assistant" if t % 2 else "user", "hm") for t in range(260)]
     rows += [(3, 0, "user", "again"), (None, 1, "user", "lost"), (5, None, "assistant", "lost"), (40, 1, "assistant", "nobody asked"), (41, 5, "tool", "odd")]
     found = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), exchanges=True).collect()
     dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -564,12 +568,57 @@ def test_chat_exchanges_are_linked(spark):
             continue
         if role == "user":
             k = (c, f"turn-{t}")
-            expected[c, t, "call", k[1], status(k), dump({"arguments": {"chars": len(text or ""), "turn": t}, "id": k[1], "name": "reply"})] += 1
+            after = {"after": f"$result:turn-{t - 2}"} if t >= 2 else {}
+            expected[c, t, "call", k[1], status(k), dump({"arguments": after | {"chars": len(text or ""), "turn": t}, "id": k[1], "name": "reply"})] += 1
         if role == "assistant":
             k = (c, f"turn-{t - 1}")
             expected[c, t, "result", k[1], status(k), dump({"content": text, "role": "tool", "tool_call_id": k[1]})] += 1
     assert Counter((r.conv_id, r.turn, r.kind, r.call_id, r.status, r.json) for r in found) == expected
-    assert all(not r.problems and r.level == 0 for r in found if r.kind == "call")
+    depth, texts = {}, {}
+    for c, t in sorted((c, t) for c, t, role, _ in rows if role == "user" and c is not None and t is not None):
+        depth[c, t] = depth[c, t - 2] + 1 if (c, t - 2) in depth else 0
+    for c, t, role, text in rows:
+        texts.setdefault((c, t), []).append(text)
+    for r in (r for r in found if r.kind == "call"):
+        wrong = [f"dangling turn-{r.turn - 2}"] if r.turn >= 2 and (r.conv_id, r.turn - 2) not in depth else []
+        empty = ["range of chars"] if not any(texts[r.conv_id, r.turn]) else []
+        assert r.level == depth[r.conv_id, r.turn] and r.problems == wrong + empty, r
+    assert depth[51, 258] == 129 and depth[50, 8] == 0
+
+
+def test_chat_levels_of_any_shape(spark):
+    import json
+    import random
+
+    rnd = random.Random(7)
+    rows, on = [], {}
+    for conv in range(12):
+        for k in range(25):
+            # most calls on one result, some on several, some on later ones (so cycles arise), some on results that are not there
+            refs = rnd.sample([f"c{j}" for j in range(k if rnd.random() < 0.95 else 25)], min(k, rnd.choice([0, 1, 1, 1, 1, 2, 3])))
+            refs = {(0, 20): ["c21"], (0, 21): ["c20"], (0, 22): ["c1", "c20"], (0, 23): ["c22"], (1, 5): ["c5"]}.get((conv, k), refs)
+            on[conv, f"c{k}"] = refs
+            call = {"id": f"c{k}", "name": "calculator", "arguments": json.dumps({"expression": " ".join(f"$result:{x}" for x in [*refs, *(["gone"] if k == 9 else [])])})}
+            rows.append((conv, k, "assistant", json.dumps({"tool_calls": [call]})))
+
+    def level(c, i, path=()):
+        if i in path:
+            return None
+        below = [level(c, j, (*path, i)) for j in on[c, i]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    found = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    got = {(r.conv_id, r.call_id): r.level for r in found if r.kind == "call"}
+    assert got == {k: level(*k) for k in on} and None in got.values() and max(v for v in got.values() if v is not None) > 5
+    assert {r.call_id for r in found if r.kind == "call" and r.problems == ["dangling gone"]} == {"c9"}
+
+
+def test_chat_results_keep_their_types(spark):
+    rows = [(1, k, "tool", '{"tool_call_id":"%d","content":%s}' % (k, x)) for k, x in enumerate(['"42"', "42", "true", '"true"', "null", '{"b":1,"a":[1, 2]}', '"{\\"b\\": 1}"'])]
+    found = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {r.call_id: r.json for r in found if r.kind == "result"}
+    kept = ['"42"', "42", "true", '"true"', "null", '{"a":[1,2],"b":1}', '"{\\"b\\": 1}"']
+    assert got == {str(k): '{"content":%s,"role":"tool","tool_call_id":"%d"}' % (x, k) for k, x in enumerate(kept)}
 
 
 def test_pipeline_stages(spark):
