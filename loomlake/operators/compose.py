@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import quoted
 
+#: A candidate of so many bytes at most (by the planner's estimate, which files bound) cannot have a key whose values overfill
+#: a task, so its modes and medians may be taken in one aggregation.
+ONE_PASS = 128 << 20
+#: Steps of an octave that order the values of a median.
+STEPS = 4_096
+
 NUMERIC = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median}
 TEXT = {"most_common": lambda c: F.mode(c, deterministic=True), "count_distinct": F.count_distinct}
 
@@ -57,9 +66,15 @@ def base(dataset: str, df: DataFrame) -> Composed:
     return Composed(df, dict.fromkeys(df.columns, dataset), {c: c for c in df.columns})
 
 
+def function_of(candidate: Candidate, column: str) -> str:
+    """The function of a column: the one asked for, else the default of its type."""
+    numeric = isinstance(candidate.df.schema[column].dataType, T.NumericType)
+    return candidate.aggregations.get(column, "mean" if numeric else "most_common")
+
+
 def aggregate(candidate: Candidate, column: str) -> Column:
     numeric = isinstance(candidate.df.schema[column].dataType, T.NumericType)
-    name = candidate.aggregations.get(column, "mean" if numeric else "most_common")
+    name = function_of(candidate, column)
     if name == "first":
         if numeric or not candidate.order:
             raise ComposeError("first needs a text column and an order")
@@ -70,6 +85,73 @@ def aggregate(candidate: Candidate, column: str) -> Column:
     return known[name](quoted(column))
 
 
+def _counted(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """__key, i, a column v0, v1, ... for each of columns (all but the i-th null), n: how often a key has a value.
+
+    A key with very many rows is spread by its values; rows are combined before the shuffle."""
+    parts = [F.struct(F.lit(i).alias("i"), *[(c if i == j else F.lit(None).cast(df.select(c).schema[0].dataType)).alias(f"v{j}") for j, c in enumerate(columns.values())]) for i, _ in enumerate(columns)]
+    held = df.filter(quoted(key).isNotNull()).select(quoted(key).alias("__key"), F.explode(F.array(*parts)).alias("x")).select("__key", "x.*")
+    values = [f"v{j}" for j in range(len(columns))]
+    return held.filter(reduce(or_, [F.col(v).isNotNull() for v in values])).groupBy("__key", "i", *values).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modes(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """__key and, for each new name, the commonest value of a column (the least of equally common ones), in two levels:
+    (key, value) counts, then the best of them, so no task holds a key's values."""
+    counts = _counted(df, key, {n: quoted(c) for n, c in columns.items()})
+    best = [F.min(F.when(F.col("i") == i, F.struct((-F.col("n")).alias("n"), F.col(f"v{i}").alias("v"))))["v"].alias(n) for i, n in enumerate(columns)]
+    return counts.groupBy("__key").agg(*best)
+
+
+def medians(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """__key and, for each new name, the exact median of a numeric column, as a double.
+
+    (key, value) counts are summed over steps of the value's logarithm, which order them; running sums over a key's steps
+    tell where the two middle rows are, and only in those steps values are ordered. NaN stands behind all numbers."""
+    each = {n: quoted(c).cast("double") for n, c in columns.items()}
+    counts = _counted(df, key, each)
+    v = F.coalesce(*[f"v{i}" for i in range(len(each))])
+    size = F.floor(F.log2(F.abs("v")) * STEPS)
+    step = F.when(F.isnan("v"), 1 << 40).when(F.col("v") == 0, 0).when(F.col("v") > 0, F.lit(1 << 30) + size).otherwise(F.lit(-(1 << 30)) - size)
+    counts = counts.select("__key", "i", "n", v.alias("v")).withColumn("step", step)
+    at = ["__key", "i"]
+    steps = counts.groupBy(*at, "step").agg(F.sum("n").alias("m"))
+    upto = Window.partitionBy(*at).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"before": F.sum("m").over(upto) - F.col("m"), "rows": F.sum("m").over(Window.partitionBy(*at))})
+    low, high = F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)
+    steps = steps.filter((F.col("before") <= high) & (F.col("before") + F.col("m") > low)).drop("m")
+    inner = Window.partitionBy(*at, "step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(steps, [*at, "step"]).withColumn("upto", F.col("before") + F.sum("n").over(inner))
+    pick = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    found = ranked.groupBy(*at).agg(((pick(low) + pick(high)) / 2).alias("median"))
+    return found.groupBy("__key").agg(*[F.max(F.when(F.col("i") == i, F.col("median"))).alias(n) for i, n in enumerate(each)])
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the planner takes a DataFrame's size to be; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def grouped(candidate: Candidate, names: dict[str, str], one_pass: int = ONE_PASS) -> DataFrame:
+    """__key and the aggregated columns of a candidate, column -> new name; null keys, which meet nothing, are left out.
+
+    Modes and medians need all values of a key: they are taken in one aggregation only where the candidate is small."""
+    df, key = candidate.df, candidate.key
+    rows = df.filter(quoted(key).isNotNull())
+    if not names:
+        return rows.select(quoted(key).alias("__key")).distinct()
+    sums = {n: F.first(quoted(c)) if c == key else aggregate(candidate, c) for c, n in names.items()}
+    large = estimated_bytes(df) > one_pass
+    of = lambda f: {n: c for c, n in names.items() if large and c != key and function_of(candidate, c) == f}
+    apart = {"most_common": (modes, of("most_common")), "median": (medians, of("median"))}
+    split = {n for _, held in apart.values() for n in held}
+    out = rows.groupBy(quoted(key).alias("__key")).agg(*([c.alias(n) for n, c in sums.items() if n not in split] or [F.count(F.lit(1)).alias("__rows")])).drop("__rows")
+    for take, held in apart.values():
+        if held:
+            out = out.join(take(df, key, held), "__key", "left")
+    return out.select("__key", *[quoted(n) for n in names.values()])
+
+
 def is_unique(df: DataFrame, key: str) -> bool:
     """Whether no two rows share the key and none lacks it."""
     return df.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | quoted(key).isNull()).isEmpty()
@@ -116,7 +198,7 @@ def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage
     if candidate.unique:
         prepared = own.select(quoted(key).alias("__key"), *[quoted(c).alias(n) for c, n in names.items()])
     else:
-        prepared = own.groupBy(quoted(key).alias("__key")).agg(*[(F.first(quoted(c)) if c == key else aggregate(candidate, c)).alias(n) for c, n in names.items()]) if names else own.select(quoted(key).alias("__key")).distinct()
+        prepared = grouped(candidate, names)
     df = left.df.join(prepared, quoted(candidate.base_column) == F.col("__key"), "left").drop("__key")
     source = {n: lineage.provenance[c] if lineage else candidate.dataset for c, n in names.items()}
     original = {n: lineage.originals[c] if lineage else c for c, n in names.items()}

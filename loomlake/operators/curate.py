@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -11,11 +13,15 @@ from pyspark.sql.window import Window
 
 from ..functions.text import quoted
 from .compose import Composed
-from .profile import quantiles
+from .profile import quantiles, value_counts
 
 # Thresholds and bin counts.
 NEAR_BIJECTION, LEAST_VALUES, MOSTLY_NULL, PRIMARY_KEY = 0.98, 3, 0.96, 0.90
 BINS, AS_CATEGORIES, HEAVY_TAIL, RELATED = 10, 30, 2.0, 4.0
+#: Pairs of columns that a row is unfolded into at a time; share of distinct values from which a column identifies rows.
+BLOCK, IDENTIFIER = 256, 0.90
+#: Values of a column that is counted by codes, and cells that a task holds for it, at most.
+DENSE, CELLS = 1_024, 4 << 20
 
 
 class Groups:
@@ -41,16 +47,94 @@ class Groups:
         return sorted((sorted(v) for v in out.values()), key=lambda v: (-len(v), v[0]))
 
 
+def cells(df: DataFrame, pairs: list[tuple[str, str]], counts: DataFrame, size: dict[str, tuple[int, int]]) -> DataFrame:
+    """pair (its place in pairs), a, b, n: how often each two values meet, over rows where both columns have one.
+    counts: the value counts of the columns; size: what sizes() makes of them.
+
+    a and b stand for values and mean nothing else. Columns of DENSE values at most get dictionary codes (their
+    dictionaries are gathered, so many values each) and are counted in numpy matrices of a cell for each two codes, in
+    blocks of pairs that fit CELLS; the others are counted by 64-bit hashes of their values, in blocks of BLOCK pairs.
+    Either way cells are counted before the shuffle, whose size hangs on cells and not on rows."""
+    dense = {c for c, (u, _) in size.items() if u <= DENSE}
+    small = [k for k, pair in enumerate(pairs) if dense.issuperset(pair)]
+    out = []
+    if small:
+        names = sorted({c for k in small for c in pairs[k]})
+        words: dict[str, list[str]] = {c: [] for c in names}
+        for r in counts.filter(F.col("value").isNotNull() & F.col("column").isin(names)).select("column", "value").collect():
+            words[r["column"]].append(r["value"])
+        texts = df.select(*[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+        at, blocks, room = {c: i for i, c in enumerate(names)}, [[]], CELLS
+        for k in small:
+            x, y = pairs[k]
+            cost = max(1, len(words[x]) * len(words[y]))
+            if cost > room and blocks[-1]:
+                blocks.append([])
+                room = CELLS
+            blocks[-1].append((k, at[x], at[y], len(words[x]), max(1, len(words[y]))))
+            room -= cost
+        for block in blocks:
+            out.append(texts.mapInArrow(_dense_counts(block, [words[c] for c in names]), "pair int, a long, b long, n long").groupBy("pair", "a", "b").agg(F.sum("n").alias("n")))
+    rest = sorted(set(range(len(pairs))) - set(small))
+    names = sorted({c for k in rest for c in pairs[k]})
+    codes = df.select(F.array(*[F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c).cast("string"))) for c in names]).alias("codes"))
+    at = {c: i for i, c in enumerate(names)}
+    for first in range(0, len(rest), BLOCK):
+        block = json.dumps([{"p": k, "i": at[pairs[k][0]], "j": at[pairs[k][1]]} for k in rest[first : first + BLOCK]])
+        places = F.from_json(F.lit(block), "array<struct<p:int,i:int,j:int>>")
+        met = F.transform(places, lambda x: F.struct(x["p"].alias("pair"), F.get("codes", x["i"]).alias("a"), F.get("codes", x["j"]).alias("b")))
+        each = codes.select(F.explode(met).alias("x")).select("x.*").filter("a IS NOT NULL AND b IS NOT NULL")
+        out.append(each.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _dense_counts(block: list[tuple[int, int, int, int, int]], words: list[list[str]]):
+    """For mapInArrow: a task's counts of the pairs (place, column, column, values of each) of a block, in one matrix each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        held = {k: np.zeros(n * m, np.int64) for k, _, _, n, m in block}
+        values = [pa.array(w, pa.string()) for w in words]
+        for batch in batches:
+            codes = [pc.fill_null(pc.index_in(c.cast(pa.string()), value_set=w), -1).to_numpy(zero_copy_only=False) for c, w in zip(batch.columns, values)]
+            for k, i, j, n, m in block:
+                a, b = codes[i], codes[j]
+                both = a.astype(np.int64) * m + b
+                held[k] += np.bincount(both[(a >= 0) & (b >= 0)], minlength=n * m)
+        for k, _, _, _, m in block:
+            cell = np.flatnonzero(held[k])
+            if len(cell):
+                a, b = np.divmod(cell, m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(a), pa.array(b), pa.array(held[k][cell])], ["pair", "a", "b", "n"])
+
+    return run
+
+
+def _named(found: DataFrame, pairs: list[tuple[str, str]], *columns) -> DataFrame:
+    """found (pair, ...) as column_1, column_2 and the given columns."""
+    names = F.from_json(F.lit(json.dumps([{"x": x, "y": y} for x, y in pairs])), "array<struct<x:string,y:string>>")
+    return found.withColumn("_of", F.get(names, F.col("pair"))).select(F.col("_of.x").alias("column_1"), F.col("_of.y").alias("column_2"), *columns)
+
+
+def sizes(counts: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
+    """column -> (distinct values, rows with one), from value counts; one row a column reaches the driver."""
+    found = counts.filter("value IS NOT NULL").groupBy("column").agg(F.count(F.lit(1)).alias("u"), F.sum("freq").alias("n")).collect()
+    return dict.fromkeys(columns, (0, 0)) | {r["column"]: (r.u, r.n) for r in found}
+
+
 def pair_bijection(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_1, column_2, ratio: the number of values over the number of value pairs, for columns of equal cardinality."""
-    one = df.agg(*[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    n = dict(zip(columns, one))
+    counts = value_counts(df, columns)
+    size = sizes(counts, columns)
+    n = {c: u for c, (u, _) in size.items()}
     tested = [(a, b) for a, b in combinations(sorted(columns), 2) if n[a] == n[b] >= LEAST_VALUES]
     if not tested:
         return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, ratio double")
-    found = df.agg(*[F.count_distinct(quoted(a), quoted(b)).alias(f"p{i}") for i, (a, b) in enumerate(tested)])
-    rows = F.array(*[F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), (F.lit(n[a]) / F.col(f"p{i}")).alias("ratio")) for i, (a, b) in enumerate(tested)])
-    return found.select(F.explode(rows).alias("x")).select("x.*")
+    found = cells(df, tested, counts, size).groupBy("pair").agg(F.count(F.lit(1)).alias("met"))
+    values = F.get(F.from_json(F.lit(json.dumps([n[a] for a, _ in tested])), "array<bigint>"), F.col("pair"))
+    return _named(found, tested, (values / F.col("met")).alias("ratio"))
 
 
 def redundant_groups(composed: Composed, usable: set[tuple[str, str]], keep: set[str] = frozenset()) -> list[tuple[str, list[str]]]:
@@ -123,24 +207,37 @@ def binned(df: DataFrame, bins: int = BINS) -> DataFrame:
     return df.withColumns(out)
 
 
-def dependence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def dependence(df: DataFrame, columns: list[str] | None = None, keep=None) -> DataFrame:
     """(column_1, column_2, soundness) of all pairs of categorical columns, over rows where both have a value.
 
     log2 of the standardised chi-square, (chi2 - dof) / sqrt(2 dof), 0 where that is below 1: it grows with the evidence,
-    does not depend on row order, and is near 0 for independent columns. One scan, map-side counts of value pairs."""
-    columns = columns or df.columns
+    does not depend on row order, and is near 0 for independent columns. Columns that identify rows (IDENTIFIER of their
+    values distinct, and more than AS_CATEGORIES of them) depend on nothing: with one row a value there is no evidence,
+    so they score 0 and are not counted. keep(df, name): what writes the value counts and the cells, which are read again."""
+    columns = sorted(columns or df.columns)
+    none = df.sparkSession.createDataFrame([], "column_1 string, column_2 string, soundness double")
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, soundness double")
-    each = [F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), quoted(a).cast("string").alias("a"), quoted(b).cast("string").alias("b")) for a, b in combinations(sorted(columns), 2)]
-    cells = df.select(F.explode(F.array(*each)).alias("x")).select("x.*").filter("a IS NOT NULL AND b IS NOT NULL").groupBy("c1", "c2", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    left = cells.groupBy("c1", "c2", "a").agg(F.sum("n").alias("r"))
-    right = cells.groupBy("c1", "c2", "b").agg(F.sum("n").alias("c"))
-    held = cells.join(left, ["c1", "c2", "a"]).join(right, ["c1", "c2", "b"])
-    inner = held.groupBy("c1", "c2").agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.sum("n").alias("n"))
-    sizes = left.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("R")).join(right.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("K")), ["c1", "c2"])
+        return none
+    counts = value_counts(df, columns)
+    counts = keep(counts, "values") if keep else counts
+    size = sizes(counts, columns)
+    single = {c for c, (u, n) in size.items() if u > AS_CATEGORIES and u >= IDENTIFIER * n}
+    tested = [(a, b) for a, b in combinations(columns, 2) if not {a, b} & single]
+    blank = [(a, b, 0.0) for a, b in combinations(columns, 2) if {a, b} & single and size[a][1] and size[b][1]]
+    zero = df.sparkSession.createDataFrame(blank, none.schema)
+    if not tested:
+        return zero
+    met = cells(df, tested, counts, size)
+    met = keep(met, "cells") if keep else met
+    left = met.groupBy("pair", "a").agg(F.sum("n").alias("r"))
+    right = met.groupBy("pair", "b").agg(F.sum("n").alias("c"))
+    held = met.join(left, ["pair", "a"]).join(right, ["pair", "b"])
+    inner = held.groupBy("pair").agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.sum("n").alias("n"))
+    spread = left.groupBy("pair").agg(F.count(F.lit(1)).alias("R")).join(right.groupBy("pair").agg(F.count(F.lit(1)).alias("K")), "pair")
     dof = ((F.col("R") - 1) * (F.col("K") - 1)).cast("double")
     z = (F.col("n") * (F.col("s") - 1) - dof) / F.sqrt(2 * dof)
-    return inner.join(sizes, ["c1", "c2"]).select(F.col("c1").alias("column_1"), F.col("c2").alias("column_2"), F.round(F.when(dof > 0, F.log2(F.greatest(z, F.lit(1.0)))).otherwise(0.0), 6).alias("soundness"))
+    score = F.round(F.when(dof > 0, F.log2(F.greatest(z, F.lit(1.0)))).otherwise(0.0), 6)
+    return _named(inner.join(spread, "pair"), tested, score.alias("soundness")).unionByName(zero)
 
 
 def relationship_edges(soundness: DataFrame, threshold: float = RELATED) -> DataFrame:
@@ -159,10 +256,12 @@ def clusters(columns: list[str], edges: list[tuple[str, str]], protected: tuple[
     return {k: [c for c in columns if c in protected] + [c for c in columns if c in set(s) - set(protected)] for k, s in named.items()}
 
 
-def curate(composed: Composed, threshold: float = RELATED) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """(all pair scores, the table without columns that relate to nothing, the clusters), from one scoring pass."""
+def curate(composed: Composed, threshold: float = RELATED, keep=None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(all pair scores, the table without columns that relate to nothing, the clusters), from one scoring pass. keep: see
+    dependence(); with it the binned table is written too, as every block of pairs reads it."""
     scored = [c for c in composed.df.columns if c not in composed.protected]
-    soundness = dependence(binned(composed.df.select(*[quoted(c) for c in scored])), scored)
+    bins = binned(composed.df.select(*[quoted(c) for c in scored]))
+    soundness = dependence(keep(bins, "binned") if keep else bins, scored, keep)
     edges = [(r.column_1, r.column_2) for r in relationship_edges(soundness, threshold).collect()]
     related = {c for e in edges for c in e} | set(composed.protected)
     pick = lambda names: composed.df.select(*[quoted(c) for c in names])

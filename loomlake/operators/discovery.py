@@ -6,6 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The rule by which two columns differ in each metric of a profile.
+RULES = {
+    "cardinality": ("subtraction", ["num_rows", "cardinality", "entropy", "uniqueness", "incompleteness"]),
+    "distribution": (
+        "subtraction",
+        ["frequency_avg", "frequency_min", "frequency_max", "frequency_sd", "frequency_iqr", "frequency_skewness", "frequency_kurtosis"]
+        + [f"frequency_{k}qo" for k in range(1, 8)]
+        + ["val_pct_min", "val_pct_max", "val_pct_sd", "val_pct_avg"],
+    ),
+    "common values": ("containment", ["freq_word_containment", "freq_word_soundex_containment"]),
+    "lengths": ("subtraction", ["len_max_word", "len_min_word", "len_avg_word", "len_max_full", "len_min_full", "len_avg_full"]),
+    "word counts": ("subtraction", ["number_words", "words_cnt_max", "words_cnt_min", "words_cnt_avg", "words_cnt_sd"]),
+    "boundary": ("edit", ["first_word", "last_word"]),
+    "flags": ("subtraction", ["is_empty", "is_binary"]),
+    "coverage": ("subtraction", ["top_1_coverage", "top_5_coverage", "top_10_coverage"]),
+    "numerical": (
+        "subtraction",
+        ["values_count", "percentage_negative", "number_zero", "outliers_below_iqr", "outliers_above_iqr", "total_outliers", "percentage_outliers"],
+    ),
+}
+#: Metric -> rule.
+REGISTRY = {m: rule for rule, metrics in RULES.values() for m in metrics}
+
 #: Weights of the score: values shared, sounds shared, closeness of cardinality and uniqueness, likeness of names.
 WEIGHTS = {"containment": 0.45, "soundex": 0.15, "cardinality": 0.15, "uniqueness": 0.10, "name": 0.15}
 
@@ -48,13 +71,92 @@ def score_bounds() -> tuple[float, float]:
     return 0.0, sum(WEIGHTS.values())
 
 
-def fit_scorer(features: DataFrame, columns: list[str], label: str = "label"):
-    """A gradient-boosted scorer in place of the closed form, for those who have labelled pairs."""
+def registered(profiles: DataFrame) -> list[str]:
+    """The metrics of the registry that profiles hold, in its order."""
+    return [m for m in REGISTRY if m in profiles.columns]
+
+
+def all_distances(pairs: DataFrame, *more: Column) -> DataFrame:
+    """The keys of each pair of columns, ``d_`` and the metric for every registered metric of their profiles, d_name, and more.
+
+    Differences are signed, the base's value less the candidate's, and 0 where either has none."""
+    apply = {"subtraction": subtraction, "containment": containment, "edit": edit}
+    held = [m for m in REGISTRY if f"a_{m}" in pairs.columns]
+    keys = {"base_dataset": "a_dataset", "base_column": "a_column", "candidate_dataset": "b_dataset", "candidate_column": "b_column", "candidate_uniqueness": "b_uniqueness"}
+    found = [apply[REGISTRY[m]](F.col(f"a_{m}"), F.col(f"b_{m}")).cast("double").alias(f"d_{m}") for m in held]
+    return pairs.select(*[F.col(v).alias(k) for k, v in keys.items()], *found, edit(F.col("a_column"), F.col("b_column")).alias("d_name"), *more)
+
+
+#: Parts of a column that are taken for a column each when pairs are labelled by themselves: the hash of a row modulo PARTS,
+#: and whether each value counts once, as in a table that it is the key of.
+PARTS = 8
+VARIANTS = {"first": ([0, 1, 2, 3], False), "second": ([4, 5, 6, 7], False), "few": ([7], False), "keys": (list(range(PARTS)), True)}
+
+
+def split_counts(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Value counts of each column of df in each variant; the column is named ``name``, column and variant, parted by \\x01.
+
+    Rows are dealt by a hash of all their values, so a rerun parts them alike."""
+    part = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(PARTS))
+    held = F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("string").alias("value")) for c in columns])
+    each = df.select(part.alias("part"), F.explode(held).alias("x")).groupBy("part", "x.c", "x.value").agg(F.count(F.lit(1)).alias("freq"))
+    ways = F.array(*[F.struct(F.lit(v).alias("v"), F.array(*map(F.lit, parts)).alias("parts"), F.lit(once).alias("once")) for v, (parts, once) in VARIANTS.items()])
+    dealt = each.select("*", F.explode(ways).alias("w")).filter(F.array_contains("w.parts", F.col("part").cast("int")))
+    column = F.concat_ws("\x01", F.lit(name), "c", "w.v").alias("column")
+    return dealt.groupBy(column, "value", "w.once").agg(F.sum("freq").alias("freq")).select("column", "value", F.when(F.col("once"), 1).otherwise(F.col("freq")).cast("long").alias("freq"))
+
+
+def labelled_pairs(metrics: DataFrame) -> DataFrame:
+    """all_distances of every two variants with label 1 where they are of one column, else 0. metrics: profiles of
+    split_counts, one row a variant. A column's own name tells nothing here, so names are not compared."""
+    parts = F.split("column", "\x01")
+    held = metrics.select(*[c for c in metrics.columns if c != "column"], F.concat_ws("\x01", parts[0], parts[1]).alias("of"), parts[2].alias("dataset"), parts[1].alias("column"), F.lit("").alias("main_type"))
+    label = (F.col("a_of") == F.col("b_of")).cast("double").alias("label")
+    return all_distances(pairs(held), label).drop("d_name")
+
+
+def fit_scorer(features: DataFrame, label: str = "label", trees: int = 100):
+    """A gradient-boosted tree ensemble over distances (all columns ``d_*``; missing and infinite ones count as given by
+    finite()), fitted to 0 and 1. features have a row a pair of columns; they are put in one order, so a rerun agrees."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol=label, maxIter=100, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, minInstancesPerNode=10, seed=1, predictionCol="score")]).fit(features.fillna(0.0, columns))
+    names = [c for c in features.columns if c.startswith("d_")]
+    boosted = GBTRegressor(labelCol=label, maxIter=trees, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, minInstancesPerNode=10, seed=1, predictionCol="score")
+    ordered = finite(features).orderBy(label, *names)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), boosted]).fit(ordered)
+
+
+def finite(features: DataFrame) -> DataFrame:
+    """Distances as the trees take them: none counts as 0, infinity (no value on either side) as -1."""
+    held = {c: F.when(F.col(c) == float("inf"), -1.0).otherwise(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))) for c in features.columns if c.startswith("d_")}
+    return features.withColumns(held)
+
+
+def learned(model, distances: DataFrame) -> DataFrame:
+    """distances (of all_distances) with the fitted scorer's score; distances that it was not fitted on are not read."""
+    return model.transform(finite(distances)).drop("features").withColumn("score", F.round("score", 6))
+
+
+def model_bounds(model) -> tuple[float, float]:
+    """The least and the greatest score that the ensemble can give: the sum over its trees of their extreme leaves."""
+    boosted = model.stages[-1]
+
+    def leaves(node):
+        todo = [node]
+        while todo:
+            n = todo.pop()
+            if n.getClass().getSimpleName() == "LeafNode":
+                yield n.prediction()
+            else:
+                todo += [n.leftChild(), n.rightChild()]
+
+    low = high = 0.0
+    for tree, weight in zip(boosted.trees, boosted.treeWeights):
+        held = [weight * x for x in leaves(tree._call_java("rootNode"))]
+        low, high = low + min(held), high + max(held)
+    return low, high
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -247,6 +247,17 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
+def metrics_of(counts: DataFrame) -> DataFrame:
+    """All metrics that value counts hold, one row a column: everything but the numerical ones. Boundaries are those of the
+    values as text, which is a text column's own order."""
+    some = F.col("value").isNotNull()
+    ends = counts.groupBy("column").agg(F.min(F.when(some, F.col("value"))).alias("first_word"), F.max("value").alias("last_word"))
+    out = cardinality(counts)
+    for part in (frequency(counts), common_values(counts), coverage(counts), lengths(counts), ends):
+        out = out.join(part, "column", "left")
+    return out
+
+
 def deep_profile(df: DataFrame, dataset: str) -> DataFrame:
     """All metrics of every column, one row a column."""
     counts = value_counts(df)

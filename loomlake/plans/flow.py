@@ -43,6 +43,12 @@ class Lake:
             self._held[name] = self.spark.createDataFrame(df.collect(), df.schema)
         return self._held[name]
 
+    def _kept_once(self, name: str, make) -> DataFrame:
+        """A written result, made on first use."""
+        if name not in self._held:
+            self._held[name] = make()
+        return self._held[name]
+
     def names(self) -> list[str]:
         return list(self.tables)
 
@@ -101,17 +107,59 @@ class Lake:
 
         return self._once(f"metrics-{main_type}", make)
 
-    def join_scores(self) -> DataFrame:
-        """The score of every usable text column with every one of another table."""
-        return self._once("scores", lambda: discovery.scored(discovery.distances(discovery.pairs(self.metrics()))))
+    def join_scores(self, scorer=None) -> DataFrame:
+        """The score of every usable text column with every one of another table: of the closed form, or of a fitted scorer.
 
-    def candidates(self, dataset: str, column: str) -> DataFrame:
+        It has a row a pair of columns, so it is written, not gathered."""
+        if scorer is not None:
+            return self._kept(discovery.learned(scorer, self.column_distances()), "scores")
+        return self._kept_once("scores", lambda: self._kept(discovery.scored(discovery.distances(discovery.pairs(self.metrics()))), "scores"))
+
+    def candidates(self, dataset: str, column: str, scorer=None) -> DataFrame:
         """What joins with a usable column, best first."""
         if (dataset, column) not in self.usable_pairs():
             raise ValueError(f"not a usable column: {dataset}.{column}")
-        held = self.join_scores().filter((F.col("base_dataset") == dataset) & (F.col("base_column") == column))
+        held = self.join_scores(scorer).filter((F.col("base_dataset") == dataset) & (F.col("base_column") == column))
         return discovery.ranked(held).orderBy("rank")
 
+    def features(self, main_type: str = "string") -> DataFrame:
+        """All metrics of the registry, of the usable columns of one main type; numbers have the numerical ones too."""
+
+        def make() -> DataFrame:
+            held, parts = self.usable_pairs(main_type), []
+            for n, df in self.tables.items():
+                names = [c for c in df.columns if (n, c) in held]
+                if names:
+                    one = profile.metrics_of(profile.value_counts(df, names))
+                    if main_type == "numeric":
+                        one = one.join(profile.numerical(df, names), "column")
+                    parts.append(one.select(F.lit(n).alias("dataset"), F.lit(main_type).alias("main_type"), "*"))
+            return self._kept(_union(parts), "features")
+
+        return self._kept_once(f"features-{main_type}", make)
+
+    def column_distances(self, main_type: str = "string") -> DataFrame:
+        """Every registered distance of every usable column and every one of another table, of one main type."""
+        return discovery.all_distances(discovery.pairs(self.features(main_type)))
+
+    def labelled_pairs(self) -> DataFrame:
+        """Distances of parts of the usable text columns, with label 1 for parts of one column."""
+
+        def make() -> DataFrame:
+            held, parts = self.usable_pairs("string"), []
+            for n, df in self.tables.items():
+                names = [c for c in df.columns if (n, c) in held]
+                if names:
+                    parts.append(discovery.split_counts(df, names, n))
+            counts = self._kept(_union(parts), "split-counts")
+            return self._kept(discovery.labelled_pairs(self._kept(profile.metrics_of(counts), "split-metrics")), "labelled")
+
+        return self._kept_once("labelled", make)
+
+    def fit_scorer(self, **how):
+        """A tree ensemble fitted to this lake's own columns, for join_scores and candidates."""
+        return discovery.fit_scorer(self.labelled_pairs(), **how)
+
     # -- composition -----------------------------------------------------------------------------------------------
 
     def _candidate(self, dataset: str, column: str, base_column: str, aggregations: dict[str, str] | None = None) -> Candidate:

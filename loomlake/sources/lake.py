@@ -70,7 +70,8 @@ def preprocess(df: DataFrame, numeric_share: float = NUMERIC_SHARE, date_share:
     sums = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(texts):
         number = as_number(quoted(c))
-        sums += [F.count(quoted(c)).alias(f"n{i}"), F.count(number).alias(f"f{i}"), F.count_if(number == F.floor(number)).alias(f"w{i}"), F.count(as_date(quoted(c))).alias(f"d{i}")]
+        sums += [F.count(quoted(c)).alias(f"n{i}"), F.count(number).alias(f"f{i}"), F.count_if(number == F.floor(number)).alias(f"w{i}")]
+        sums += [F.count(as_date(quoted(c))).alias(f"d{i}")] if any(h in c for h in DATE_HINTS) else []
     s = df.agg(*sums).first()
     out = {}
     for i, c in enumerate(texts):
