@@ -53,17 +53,23 @@ class Composed:
     protected: tuple[str, ...] = ()
     aggregated: tuple[str, ...] = ()
     renamed: dict[str, str] = field(default_factory=dict)
+    #: How it was made, as plain values; see plans/recipe.py.
+    recipe: dict = field(default_factory=dict)
 
     @property
     def datasets(self) -> list[str]:
         return list(dict.fromkeys(self.provenance.values()))
 
+    def recipe_of(self, column: str) -> list[str]:
+        """Where a column comes from: its source dataset and its name there."""
+        return [self.provenance[column], self.originals[column]]
+
     def column_of(self, dataset: str, original: str) -> str | None:
         return next((c for c, d in self.provenance.items() if d == dataset and self.originals[c] == original), None)
 
 
 def base(dataset: str, df: DataFrame) -> Composed:
-    return Composed(df, dict.fromkeys(df.columns, dataset), {c: c for c in df.columns})
+    return Composed(df, dict.fromkeys(df.columns, dataset), {c: c for c in df.columns}, recipe={"table": dataset, "columns": df.columns})
 
 
 def function_of(candidate: Candidate, column: str) -> str:
@@ -202,7 +208,11 @@ def attach(left: Composed, candidate: Candidate, keep_key: bool = False, lineage
     df = left.df.join(prepared, quoted(candidate.base_column) == F.col("__key"), "left").drop("__key")
     source = {n: lineage.provenance[c] if lineage else candidate.dataset for c, n in names.items()}
     original = {n: lineage.originals[c] if lineage else c for c, n in names.items()}
-    return replace(left, df=df, provenance=left.provenance | source, originals=left.originals | original, protected=tuple(dict.fromkeys((*left.protected, candidate.base_column, *((names[key],) if key in names else ())))), aggregated=left.aggregated + (() if candidate.unique else (candidate.dataset,)), renamed=left.renamed | renamed)
+    at, of = left.recipe_of(candidate.base_column), lineage.recipe_of(key) if lineage else [candidate.dataset, key]
+    right = lineage.recipe if lineage else {"table": candidate.dataset, "columns": own.columns}
+    how = {"aggregations": candidate.aggregations, "unique": candidate.unique, "order": candidate.order, "keep_key": keep_key}
+    recipe = {"left": left.recipe, "right": right, "at": at, "key": of, **how}
+    return replace(left, df=df, recipe=recipe, provenance=left.provenance | source, originals=left.originals | original, protected=tuple(dict.fromkeys((*left.protected, candidate.base_column, *((names[key],) if key in names else ())))), aggregated=left.aggregated + (() if candidate.unique else (candidate.dataset,)), renamed=left.renamed | renamed)
 
 
 def star(left: Composed, candidates: list[Candidate], usable: set[tuple[str, str]] | None = None) -> Composed:
@@ -238,6 +248,42 @@ def merge(left: Composed, base_column: str, right: Composed, key: str, aggregati
     return attach(left, Candidate("", right.df, key, base_column, aggregations or {}, unique), keep_key=True, lineage=right)
 
 
+@dataclass(frozen=True)
+class Chain:
+    """A chain built step by step: every state it has had, which no later step changes."""
+
+    states: tuple[Composed, ...]
+
+    @staticmethod
+    def of(dataset: str, df: DataFrame) -> Chain:
+        return Chain((base(dataset, df),))
+
+    @property
+    def now(self) -> Composed:
+        return self.states[-1]
+
+    def then(self, *steps: Step) -> Chain:
+        """One iteration more: the steps attached to what is there."""
+        made = self.now
+        for s in steps:
+            column = made.column_of(s.base_dataset, s.candidate.base_column)
+            if column is None:
+                raise ComposeError(f"{s.base_dataset}.{s.candidate.base_column} is not part of the chain")
+            made = attach(made, replace(s.candidate, base_column=column))
+        return Chain((*self.states, made))
+
+    def at(self, i: int) -> Chain:
+        """The chain as it was after i iterations; 0 is the root alone."""
+        if not 0 <= i < len(self.states):
+            raise ComposeError(f"no iteration {i}")
+        return Chain(self.states[: i + 1])
+
+    def searchable(self, usable: set[tuple[str, str]]) -> list[tuple[str, str, str]]:
+        """(column, dataset, original) of the columns that go back to a usable one, and so can be joined on next."""
+        now = self.now
+        return [(c, now.provenance[c], now.originals[c]) for c in now.df.columns if (now.provenance[c], now.originals[c]) in usable]
+
+
 def match_rate(composed: Composed, new: list[str]) -> DataFrame:
     """One row: the share of rows with a value in any newly attached column; 1 if there is none."""
     hit = F.avg(F.when(F.coalesce(*[quoted(c).cast("string") for c in new]).isNotNull(), 1.0).otherwise(0.0)) if new else F.lit(1.0)

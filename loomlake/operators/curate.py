@@ -151,6 +151,13 @@ def redundant_groups(composed: Composed, usable: set[tuple[str, str]], keep: set
     return [(next((c for c in g if c in keep), g[0]), g) for g in groups.sets()]
 
 
+def restricted(groups: list[tuple[str, list[str]]], columns: list[str], keep: set[str] = frozenset()) -> list[tuple[str, list[str]]]:
+    """Groups of redundant columns once only some columns are left: those with two of them or more, and what each keeps."""
+    left = set(columns)
+    held = [[c for c in g if c in left] for _, g in groups]
+    return [(next((c for c in g if c in keep), min(g)), g) for g in held if len(g) > 1]
+
+
 def null_shares(df: DataFrame) -> DataFrame:
     """column, share of rows without a value (NaN is none)."""
     missing = lambda f: quoted(f.name).isNull() | F.isnan(quoted(f.name)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else quoted(f.name).isNull()

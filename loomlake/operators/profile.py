@@ -3,6 +3,8 @@ the input, one shuffle with map-side combining, whatever the number of columns a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +15,17 @@ from .quality import column_flags, dataset_flags
 
 # Sizes of the profile.
 TOP, CATEGORIES, SAMPLES = 10, 20, 3
-#: Accuracy of the sketch that brackets a quantile before it is counted exactly.
-ACCURACY = 10_000
+#: Steps of an octave by which values are ordered before they are counted one by one.
+STEPS = 4_096
+#: What parts dataset, column and storage type in the names of columns of a whole lake.
+MARK = "\x01"
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None, first: bool = False) -> DataFrame:
-    """(column, value as text, freq), nulls included as a null value; with ``first`` also first_row, where it occurs first."""
+def value_counts(df: DataFrame, columns: list[str] | None = None, first: bool = False, label=str) -> DataFrame:
+    """(column, value as text, freq), nulls included as a null value; with ``first`` also first_row, where it occurs first.
+    label: what a column is called in the result."""
     columns = columns or df.columns
-    held = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
+    held = F.array(*[F.struct(F.lit(label(c)).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
     row = [F.monotonically_increasing_id().alias("row")] if first else []
     sums = [F.count(F.lit(1)).alias("freq")] + ([F.min("row").alias("first_row")] if first else [])
     return df.select(*row, held.alias("held")).select(*(["row"] if first else []), F.explode("held").alias("x")).groupBy("x.column", "x.value").agg(*sums)
@@ -95,54 +100,63 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
-    """column, q (array of the exact quantiles, interpolated between the two nearest values), n, in two scans.
-
-    A sketch of bounded size brackets each quantile; the second scan counts what lies below a bracket and the distinct
-    values inside it, which are few, so no task holds a column's values."""
-    long = _long(df, columns).filter("v IS NOT NULL")
-    margin = 2 / ACCURACY
-    around = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)})
-    sketch = long.groupBy("column").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", around, ACCURACY).alias("a"))
-    bracket = []
-    for i, p in enumerate(probabilities):
-        low, high = around.index(max(0.0, p - margin)), around.index(min(1.0, p + margin))
-        place = F.lit(p) * (F.col("n") - 1)
-        low_value = F.col("low") if p <= margin else F.col("a")[low]
-        high_value = F.col("high") if p >= 1 - margin else F.col("a")[high]
-        bracket.append(F.struct(F.lit(i).alias("i"), low_value.alias("lo"), high_value.alias("hi"), place.alias("place")))
-    brackets = F.broadcast(sketch.select("column", "n", F.array(*bracket).alias("b")))  # one row a column
-    met = long.join(brackets, "column")
-    below = met.groupBy("column", "n").agg(*[F.count_if(F.col("v") < F.col("b")[i]["lo"]).alias(f"below{i}") for i in range(len(probabilities))])
-    below = below.select("column", "n", F.posexplode(F.array(*[f"below{i}" for i in range(len(probabilities))])).alias("i", "below"))
-    inside = met.select("column", "v", F.explode(F.filter("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("x"))
-    inside = inside.groupBy("column", "x.i", "x.place", "v").agg(F.count(F.lit(1)).alias("f")).join(F.broadcast(below), ["column", "i"])
-    upto = F.col("below") + F.sum("f").over(Window.partitionBy("column", "i").orderBy("v"))
-    ranked = inside.withColumn("upto", upto)
+    """column, q (array of the exact quantiles, interpolated between the two nearest values), n."""
+    return ranked(_long(df, columns).filter("v IS NOT NULL").withColumn("n", F.lit(1)), probabilities)
+
+
+def ranked(values: DataFrame, probabilities: list[float]) -> DataFrame:
+    """quantiles() of values (column, v, n: how often).
+
+    Rows are counted by steps of the value's logarithm, which order them and are at most some 10^5 a column; running sums
+    tell in which steps the places lie, and only the values in these are counted one by one. Two scans, no sketch, and no
+    task that holds a column's values."""
+    size = F.floor(F.log2(F.abs("v")) * STEPS)
+    step = F.when(F.col("v") == 0, 0).when(F.col("v") > 0, F.lit(1 << 30) + size).otherwise(F.lit(-(1 << 30)) - size)
+    held = values.withColumn("step", step)
+    upto = Window.partitionBy("column").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = held.groupBy("column", "step").agg(F.sum("n").alias("m"))
+    steps = steps.withColumns({"before": F.sum("m").over(upto) - F.col("m"), "rows": F.sum("m").over(Window.partitionBy("column"))})
+    place = lambda p: F.lit(p) * (F.col("rows") - 1)
+    places = F.array(*[f(place(p)) for p in probabilities for f in (F.floor, F.ceil)])
+    met = steps.filter(F.exists(places, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("m")))).drop("m")
+    # a row a column and place, at most
+    inside = held.join(F.broadcast(met), ["column", "step"]).groupBy("column", "step", "before", "rows", "v").agg(F.sum("n").alias("n"))
+    inner = Window.partitionBy("column", "step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(inner))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    floor, ceil = F.floor("place"), F.ceil("place")
-    found = ranked.groupBy("column", "i", "n", "place").agg(at(floor).alias("x"), at(ceil).alias("y"))
-    value = F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - floor)
-    found = found.select("column", "n", F.struct("i", value.alias("v")).alias("z"))
-    return found.groupBy("column", "n").agg(F.array_sort(F.collect_list("z")).alias("z")).select("column", F.transform("z", lambda z: z["v"]).alias("q"), "n")
+    ends = [e.alias(f"{x}{i}") for i, p in enumerate(probabilities) for x, e in (("x", at(F.floor(place(p)))), ("y", at(F.ceil(place(p)))))]
+    found = inside.groupBy("column", "rows").agg(*ends)
+    value = lambda i, p: F.col(f"x{i}") + (F.col(f"y{i}") - F.col(f"x{i}")) * (place(p) - F.floor(place(p)))
+    return found.select("column", F.array(*[value(i, p) for i, p in enumerate(probabilities)]).alias("q"), F.col("rows").alias("n"))
 
 
 def numerical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Signs, zeros, quartiles and outliers beyond 1.5 interquartile ranges, of numeric columns.
 
     total_outliers is the number of rows, and percentage_outliers its share outside the bounds."""
-    bounds = quantiles(df, columns, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    return _numerical(_long(df, columns).withColumn("n", F.lit(1).cast("long")))
+
+
+def numerical_of(counts: DataFrame) -> DataFrame:
+    """numerical() of value counts of numeric columns."""
+    return _numerical(counts.select("column", F.nullif(F.col("value").cast("double"), F.lit(float("nan"))).alias("v"), F.col("freq").alias("n")))
+
+
+def _numerical(values: DataFrame) -> DataFrame:
+    bounds = ranked(values.filter("v IS NOT NULL"), [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    held = _long(df, columns).join(F.broadcast(bounds), "column", "left")  # one row a column
-    rows, v = F.count(F.lit(1)), F.col("v")
+    held = values.join(F.broadcast(bounds), "column", "left")  # one row a column
+    rows, v = F.sum("n"), F.col("v")
     below, above = v < F.col("q1") - 1.5 * iqr, v > F.col("q3") + 1.5 * iqr
+    some = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     return held.groupBy("column", "q1", "q3").agg(
         rows.alias("values_count"),
-        (F.count_if(v < 0) / rows).alias("percentage_negative"),
-        (F.count_if(v == 0) / rows).alias("number_zero"),
-        F.count_if(below).alias("outliers_below_iqr"),
-        F.count_if(above).alias("outliers_above_iqr"),
+        (some(v < 0) / rows).alias("percentage_negative"),
+        (some(v == 0) / rows).alias("number_zero"),
+        some(below).alias("outliers_below_iqr"),
+        some(above).alias("outliers_above_iqr"),
         rows.alias("total_outliers"),
-        (F.count_if(below | above) / rows).alias("percentage_outliers"),
+        (some(below | above) / rows).alias("percentage_outliers"),
     )
 
 
@@ -158,10 +172,19 @@ def _storage(kind: T.DataType) -> str:
     return "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "other"
 
 
-def _typed(df: DataFrame, counts: DataFrame, *more) -> DataFrame:
-    """column, row_count, null_count, unique_count, top_freq, dtype, main_type, secondary_type, and more sums: one shuffle of
-    the value counts, whatever the number of columns."""
-    dtype = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, _storage(f.dataType))])[F.col("column")]
+def labelled_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """The value counts of all columns of several tables, each named by dataset, column and storage type."""
+    parts = []
+    for n, df in tables.items():
+        kinds = {f.name: _storage(f.dataType) for f in df.schema}
+        parts.append(value_counts(df, first=True, label=lambda c, n=n, kinds=kinds: MARK.join((n, c, kinds[c]))))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _typed(counts: DataFrame, *more) -> DataFrame:
+    """dataset, column, dtype, row_count, null_count, unique_count, top_freq, main_type, secondary_type, and more sums, from
+    labelled counts: one shuffle, whatever the number of tables and columns."""
+    dtype = F.split("column", MARK)[2]
     some, blank = F.col("value").isNotNull(), F.col("value").isNull() | (F.col("value") == "")
     v = F.when(dtype == "text", F.col("value"))  # only texts are tested for what they read as
     word = F.lower(F.trim(v))
@@ -180,7 +203,8 @@ def _typed(df: DataFrame, counts: DataFrame, *more) -> DataFrame:
         F.coalesce(F.sum(F.when(is_prose(v), F.col("freq"))), F.lit(0)).alias("prose"),
         F.count_if(some & ~F.col("value").isin("0", "1")).alias("no_bit"),
     ]
-    held = counts.groupBy("column").agg(*sums, *more).withColumn("dtype", dtype)
+    name = F.split("column", MARK)
+    held = counts.groupBy("column").agg(*sums, *more).withColumns({"dataset": name[0], "dtype": name[2], "column": name[1]})
     c, few = F.col, F.col("unique_count") <= CATEGORIES
     whole = (c("dtype") == "integer") & (c("held") == c("row_count"))  # an integer column with a null counts as float
     kind = (
@@ -206,28 +230,41 @@ def _typed(df: DataFrame, counts: DataFrame, *more) -> DataFrame:
 
 def classify(df: DataFrame) -> dict[str, tuple[str, str]]:
     """column -> (main, secondary) semantic type, from all values; one row a column reaches the driver."""
-    found = _typed(df, value_counts(df)).select("column", "main_type", "secondary_type").collect()
+    found = _typed(labelled_counts({"": df})).select("column", "main_type", "secondary_type").collect()
     return {r["column"]: (r.main_type, r.secondary_type) for r in found}
 
 
-def column_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """dataset, column, dtype, types, counts, null_pct, the first three distinct values in row order, outliers and flags."""
-    counts = value_counts(df, first=True)
-    held = _typed(df, counts).withColumns({"dataset": F.lit(dataset), "null_pct": F.round(100 * F.col("null_count") / F.col("row_count"), 1)})
+def lake_profile(tables: dict[str, DataFrame], keep=None) -> DataFrame:
+    """dataset, column, dtype, types, counts, null_pct, the first three distinct values in row order, outliers and flags of
+    every column of several tables.
+
+    Each table is scanned once, for its value counts; all else comes from these. keep(df, name) writes them."""
+    counts = labelled_counts(tables)
+    counts = keep(counts, "value-counts") if keep else counts
+    held = _typed(counts).withColumn("null_pct", F.round(100 * F.col("null_count") / F.col("row_count"), 1))
     order = Window.partitionBy("column").orderBy("first_row", "value")
     first = counts.filter("value IS NOT NULL").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLES)
     first = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]).alias("sample_values"))
-    held = held.join(first, "column", "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    outliers = F.lit(0).cast("long")
-    if numbers:
-        beyond = numerical(df, numbers).select("column", (F.col("outliers_below_iqr") + F.col("outliers_above_iqr")).alias("beyond"))
-        held, outliers = held.join(beyond, "column", "left"), F.coalesce("beyond", F.lit(0))
-    flagged = column_flags(held.withColumn("outliers", outliers))
+    name = F.split("column", MARK)
+    first = first.select(name[0].alias("dataset"), name[1].alias("column"), "sample_values")
+    held = held.join(first, ["dataset", "column"], "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+    number = F.nullif(F.when(name[2].isin("integer", "float"), F.col("value").cast("double")), F.lit(float("nan")))
+    numbers = counts.select("column", number.alias("v"), F.col("freq").alias("n")).filter("v IS NOT NULL")
+    bounds = ranked(numbers, [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    beyond = (F.col("v") < F.col("q1") - 1.5 * iqr) | (F.col("v") > F.col("q3") + 1.5 * iqr)
+    beyond = numbers.join(F.broadcast(bounds), "column").groupBy("column").agg(F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"))  # one row a column
+    beyond = beyond.select(name[0].alias("dataset"), name[1].alias("column"), "outliers")
+    flagged = column_flags(held.join(beyond, ["dataset", "column"], "left").withColumn("outliers", F.coalesce("outliers", F.lit(0))))
     order = ["dataset", "column", "dtype", "main_type", "secondary_type", "row_count", "null_count", "null_pct", "unique_count", "top_freq", "sample_values", "outliers", "flags"]
     return flagged.select(*order)
 
 
+def column_profile(df: DataFrame, dataset: str) -> DataFrame:
+    """lake_profile() of one table."""
+    return lake_profile({dataset: df})
+
+
 def dataset_profile(df: DataFrame, columns: DataFrame, dataset: str, size_bytes: int | None = None) -> DataFrame:
     """One row: dataset, row_count, column_count, size_bytes, duplicate_row_count, flags, from the flagged column profile."""
     twice = duplicate_rows(df).select(F.lit(dataset).alias("dataset"), "duplicate_row_count")
@@ -260,10 +297,11 @@ def metrics_of(counts: DataFrame) -> DataFrame:
 
 def deep_profile(df: DataFrame, dataset: str) -> DataFrame:
     """All metrics of every column, one row a column."""
-    counts = value_counts(df)
+    labelled = labelled_counts({dataset: df})
+    counts = labelled.withColumn("column", F.split("column", MARK)[1])
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     out = cardinality(counts)
-    for part in (_typed(df, counts).select("column", "main_type", "secondary_type"), frequency(counts), common_values(counts), coverage(counts), lengths(counts), boundary(df)):
+    for part in (_typed(labelled).select("column", "main_type", "secondary_type"), frequency(counts), common_values(counts), coverage(counts), lengths(counts), boundary(df)):
         out = out.join(part, "column", "left")
     if numbers:
         out = out.join(numerical(df, numbers), "column", "left")

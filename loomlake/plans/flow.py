@@ -16,25 +16,56 @@ from ..operators import catalog, discovery, profile
 from ..operators.compose import Candidate, Composed, Step, attach, base, chain, star
 from ..operators.curate import curate, declutter, mostly_null, redundant_groups, unused_keys
 from ..sources import lake as source
-from .gold import AD_HOC, EVERY_TABLE, GoldConfig, GoldRun, build_gold
+from .gold import AD_HOC, EVERY_TABLE, GoldConfig, GoldRun, build_gold, replay
 
 #: Metrics that the score needs, of every usable column.
 SCORED = ["cardinality", "uniqueness", "num_rows", "freq_word_containment", "freq_word_soundex_containment", "first_word", "last_word"]
 
 
 class Lake:
-    """tables: name -> DataFrame, preprocessed; sizes: bytes of their files; raw: the tables as read."""
+    """tables: name -> DataFrame, preprocessed; sizes: bytes of their files; raw: the tables as read; store: a folder where
+    what is known of each table is kept, with marks: the fingerprints under which it is valid."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], sizes: dict[str, int] | None = None, raw: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], sizes: dict[str, int] | None = None, raw: dict[str, DataFrame] | None = None, store: str | None = None, marks: dict[str, str] | None = None):
         self.spark, self.tables, self.sizes, self.raw = spark, dict(sorted(tables.items())), sizes or {}, raw or tables
+        self.store, self.marks = store, marks or {}
         self._held: dict[str, DataFrame] = {}
 
     @staticmethod
-    def open(spark: SparkSession, folder: str, names: list[str] | None = None) -> Lake:
-        """The CSV and Parquet tables directly in folder, or those named."""
+    def open(spark: SparkSession, folder: str, names: list[str] | None = None, store: str | None = None) -> Lake:
+        """The CSV and Parquet tables directly in folder, or those named.
+
+        With a store, the types found for a table and its profiles are read from there as long as its files stay as they
+        are; only tables that are new or changed are looked at again, and what is known of tables that are gone goes."""
         paths = {n: p for n, p in source.list_tables(spark, folder).items() if names is None or n in names}
         raw = {n: source.read_table(spark, p) for n, p in paths.items()}
-        return Lake(spark, {n: source.preprocess(df) for n, df in raw.items()}, {n: source.size_of(spark, p) for n, p in paths.items()}, raw)
+        marks = {n: source.fingerprint(spark, p) for n, p in paths.items()} if store else {}
+        tables = {}
+        for n, df in raw.items():
+            clean = source.cleaned(df)
+            held = source.stored(spark, f"{store}/types", n, marks[n]) if store else None
+            kinds = {r["column"]: r.kind for r in held.collect()} if held is not None else source.decide(clean)
+            if store and held is None:
+                source.store(spark.createDataFrame(list(kinds.items()), "column string, kind string"), f"{store}/types", n, marks[n])
+            tables[n] = source.converted(clean, kinds)
+        for kind in source.stored_names(spark, store) if store else []:
+            source.prune(spark, f"{store}/{kind}", list(paths))
+        return Lake(spark, tables, {n: source.size_of(spark, p) for n, p in paths.items()}, raw, store, marks)
+
+    def _fresh(self, kind: str, make) -> DataFrame:
+        """What make(tables) says of every table, one or more rows each with its ``dataset``: profile-sized, so gathered.
+
+        With a store, make gets only the tables of which no valid result is kept, and its result is kept."""
+        found = {n: source.stored(self.spark, f"{self.store}/{kind}", n, self.marks[n]) for n in self.tables} if self.store else {}
+        stale = {n: df for n, df in self.tables.items() if found.get(n) is None}
+        parts = [df for df in found.values() if df is not None]
+        if stale:
+            made = make(stale)
+            rows = made.collect()
+            for n in stale if self.store else []:
+                source.store(self.spark.createDataFrame([r for r in rows if r.dataset == n], made.schema), f"{self.store}/{kind}", n, self.marks[n])
+            parts.append(self.spark.createDataFrame(rows, made.schema))
+        return _union(parts)
 
     def _once(self, name: str, make) -> DataFrame:
         """A profile-sized result, gathered on first use."""
@@ -59,12 +90,13 @@ class Lake:
 
     def columns(self) -> DataFrame:
         """The column profile of every table, flags included."""
-        return self._once("columns", lambda: _union([profile.column_profile(df, n) for n, df in self.tables.items()]))
+        return self._once("columns", lambda: self._fresh("columns", lambda tables: profile.lake_profile(tables, self._kept)))
 
     def datasets(self) -> DataFrame:
         """The dataset profile of every table, flags included."""
         columns = self.columns()
-        return self._once("datasets", lambda: _union([profile.dataset_profile(df, columns.filter(F.col("dataset") == n), n, self.sizes.get(n)) for n, df in self.tables.items()]))
+        one = lambda n, df: profile.dataset_profile(df, columns.filter(F.col("dataset") == n), n, self.sizes.get(n))
+        return self._once("datasets", lambda: self._fresh("datasets", lambda tables: _union([one(n, df) for n, df in tables.items()])))
 
     def deep_profile(self, name: str) -> DataFrame:
         return profile.deep_profile(self.tables[name], name)
@@ -93,19 +125,29 @@ class Lake:
 
     def metrics(self, main_type: str = "string") -> DataFrame:
         """What the score needs, of the usable columns of one main type."""
+        return self.features(main_type).select("dataset", "column", "main_type", *[F.col(c).cast("double").alias(c) if c == "cardinality" else F.col(c) for c in SCORED])
 
-        def make() -> DataFrame:
-            held, parts = self.usable_pairs(main_type), []
-            for n, df in self.tables.items():
-                names = [c for c in df.columns if (n, c) in held]
-                if not names:
-                    continue
-                counts = profile.value_counts(df, names)
-                one = profile.cardinality(counts).join(profile.common_values(counts), "column").join(profile.boundary(df, names), "column")
-                parts.append(one.select(F.lit(n).alias("dataset"), "column", F.lit(main_type).alias("main_type"), *[F.col(c).cast("double") if c == "cardinality" else F.col(c) for c in SCORED]))
-            return _union(parts)
+    def features(self, main_type: str = "string") -> DataFrame:
+        """All metrics of the registry, of the usable columns of one main type; numbers have the numerical ones too."""
 
-        return self._once(f"metrics-{main_type}", make)
+        def make(tables: dict[str, DataFrame]) -> DataFrame:
+            held = self.usable_pairs(main_type)
+            names = {n: [c for c in df.columns if (n, c) in held] for n, df in tables.items()}
+            counts = [profile.value_counts(tables[n], cs, label=lambda c, n=n: profile.MARK.join((n, c))) for n, cs in names.items() if cs]
+            if not counts:
+                counts = [self.spark.createDataFrame([], "column string, value string, freq long")]
+            counts = self._kept(_union(counts), "value-counts")
+            one = profile.metrics_of(counts)
+            if main_type == "numeric":
+                one = one.join(profile.numerical_of(counts), "column")
+            name = F.split("column", profile.MARK)
+            return one.withColumns({"dataset": name[0], "column": name[1], "main_type": F.lit(main_type)})
+
+        return self._once(f"features-{main_type}", lambda: self._fresh(f"features-{main_type}", make))
+
+    def column_distances(self, main_type: str = "string") -> DataFrame:
+        """Every registered distance of every usable column and every one of another table, of one main type."""
+        return discovery.all_distances(discovery.pairs(self.features(main_type)))
 
     def join_scores(self, scorer=None) -> DataFrame:
         """The score of every usable text column with every one of another table: of the closed form, or of a fitted scorer.
@@ -122,26 +164,6 @@ class Lake:
         held = self.join_scores(scorer).filter((F.col("base_dataset") == dataset) & (F.col("base_column") == column))
         return discovery.ranked(held).orderBy("rank")
 
-    def features(self, main_type: str = "string") -> DataFrame:
-        """All metrics of the registry, of the usable columns of one main type; numbers have the numerical ones too."""
-
-        def make() -> DataFrame:
-            held, parts = self.usable_pairs(main_type), []
-            for n, df in self.tables.items():
-                names = [c for c in df.columns if (n, c) in held]
-                if names:
-                    one = profile.metrics_of(profile.value_counts(df, names))
-                    if main_type == "numeric":
-                        one = one.join(profile.numerical(df, names), "column")
-                    parts.append(one.select(F.lit(n).alias("dataset"), F.lit(main_type).alias("main_type"), "*"))
-            return self._kept(_union(parts), "features")
-
-        return self._kept_once(f"features-{main_type}", make)
-
-    def column_distances(self, main_type: str = "string") -> DataFrame:
-        """Every registered distance of every usable column and every one of another table, of one main type."""
-        return discovery.all_distances(discovery.pairs(self.features(main_type)))
-
     def labelled_pairs(self) -> DataFrame:
         """Distances of parts of the usable text columns, with label 1 for parts of one column."""
 
@@ -197,13 +219,17 @@ class Lake:
         drop = declutter(made, self.usable_pairs(), self.unique_values()) if drop is None else drop
         return curate(replace(made, df=made.df.drop(*map(quoted, drop))))
 
-    def gold(self, config: GoldConfig | None = None, mode: str = EVERY_TABLE) -> GoldRun:
+    def gold(self, config: GoldConfig | None = None, mode: str = EVERY_TABLE, progress=None) -> GoldRun:
         config = config or (GoldConfig.ad_hoc() if mode == AD_HOC else GoldConfig())
         held = {r.dataset: r for r in self.bases().collect()}
         tables = {n: df for n, df in self.tables.items() if n in held}
         rows = {n: r.row_count for n, r in held.items()}
         bases = [n for n, r in held.items() if r.eligible]
-        return build_gold(tables, self.join_scores(), self.usable_pairs(), self.unique_values(), config, rows, bases, self._kept)
+        return build_gold(tables, self.join_scores(), self.usable_pairs(), self.unique_values(), config, rows, bases, self._kept, progress)
+
+    def replay(self, run: GoldRun, id: str, anew: bool = False) -> DataFrame:
+        """The rows of a table of a run, stored or not, made again from this lake's tables."""
+        return replay(run.table(id), self.tables, anew)
 
     def governance(self, run: GoldRun) -> DataFrame:
         """The edges that a run adds to the catalogue."""
@@ -225,14 +251,17 @@ class Lake:
     # -- stored state ----------------------------------------------------------------------------------------------
 
     def rebuild(self, folder: str, run: GoldRun | None = None) -> dict[str, int]:
-        """Write the catalogue, the usable part of it and, after a run, the governance edges; rows written by table."""
+        """Write the catalogue, the usable part of it and, after a run, the governance edges, as a new snapshot; rows
+        written by table. Readers see the snapshot before it until this one is whole."""
         nodes, edges = self.catalogue()
         kept, links = catalog.usable(nodes, edges)
         parts = {"nodes": nodes, "edges": edges, "usable_nodes": kept, "usable_edges": links}
         parts |= {"governance": self.governance(run)} if run else {}
+        path = source.new_snapshot(self.spark, folder)
         for name, df in parts.items():
-            df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
-        return {n: self.spark.read.parquet(f"{folder.rstrip('/')}/{n}").count() for n in parts}
+            df.write.parquet(f"{path}/{name}")
+        source.finish_snapshot(self.spark, path)
+        return {n: df.count() for n, df in catalogue_of(self.spark, folder).items()}
 
     def catalogue_json(self) -> str:
         """The whole graph and the bounds of the score as one text; it has a row a column, so it is small."""
@@ -248,16 +277,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def catalogue_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest whole snapshot of a catalogue; none if there is none."""
+    path = source.snapshot(spark, folder)
+    return {n: spark.read.parquet(f"{path}/{n}") for n in source.stored_names(spark, path) if not n.startswith("_")} if path else {}
+
+
 def refresh(spark: SparkSession, folder: str, store: str) -> dict[str, str]:
-    """Profile the tables of a folder whose stored profile is missing or stale, drop those of tables that are gone.
+    """Bring a store up to date with a folder: types and profiles of tables that are new or changed, a catalogue snapshot.
 
     Returns what was done with each table: ``fresh``, ``profiled`` or ``pruned``."""
-    paths, done = source.list_tables(spark, folder), {}
-    for name, path in paths.items():
-        mark = source.fingerprint(spark, path)
-        if source.stored(spark, store, name, mark) is not None:
-            done[name] = "fresh"
-            continue
-        source.store(profile.column_profile(source.preprocess(source.read_table(spark, path)), name), store, name, mark)
-        done[name] = "profiled"
-    return done | dict.fromkeys(source.prune(spark, store, list(paths)), "pruned")
+    paths = source.list_tables(spark, folder)
+    before = set(source.stored_names(spark, f"{store}/columns"))
+    fresh = {n for n, p in paths.items() if source.stored(spark, f"{store}/columns", n, source.fingerprint(spark, p)) is not None}
+    own = Lake.open(spark, folder, store=store)
+    own.datasets()
+    if len(fresh) < len(paths) or before - set(paths):
+        own.rebuild(f"{store}/catalogue")
+    return {n: "fresh" if n in fresh else "profiled" for n in paths} | dict.fromkeys(sorted(before - set(paths)), "pruned")

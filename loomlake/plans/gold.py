@@ -1,18 +1,27 @@
-"""Autonomous composition of a whole lake: every table as a base, or composites grown table by table."""
+"""Autonomous composition of a whole lake: every table as a base, or composites grown table by table.
+
+Growth is a fold over the edges of discovery. Its state is a table of memberships (dataset, composite, home) beside the
+composites themselves; for each edge a pure function says what may be tried, in order, and the first join that is wide
+enough, meets enough rows and shares no member is made. What comes out is described by recipes, so every table can be made
+again from the lake.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 from ..operators import compose as C
 from ..operators.curate import curate, declutter, relationship_edges
 from ..operators.discovery import best_per_dataset, unique_bases
+from . import recipe as R
 
 EVERY_TABLE, AD_HOC = "every_table", "ad_hoc"
+UNCURATED = "joined_uncurated"
 
 
 @dataclass(frozen=True)
@@ -34,21 +43,25 @@ class GoldConfig:
 
 @dataclass
 class GoldTable:
-    """One output table: where its rows and columns come from, how it was joined, and a lazy DataFrame."""
+    """One output table: where its rows and columns come from, how it was joined, its recipe and a lazy DataFrame."""
 
     id: str
     name: str
     kind: str
     datasets: list[str]
     columns: list[str]
-    df: DataFrame
+    df: DataFrame | None
     provenance: dict[str, str] = field(default_factory=dict)
     originals: dict[str, str] = field(default_factory=dict)
     joins: list[dict] = field(default_factory=list)
+    #: recipe of the joined table, columns dropped before it was grouped, the group that this table is, if any
+    recipe: dict = field(default_factory=dict)
+    dropped: list[list[str]] = field(default_factory=list)
+    cluster: str | None = None
 
     def record(self) -> dict:
         """All but the rows."""
-        return asdict(replace(self, df=None)) | {"df": None}
+        return asdict(replace(self, df=None))
 
 
 @dataclass
@@ -59,9 +72,10 @@ class GoldRun:
     skipped: list[str] = field(default_factory=list)
     scores: DataFrame | None = None
     related: list[tuple[str, str, str, str, float]] = field(default_factory=list)
+    #: what went wrong in grouping the columns of a composite, by its id
+    failed: dict[str, str] = field(default_factory=dict)
 
     def table(self, id: str) -> GoldTable:
-        """One table, whose rows are computed anew from its recipe when they are asked for."""
         found = [t for t in self.tables if t.id == id]
         if not found:
             raise KeyError(f"no such table in this run: {id}")
@@ -69,7 +83,36 @@ class GoldRun:
 
     def record(self) -> dict:
         """The run as plain values."""
-        return {"config": asdict(self.config), "redundant": self.redundant, "skipped": self.skipped, "tables": [{k: v for k, v in t.record().items() if k != "df"} for t in self.tables]}
+        return {"config": asdict(self.config), "redundant": self.redundant, "skipped": self.skipped, "failed": self.failed, "related": self.related, "tables": [t.record() for t in self.tables]}
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Write the run's records, recipes included, to a folder of stored results."""
+        record = self.record()
+        R.store(spark, folder, "gold_run", {"run": record | {"tables": []}} | {f"table/{n:06d}": t for n, t in enumerate(record["tables"])})
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> GoldRun:
+        """A stored run; its tables have no DataFrame until they are replayed."""
+        held = R.load(spark, folder, "gold_run")
+        run = held.pop("run")
+        tables = [GoldTable(**held[k]) for k in sorted(held)]
+        return GoldRun(GoldConfig(**run["config"]), tables, run["redundant"], run["skipped"], None, [tuple(r) for r in run["related"]], run["failed"])
+
+
+def replay(table: GoldTable, lake: dict[str, DataFrame], anew: bool = False) -> DataFrame:
+    """The rows of a table, made again from the tables of a lake.
+
+    The columns are those recorded, and it is an error if one is gone. anew: the columns are grouped again on the rows as
+    they are now, and it is an error if the table's group no longer exists."""
+    made = R.build(table.recipe, lake)
+    if not anew or table.cluster is None:
+        names = R.columns_of(made, [[table.provenance[c], table.originals[c]] for c in table.columns])
+        return made.df.select(*[quoted(a).alias(b) for a, b in zip(names, table.columns)])
+    dropped = {made.column_of(*d) for d in table.dropped}
+    _, _, found = curate(replace(made, df=made.df.drop(*[quoted(c) for c in dropped if c])))
+    if table.cluster not in found:
+        raise R.RecipeError(f"{table.id} has no group {table.cluster} any more")
+    return found[table.cluster]
 
 
 def display_name(datasets: list[str], most: int = 3) -> str:
@@ -77,142 +120,185 @@ def display_name(datasets: list[str], most: int = 3) -> str:
     return "+".join(named[:most]) + (f" and {len(named) - most} more" if len(named) > most else "")
 
 
-@dataclass
-class Asset:
-    """A growing composite: its lineage, its rows' number, its anchor (whose rows it has), its members, those of them
-    whose home it is, and the joins made so far."""
+# -- growth ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Member:
+    """A dataset's place in a composite, which is named by the dataset whose rows it has. A dataset has one home; where it
+    was attached as a copy it is a member, but not at home."""
+
+    dataset: str
+    composite: str
+    home: bool = True
 
+
+@dataclass(frozen=True)
+class Composite:
     made: C.Composed
     rows: int
-    anchor: str
-    members: list[str]
-    home: set[str]
-    joins: list[dict]
-
-
-class _Gold:
-    def __init__(self, tables, usable, uniqueness, config, keep):
-        self.tables, self.usable, self.uniqueness, self.config, self.keep = tables, usable, uniqueness, config, keep
-
-    def output(self, id: str, made: C.Composed, joins: list[dict], run: GoldRun) -> None:
-        """Declutter and curate a composite into tables."""
-        drop = declutter(made, self.usable, self.uniqueness) if joins else []
-        lean = replace(made, df=made.df.drop(*map(quoted, drop)))
-        soundness, _, found = curate(lean)
-        for r in relationship_edges(soundness).collect():  # pairs of columns of one table
-            a, b = ((made.provenance[c], made.originals[c]) for c in (r.column_1, r.column_2))
-            if a != b:
-                run.related.append((*a, *b, r.soundness))
-
-        def table(id: str, name: str, kind: str, df: DataFrame, datasets: list[str]) -> GoldTable:
-            own = {c: made.provenance[c] for c in df.columns}
-            return GoldTable(id, name, kind, datasets, df.columns, df, own, {c: made.originals[c] for c in df.columns}, joins)
-
-        if set(found) <= {"unclustered"}:
-            if not joins:
-                run.tables.append(table(id, display_name(made.datasets), "unclustered", lean.df, made.datasets))
-            return
-        for k, df in found.items():
-            run.tables.append(table(f"{id}::cf2::{k}", k.replace("_", " ").capitalize(), "cluster", df, sorted({made.provenance[c] for c in df.columns})))
-
-    def attempt(self, current: Asset, on: tuple[str, str], other: Asset, key: tuple[str, str], score: float, forced: bool = False) -> Asset | None:
-        """current and other joined on their source columns; the side with more rows is the base, unless current must be."""
-        left, right, a, b = current, other, on, key
-        if other.rows > current.rows and not forced:
-            left, right, a, b = other, current, key, on
-        at, of = left.made.column_of(*a), right.made.column_of(*b)
-        shared = set(left.members) & set(right.members)
-        if at is None or of is None or shared or len(left.made.df.columns) + len(right.made.df.columns) - 1 > self.config.width:
-            return None
-        try:
-            made = C.merge(left.made, at, right.made, of)
-        except C.ComposeError:
-            return None
-        new = [c for c in made.df.columns if c not in left.made.df.columns]
-        if C.match_rate(made, new).first()[0] < self.config.match:
-            return None
-        protected = (*made.protected, *(c for c in right.made.protected if c in made.df.columns))
-        made = replace(made, protected=tuple(dict.fromkeys(protected)), df=self.keep(made.df, f"composite-{left.anchor}"))
-        step = {"dataset": b[0], "column": b[1], "base_dataset": a[0], "base_column": a[1], "score": score, "aggregated": True}
-        home = left.home | (set() if forced else right.home)
-        return Asset(made, left.rows, left.anchor, [*left.members, *right.members], home, [*left.joins, *right.joins, step])
+    joins: tuple[dict, ...] = ()
 
-    def grow(self, rows: dict[str, int], by_base: dict[str, list]) -> dict[str, Asset]:
-        """The largest table first; each has one turn, and offers what it found to the composite that is its home."""
 
-        def alone(d: str, home: bool = True) -> Asset:
-            return Asset(C.base(d, self.tables[d]), rows[d], d, [d], {d} if home else set(), [])
+@dataclass(frozen=True)
+class Try:
+    """One thing to try for an edge: ``with_`` a composite, or a table of the lake where that is None; the table's home is
+    the new composite if ``settles``, and the composite at hand keeps its rows if ``stays``."""
+
+    with_: str | None
+    settles: bool
+    stays: bool = False
 
-        assets: dict[str, Asset] = {}
-        owner: dict[str, str] = {}
 
-        def commit(result: Asset, *gone: str) -> Asset:
-            for anchor in gone:
-                assets.pop(anchor, None)
-            assets[result.anchor] = result
-            owner.update(dict.fromkeys(result.home, result.anchor))
-            return result
+def tries(members: list[Member], here: str, dataset: str) -> list[Try]:
+    """What may be tried to bring a dataset into the composite ``here``, in order.
 
+    Nothing if it is there already. A dataset without a home comes as it is. Otherwise the whole composite that it is at
+    home in comes; and if that fails, and the dataset neither gives that composite its rows nor lives there alone, a copy."""
+    if any(m.dataset == dataset and m.composite == here for m in members):
+        return []
+    home = next((m.composite for m in members if m.dataset == dataset and m.home), None)
+    if home is None:
+        return [Try(None, settles=True)]
+    lodgers = sum(m.composite == home and m.home for m in members)
+    copy = [Try(None, settles=False, stays=True)] if home != dataset and lodgers > 1 else []
+    return [Try(home, settles=True), *copy]
+
+
+def moved(members: list[Member], into: str, *gone: str) -> list[Member]:
+    """Memberships after composites have become one."""
+    return [replace(m, composite=into) if m.composite in gone else m for m in members]
+
+
+class Growth:
+    """Composites by name and the memberships; grown() folds edges over them."""
+
+    def __init__(self, tables: dict[str, DataFrame], config: GoldConfig, keep: Callable[[DataFrame, str], DataFrame]):
+        self.tables, self.config, self.keep = tables, config, keep
+        self.composites: dict[str, Composite] = {}
+        self.members: list[Member] = []
+
+    def joined(self, base: Composite, at: tuple[str, str], other: Composite, key: tuple[str, str], score: float) -> Composite | None:
+        """base with other's columns on two source columns, or None if a rule forbids it."""
+        on, of = base.made.column_of(*at), other.made.column_of(*key)
+        width = len(base.made.df.columns) + len(other.made.df.columns) - 1
+        if on is None or of is None or width > self.config.width or set(base.made.datasets) & set(other.made.datasets):
+            return None
+        try:
+            made = C.merge(base.made, on, other.made, of)
+        except C.ComposeError:
+            return None
+        fresh = made.df.columns[len(base.made.df.columns) :]
+        if C.match_rate(made, fresh).first()[0] < self.config.match:
+            return None
+        names = set(made.df.columns)
+        protected = dict.fromkeys([*made.protected, *(c for c in other.made.protected if c in names)])
+        made = replace(made, protected=tuple(protected), df=self.keep(made.df, "composite"))
+        step = {"dataset": key[0], "column": key[1], "base_dataset": at[0], "base_column": at[1], "score": score, "aggregated": True}
+        return Composite(made, base.rows, (*base.joins, *other.joins, step))
+
+    def grown(self, rows: dict[str, int], edges: dict[str, list]) -> dict[str, Composite]:
+        """Tables have a turn each, the one with most rows first; in its turn a table offers its candidates, best first, to
+        the composite that is its home."""
         for name in sorted(rows, key=lambda n: (-rows[n], n)):
-            current = assets[owner[name]] if name in owner else commit(alone(name))
-            for e in by_base.get(name, []):
-                d, on, key = e.candidate_dataset, (name, e.base_column), (e.candidate_dataset, e.candidate_column)
-                if d in current.members:
-                    continue
-                if d not in owner:
-                    made = self.attempt(current, on, alone(d), key, e.score)
-                    current = commit(made, current.anchor) if made else current
-                    continue
-                other = assets[owner[d]]
-                if other.anchor == current.anchor:
-                    continue
-                made = self.attempt(current, on, other, key, e.score)
-                if made:
-                    current = commit(made, current.anchor, other.anchor)
-                elif d != other.anchor and len(other.home) > 1:
-                    # d alone, as a fresh copy; its home stays where it is
-                    made = self.attempt(current, on, alone(d, home=False), key, e.score, forced=True)
-                    current = commit(made, current.anchor) if made else current
-        return assets
-
-
-def build_gold(tables: dict[str, DataFrame], scores: DataFrame, usable: set[tuple[str, str]], uniqueness: dict[tuple[str, str], float], config: GoldConfig = GoldConfig(), rows: dict[str, int] | None = None, bases: list[str] | None = None, keep=None) -> GoldRun:
-    """tables: name -> preprocessed DataFrame; scores of column pairs (profile-sized, so its best edges reach the driver).
+            here = next((m.composite for m in self.members if m.dataset == name and m.home), None)
+            if here is None:
+                here = name
+                self.composites[name] = Composite(C.base(name, self.tables[name]), rows[name])
+                self.members.append(Member(name, name))
+            for edge in edges.get(name, []):
+                here = self.step(here, name, edge, rows)
+        return self.composites
+
+    def step(self, here: str, name: str, edge, rows: dict[str, int]) -> str:
+        """The name of the composite at hand after one edge; the first join that succeeds changes the state."""
+        dataset, ends = edge.candidate_dataset, ((name, edge.base_column), (edge.candidate_dataset, edge.candidate_column))
+        for t in tries(self.members, here, dataset):
+            other = self.composites[t.with_] if t.with_ else Composite(C.base(dataset, self.tables[dataset]), rows[dataset])
+            mine = self.composites[here]
+            swap = other.rows > mine.rows and not t.stays
+            made = self.joined(other, ends[1], mine, ends[0], edge.score) if swap else self.joined(mine, ends[0], other, ends[1], edge.score)
+            if made is None:
+                continue
+            into = (t.with_ or dataset) if swap else here
+            gone = [here, *([t.with_] if t.with_ else [])]
+            self.composites = {k: v for k, v in self.composites.items() if k not in gone} | {into: made}
+            self.members = moved(self.members, into, *gone) + ([] if t.with_ else [Member(dataset, into, t.settles)])
+            return into
+        return here
+
+
+# -- output ----------------------------------------------------------------------------------------------------------
+
+
+def outputs(id: str, made: C.Composed, joins: list[dict], drop: list[str], run: GoldRun, keep) -> Iterator[GoldTable]:
+    """The tables that a composite gives once its columns are grouped: one a group. What was joined but holds no group
+    gives none; a bare table gives itself. If grouping fails, the joined table is given as it is, and the run goes on."""
+    origin = lambda c: (made.provenance[c], made.originals[c])
+    lean = replace(made, df=made.df.drop(*map(quoted, drop)))
+
+    def table(id: str, name: str, kind: str, df: DataFrame, datasets: list[str], cluster: str | None = None) -> GoldTable:
+        own = {c: origin(c) for c in df.columns}
+        parts = {"recipe": made.recipe, "dropped": [list(origin(c)) for c in drop], "cluster": cluster}
+        return GoldTable(id, name, kind, datasets, df.columns, df, {c: d for c, (d, _) in own.items()}, {c: o for c, (_, o) in own.items()}, joins, **parts)
+
+    try:
+        soundness, _, found = curate(lean, keep=keep)
+        pairs = relationship_edges(soundness).collect()  # pairs of columns of one table
+    except Exception as e:  # noqa: BLE001 - whatever a scorer raises, the other tables are still to be made
+        run.failed[id] = f"{type(e).__name__}: {e}"
+        yield table(id, display_name(made.datasets), UNCURATED, lean.df, made.datasets)
+        return
+    run.related += [(*origin(r.column_1), *origin(r.column_2), r.soundness) for r in pairs if origin(r.column_1) != origin(r.column_2)]
+    if set(found) <= {"unclustered"}:
+        if not joins:
+            yield table(id, display_name(made.datasets), "unclustered", lean.df, made.datasets)
+        return
+    for k, df in found.items():
+        yield table(f"{id}::cf2::{k}", k.replace("_", " ").capitalize(), "cluster", df, sorted({made.provenance[c] for c in df.columns}), k)
+
+
+def build_gold(tables: dict[str, DataFrame], scores: DataFrame, usable: set[tuple[str, str]], uniqueness: dict[tuple[str, str], float], config: GoldConfig = GoldConfig(), rows: dict[str, int] | None = None, bases: list[str] | None = None, keep=None, progress: Callable[[str, int, int], None] | None = None) -> GoldRun:
+    """tables: name -> preprocessed DataFrame; scores of column pairs (of which the best edge of each two tables is gathered).
 
     rows: numbers of rows, counted if not given; bases: the tables that may be bases, all if not given; keep(df, name):
-    what writes an accepted composite and reads it back, so that later joins and measures do not repeat it."""
+    what writes an accepted composite and reads it back, so that later joins and measures do not repeat it; progress:
+    called with the table at hand, its place and how many there are."""
     rows = rows or {n: df.count() for n, df in sorted(tables.items())}
     bases = sorted(rows) if bases is None else sorted(bases)
-    keep = keep or (lambda df, name: df)
-    top = config.top if config.mode == EVERY_TABLE else None
-    edges = best_per_dataset(scores, config.threshold, config.uniqueness, top)
-    by_base: dict[str, list] = {n: [] for n in bases}
-    for e in sorted(edges.collect(), key=lambda e: (e.base_dataset, e["rank"])):
-        if e.base_dataset in by_base and e.candidate_dataset in tables:
-            by_base[e.base_dataset].append(e)
+    hold = keep or (lambda df, name: df)
+    chosen = best_per_dataset(scores, config.threshold, config.uniqueness, config.top if config.mode == EVERY_TABLE else None)
+    edges: dict[str, list] = {n: [] for n in bases}
+    for e in sorted(chosen.collect(), key=lambda e: (e.base_dataset, e["rank"])):
+        if e.base_dataset in edges and e.candidate_dataset in tables:
+            edges[e.base_dataset].append(e)
     run = GoldRun(config, [], skipped=sorted(set(rows) - set(bases)), scores=scores)
-    gold = _Gold(tables, usable, uniqueness, config, keep)
-    if config.mode == EVERY_TABLE:
-        spark = scores.sparkSession
-        held = unique_bases(edges, spark.createDataFrame(list(rows.items()), "base_dataset string, row_count long"))
-        run.redundant = {r.base_dataset: r.duplicate_of for r in held.filter("duplicate_of IS NOT NULL").collect()}
-        for name, found in by_base.items():
-            if name in run.redundant:
-                continue
-            made, joins = C.base(name, tables[name]), []
-            for e in found:
-                try:
-                    made = C.attach(made, C.Candidate(e.candidate_dataset, tables[e.candidate_dataset], e.candidate_column, e.base_column))
-                except C.ComposeError:
-                    continue
-                joins.append({"dataset": e.candidate_dataset, "column": e.candidate_column, "base_dataset": name, "base_column": e.base_column, "score": e.score, "aggregated": True})
-            gold.output(name, replace(made, df=keep(made.df, f"joined-{name}")) if joins else made, joins, run)
-        return run
-    for name, asset in sorted(gold.grow({n: rows[n] for n in bases}, by_base).items()):
-        gold.output(name, asset.made, asset.joins, run)
+    if config.mode == AD_HOC:
+        made = {n: (c.made, list(c.joins)) for n, c in Growth(tables, config, hold).grown({n: rows[n] for n in bases}, edges).items()}
+    else:
+        sizes = scores.sparkSession.createDataFrame(list(rows.items()), "base_dataset string, row_count long")
+        run.redundant = {r.base_dataset: r.duplicate_of for r in unique_bases(chosen, sizes).filter("duplicate_of IS NOT NULL").collect()}
+        made = {n: _star(n, found, tables, hold) for n, found in edges.items() if n not in run.redundant}
+    for place, (name, (composed, joins)) in enumerate(sorted(made.items())):
+        if progress:
+            progress(name, place, len(made))
+        drop = declutter(composed, usable, uniqueness) if joins else []
+        run.tables += outputs(name, composed, joins, drop, run, keep)
     return run
 
 
+def _star(name: str, edges: list, tables: dict[str, DataFrame], keep) -> tuple[C.Composed, list[dict]]:
+    """A table with the best candidates that can be attached to it, and the joins made."""
+    made, joins = C.base(name, tables[name]), []
+    for e in edges:
+        try:
+            made = C.attach(made, C.Candidate(e.candidate_dataset, tables[e.candidate_dataset], e.candidate_column, e.base_column))
+        except C.ComposeError:
+            continue
+        joins.append({"dataset": e.candidate_dataset, "column": e.candidate_column, "base_dataset": name, "base_column": e.base_column, "score": e.score, "aggregated": True})
+    return (replace(made, df=keep(made.df, f"joined-{name}")) if joins else made), joins
+
+
 def lineage(run: GoldRun) -> list[tuple[str, str]]:
     """(table, source dataset) of all tables."""
     return [(t.id, d) for t in run.tables for d in t.datasets]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, curate, discovery, profile
 from ..operators.compose import ComposeError
+from ..sources import lake as source
 from .flow import Lake
 from .gold import GoldConfig
 
@@ -41,8 +42,10 @@ def query(sql: str | None = None):
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
-    """The lake of a folder; its profiles, which have a row a column, are shared by the queries of a session."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """The lake of a folder; its profiles, which have a row a column, are shared by the queries of a session for as long
+    as its files stay as they are."""
+    marks = tuple(source.fingerprint(spark, p) for n, p in source.list_tables(spark, sf_dir).items() if n in LAKE)
+    at = (spark.sparkContext.applicationId, sf_dir, marks)
     if at not in _open:
         _open[at] = Lake.open(spark, sf_dir, list(LAKE))
     return _open[at]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,31 +57,47 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
 
 
-def preprocess(df: DataFrame, numeric_share: float = NUMERIC_SHARE, date_share: float = DATE_SHARE) -> DataFrame:
-    """Names cleaned, text cells cleaned; text columns that are nearly all numbers become numbers (long if whole and
-    without nulls), those named like dates and nearly all dates become ISO dates.
-
-    All decisions come from one aggregate; the result is one projection. NaN becomes null."""
+def cleaned(df: DataFrame) -> DataFrame:
+    """Names cleaned, text cells cleaned, NaN null."""
     df = clean_names(df)
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    df = df.withColumns({c: clean_text(quoted(c)) for c in texts} | {c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats})
+    return df.withColumns({c: clean_text(quoted(c)) for c in texts} | {c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats})
+
+
+def decide(df: DataFrame, numeric_share: float = NUMERIC_SHARE, date_share: float = DATE_SHARE) -> dict[str, str]:
+    """What each text column of a cleaned df becomes: ``long``, ``double`` or ``date``; those that stay are left out.
+
+    All decisions come from one aggregate. Dates are only tried where the name hints at one."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
-        return df
+        return {}
+    hinted = {c for c in texts if any(h in c for h in DATE_HINTS)}
     sums = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(texts):
         number = as_number(quoted(c))
         sums += [F.count(quoted(c)).alias(f"n{i}"), F.count(number).alias(f"f{i}"), F.count_if(number == F.floor(number)).alias(f"w{i}")]
-        sums += [F.count(as_date(quoted(c))).alias(f"d{i}")] if any(h in c for h in DATE_HINTS) else []
-    s = df.agg(*sums).first()
-    out = {}
+        sums += [F.count(as_date(quoted(c))).alias(f"d{i}")] if c in hinted else []
+    s, out = df.agg(*sums).first(), {}
     for i, c in enumerate(texts):
         n = s[f"n{i}"]
         if n and s[f"f{i}"] / n >= numeric_share:
-            out[c] = as_number(quoted(c)).cast("long" if s[f"w{i}"] == s["rows"] else "double")
-        elif n and any(h in c for h in DATE_HINTS) and s[f"d{i}"] / n >= date_share:
-            out[c] = as_date(quoted(c))
-    return df.withColumns(out) if out else df
+            out[c] = "long" if s[f"w{i}"] == s["rows"] else "double"
+        elif n and c in hinted and s[f"d{i}"] / n >= date_share:
+            out[c] = "date"
+    return out
+
+
+def converted(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
+    """A cleaned df with its decisions applied, in one projection."""
+    return df.withColumns({c: as_date(quoted(c)) if kind == "date" else as_number(quoted(c)).cast(kind) for c, kind in decisions.items()}) if decisions else df
+
+
+def preprocess(df: DataFrame, numeric_share: float = NUMERIC_SHARE, date_share: float = DATE_SHARE) -> DataFrame:
+    """Names cleaned, text cells cleaned; text columns that are nearly all numbers become numbers (long if whole and
+    without nulls), those named like dates and nearly all dates become ISO dates. NaN becomes null."""
+    df = cleaned(df)
+    return converted(df, decide(df, numeric_share, date_share))
 
 
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int = 50) -> DataFrame:
@@ -131,6 +148,32 @@ def prune(spark: SparkSession, folder: str, live: list[str]) -> list[str]:
     return gone
 
 
+def new_snapshot(spark: SparkSession, folder: str) -> str:
+    """The path of a snapshot that comes after all others of a folder."""
+    return f"{folder.rstrip('/')}/snapshot-{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def finish_snapshot(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Mark a snapshot as whole, which is one step of the file system; of the whole ones the newest stay."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(p, "_WHOLE")).close()
+    for old in _whole(spark, str(p.getParent()))[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), old), True)
+
+
+def _whole(spark: SparkSession, folder: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [n for n in stored_names(spark, folder) if n.startswith("snapshot-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, f"{n}/_WHOLE"))]
+
+
+def snapshot(spark: SparkSession, folder: str) -> str | None:
+    """The newest whole snapshot of a folder."""
+    found = _whole(spark, folder)
+    return f"{folder.rstrip('/')}/{found[-1]}" if found else None
+
+
 def clear(spark: SparkSession, folder: str) -> list[str]:
     """Delete all stored results."""
     return prune(spark, folder, [])
