@@ -281,7 +281,8 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """rows and rows beyond the first of each set of equal ones (nulls equal)."""
-    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
 
 
 def metrics_of(counts: DataFrame) -> DataFrame:

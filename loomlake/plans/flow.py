@@ -21,6 +21,9 @@ from .gold import AD_HOC, EVERY_TABLE, GoldConfig, GoldRun, build_gold, replay
 #: Metrics that the score needs, of every usable column.
 SCORED = ["cardinality", "uniqueness", "num_rows", "freq_word_containment", "freq_word_soundex_containment", "first_word", "last_word"]
 
+#: Where a store has its catalogue; its other folders have a result a table each.
+CATALOGUE = "catalogue"
+
 
 class Lake:
     """tables: name -> DataFrame, preprocessed; sizes: bytes of their files; raw: the tables as read; store: a folder where
@@ -49,7 +52,8 @@ class Lake:
                 source.store(spark.createDataFrame(list(kinds.items()), "column string, kind string"), f"{store}/types", n, marks[n])
             tables[n] = source.converted(clean, kinds)
         for kind in source.stored_names(spark, store) if store else []:
-            source.prune(spark, f"{store}/{kind}", list(paths))
+            if kind != CATALOGUE:
+                source.prune(spark, f"{store}/{kind}", list(paths))
         return Lake(spark, tables, {n: source.size_of(spark, p) for n, p in paths.items()}, raw, store, marks)
 
     def _fresh(self, kind: str, make) -> DataFrame:
@@ -293,5 +297,5 @@ def refresh(spark: SparkSession, folder: str, store: str) -> dict[str, str]:
     own = Lake.open(spark, folder, store=store)
     own.datasets()
     if len(fresh) < len(paths) or before - set(paths):
-        own.rebuild(f"{store}/catalogue")
+        own.rebuild(f"{store}/{CATALOGUE}")
     return {n: "fresh" if n in fresh else "profiled" for n in paths} | dict.fromkeys(sorted(before - set(paths)), "pruned")

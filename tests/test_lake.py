@@ -7,7 +7,9 @@ import pytest
 from loomlake.operators import compose as C
 from loomlake.operators import curate, discovery, profile
 from loomlake.plans.flow import Lake, refresh
-from loomlake.plans.gold import GoldConfig, _Gold, build_gold, display_name, lineage, search
+from loomlake.plans.gold import GoldConfig, GoldRun, Growth, Member, Try, build_gold, display_name, lineage, replay, search, tries
+from loomlake.plans.jobs import Jobs
+from loomlake.plans.recipe import RecipeError, build, load, store
 from loomlake.sources import lake as source
 
 
@@ -88,7 +90,8 @@ def test_stored_profiles_stay_fresh(spark, folder, tmp_path):
     (own / "sales.csv").write_text("city,amount\nNice,1\n")
     (own / "shops.csv").rename(own / "shops.old")
     assert refresh(spark, str(own), store) == {"sales": "profiled", "shops": "pruned"}
-    assert source.clear(spark, store) == ["sales"] and source.stored_names(spark, store) == []
+    assert source.clear(spark, f"{store}/columns") == ["sales"] and source.stored_names(spark, f"{store}/types") == ["sales"]
+    assert source.clear(spark, store) == ["catalogue", "columns", "datasets", "types"] and source.stored_names(spark, store) == []
 
 
 def test_composites_and_previews(lake, spark, tmp_path):
@@ -138,12 +141,13 @@ def test_growth_falls_back_to_a_fresh_copy(spark):
     config = GoldConfig.ad_hoc(width=8, uniqueness=0.0)
     usable = {(n, c) for n, df in tables.items() for c in df.columns}
     by_base = {"wide": [r for r in scores.collect() if r.base_dataset == "wide"], "other": [r for r in scores.collect() if r.base_dataset == "other"]}
-    assets = _Gold(tables, usable, {}, config, lambda df, name: df).grow({"wide": 20, "small": 10, "other": 15}, by_base)
-    assert {n: sorted(a.members) for n, a in assets.items()} == {"wide": ["small", "wide"], "other": ["other", "small"]}
-    assert assets["wide"].home == {"wide", "small"} and assets["other"].home == {"other"}
-    assert assets["wide"].made.df.count() == 20 and assets["other"].made.df.count() == 15
-    wider = _Gold(tables, usable, {}, GoldConfig.ad_hoc(uniqueness=0.0), lambda df, name: df).grow({"wide": 20, "small": 10, "other": 15}, by_base)
-    assert {n: sorted(a.members) for n, a in wider.items()} == {"wide": ["other", "small", "wide"]} and wider["wide"].made.df.count() == 20
+    growth = Growth(tables, config, lambda df, name: df)
+    made = growth.grown({"wide": 20, "small": 10, "other": 15}, by_base)
+    assert {n: sorted(c.made.datasets) for n, c in made.items()} == {"wide": ["small", "wide"], "other": ["other", "small"]}
+    assert set(growth.members) == {Member("wide", "wide"), Member("small", "wide"), Member("other", "other"), Member("small", "other", home=False)}
+    assert made["wide"].made.df.count() == 20 and made["other"].made.df.count() == 15
+    wider = Growth(tables, GoldConfig.ad_hoc(uniqueness=0.0), lambda df, name: df).grown({"wide": 20, "small": 10, "other": 15}, by_base)
+    assert {n: sorted(c.made.datasets) for n, c in wider.items()} == {"wide": ["other", "small", "wide"]} and wider["wide"].made.df.count() == 20
     run = build_gold(tables, scores, usable, {}, config)
     assert all(t.df.columns == t.columns and set(t.provenance) == set(t.columns) for t in run.tables)
     assert display_name(["b", "a", "d", "c"]) == "a+b+c and 1 more"
@@ -158,3 +162,234 @@ def test_declutter_parts(spark):
     assert curate.declutter(made, usable, unique) == ["code", "name", "rare"]
     assert curate.declutter(made, usable, unique, keys=False, nulls=False) == ["name"]
     assert discovery.score_bounds() == (0.0, 1.0)
+
+
+def test_what_is_tried_for_an_edge():
+    members = [Member("a", "a"), Member("b", "a"), Member("c", "c"), Member("b", "c", home=False)]
+    assert tries(members, "a", "b") == [] and tries(members, "c", "b") == []  # there already
+    assert tries(members, "a", "d") == [Try(None, settles=True)]  # without a home
+    assert tries(members, "c", "a") == [Try("a", settles=True)]  # gives the other composite its rows
+    assert tries(members, "a", "c") == [Try("c", settles=True)]  # lives alone
+    assert tries([*members, Member("e", "e")], "e", "b") == [Try("a", settles=True), Try(None, settles=False, stays=True)]
+
+
+def skewed(spark):
+    """6,000 rows, a third of them under one key, with nulls, ties, zeros and values far apart."""
+    import random
+
+    rnd = random.Random(2)
+    number = lambda: rnd.choice([None, 0.0, -1.5, 2.25, 1e-9, 3e8, float(rnd.randrange(-50, 50)), rnd.random() * 100])
+    key = lambda i: "hot" if i % 3 == 0 else f"k{i % 200}" if i % 17 else None
+    rows = [(key(i), number(), rnd.randrange(-5, 400), rnd.choice([None, "a", "b", "c", str(rnd.randrange(300))]), rnd.choice([True, False, None])) for i in range(6_000)]
+    return rows, spark.createDataFrame(rows, "k string, x double, y int, `t.t` string, b boolean").repartition(3)
+
+
+def test_modes_and_medians_in_two_levels(spark):
+    import statistics
+    from collections import Counter
+
+    rows, df = skewed(spark)
+    candidate = C.Candidate("d", df, "k", "k", {"x": "median", "y": "median"})
+    names = {"x": "x m", "y": "y", "t.t": "t.u", "b": "b"}
+    two = {r[0]: tuple(r)[1:] for r in C.grouped(candidate, names, one_pass=0).collect()}
+    one = {r[0]: tuple(r)[1:] for r in C.grouped(candidate, names, one_pass=1 << 60).collect()}
+    assert two == one and None not in two
+    held: dict = {}
+    for k, *values in rows:
+        if k is not None:
+            for i, v in enumerate(values):
+                held.setdefault((k, i), []).extend([] if v is None else [v])
+    common = lambda vs: min(Counter(vs).items(), key=lambda x: (-x[1], x[0]))[0] if vs else None
+    middle = lambda vs: statistics.median(vs) if vs else None
+    for k, (x, y, t, b) in two.items():
+        assert (x, y, t, b) == (middle(held[k, 0]), middle(held[k, 1]), common(held[k, 2]), common(held[k, 3])), k
+    # no task of the last shuffle holds the hot key's rows: they are combined by value first
+    assert C.medians(df, "k", {"m": "y"}).filter("__key = 'hot'").count() == 1
+    left = C.base("a", spark.createDataFrame([("hot",), ("k1",), (None,)], "k string"))
+    assert {r.k: r["y"] for r in C.star(left, [candidate]).df.collect()} == {"hot": two["hot"][1], "k1": two["k1"][1], None: None}
+
+
+def test_dependence_by_codes_and_by_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    pick = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    df = spark.range(4_000).select(pick(1, 5).alias("a"), pick(1, 5).cast("string").alias("a.same"), F.when(F.col("id") % 9 > 0, pick(2, 700)).alias("wide"), pick(3, 7).alias("c"), F.concat(F.lit("r"), "id").alias("key"))
+    found = {}
+    for dense, cells in ((1_024, 4 << 20), (1_024, 1), (100, 4 << 20), (0, 1)):
+        monkeypatch.setattr(curate, "DENSE", dense)
+        monkeypatch.setattr(curate, "CELLS", cells)
+        monkeypatch.setattr(curate, "BLOCK", 2)
+        found[dense, cells] = sorted(map(tuple, curate.dependence(df).collect()))
+    assert len({tuple(v) for v in found.values()}) == 1
+    score = {(a, b): s for a, b, s in found[0, 1]}
+    assert len(score) == 10 and score["a", "a.same"] > 10 and score["a", "c"] < 4
+    assert all(s == 0.0 for pair, s in score.items() if "key" in pair)
+    assert curate.dependence(df.select("key", "a")).collect()[0].soundness == 0.0 and curate.dependence(df.select("a")).collect() == []
+    assert {tuple(r) for r in curate.pair_bijection(df, ["a", "a.same", "c"]).collect()} == {("a", "a.same", 1.0)}
+
+
+def test_groups_once_columns_are_gone():
+    groups = [("code", ["code", "id", "name"]), ("x", ["x", "y"])]
+    assert curate.restricted(groups, ["id", "name", "x", "z"]) == [("id", ["id", "name"])]
+    assert curate.restricted(groups, ["id", "name", "x", "y"], {"name", "y"}) == [("name", ["id", "name"]), ("y", ["x", "y"])]
+    assert curate.restricted(groups, []) == []
+
+
+def test_chain_states(spark):
+    t = lambda n, *cols: spark.range(4).selectExpr("CAST(id AS STRING) AS k", *[f"id * {n} AS {c}" for c in cols])
+    one, two = C.Step(C.Candidate("b", t(2, "x"), "k", "k"), "a"), C.Step(C.Candidate("c", t(3, "y"), "y", "x"), "b")
+    chain = C.Chain.of("a", t(1, "v"))
+    longer = chain.then(one).then(C.Step(C.Candidate("c", t(3, "y"), "k", "k"), "a"))
+    assert [len(s.df.columns) for s in longer.states] == [2, 3, 4] and len(chain.states) == 1
+    assert longer.at(1).now.datasets == ["a", "b"] and longer.at(0).now is chain.now
+    other = longer.at(1).then(C.Step(C.Candidate("d", t(5, "x"), "k", "k"), "a"))
+    assert other.now.df.columns == ["k", "v", "x", "x__d"] and longer.now.df.columns == ["k", "v", "x", "y"]
+    assert other.searchable({("a", "k"), ("d", "x"), ("e", "z")}) == [("k", "a", "k"), ("x__d", "d", "x")]
+    for wrong in (lambda: chain.then(two), lambda: longer.at(3)):
+        with pytest.raises(C.ComposeError):
+            wrong()
+
+
+def planted(spark):
+    """Two tables that join, with columns that hang together: a run of either mode gives clusters."""
+    sales = spark.range(600).selectExpr("concat('shop ', id % 40) AS shop", "CAST(id % 3 AS STRING) AS kind", "concat('type ', id % 3) AS sort", "(id % 3) * 10 + id % 2 AS price")
+    shops = spark.range(40).selectExpr("concat('shop ', id) AS name", "concat('city ', id % 4) AS city", "concat('zip ', id % 4, '-', id % 8) AS zip", "id * 1.5 AS size")
+    return {"sales": sales, "shops": shops}
+
+
+def test_runs_are_stored_and_replayed(spark, tmp_path):
+    tables = planted(spark)
+    own = Lake(spark, tables)
+    for mode in ("every_table", "ad_hoc"):
+        run = own.gold(mode=mode)
+        assert run.tables and any(t.cluster for t in run.tables) and not run.failed
+        run.save(spark, str(tmp_path / mode))
+        again = GoldRun.load(spark, str(tmp_path / mode))
+        assert json.dumps(again.record(), sort_keys=True) == json.dumps(run.record(), sort_keys=True)
+        for t in run.tables:
+            rows = sorted(map(tuple, t.df.collect()), key=repr)
+            for anew in (False, True):
+                made = replay(again.table(t.id), planted(spark), anew)
+                assert made.columns == t.columns and sorted(map(tuple, made.collect()), key=repr) == rows
+        big = next(t for t in again.tables if t.cluster and len(t.datasets) > 1)
+        with pytest.raises(RecipeError):
+            replay(big, {"sales": tables["sales"]})
+        with pytest.raises(RecipeError):
+            replay(big, tables | {"shops": tables["shops"].drop("city")})
+        loose = {"sales": tables["sales"].selectExpr("shop", "CAST(rand(1) * 9 AS STRING) AS kind", "CAST(rand(2) * 9 AS STRING) AS sort", "rand(3) AS price"), "shops": tables["shops"].selectExpr("name", "'x' AS city", "'y' AS zip", "1.5 AS size")}
+        with pytest.raises(RecipeError):
+            replay(big, loose, anew=True)
+
+
+def test_recipes_of_any_composition(spark, tmp_path):
+    t = lambda n, key: spark.range(9).selectExpr(f"CAST(id % {n} AS STRING) AS {key}", "id AS v", "concat('w', id % 2) AS w")
+    tables = {"a": t(9, "k"), "b": t(3, "k"), "c": t(2, "j"), "d": t(4, "i")}
+    left = C.star(C.base("a", tables["a"]), [C.Candidate("b", tables["b"], "k", "k", {"v": "max"})])
+    right = C.chain(C.base("c", tables["c"]), [C.Step(C.Candidate("d", tables["d"], "i", "j", {"v": "median"}), "c")])
+    made = C.merge(left, "k", right, "j", {"v": "min"})
+    store(spark, str(tmp_path), "recipes", {"made": made.recipe, "a": C.base("a", tables["a"]).recipe})
+    held = load(spark, str(tmp_path), "recipes")
+    again = build(held["made"], tables)
+    assert (again.df.columns, again.provenance, again.originals, again.protected, again.recipe) == (made.df.columns, made.provenance, made.originals, made.protected, made.recipe)
+    assert sorted(map(tuple, again.df.collect()), key=repr) == sorted(map(tuple, made.df.collect()), key=repr)
+    assert build(held["a"], tables).df.columns == ["k", "v", "w"]
+
+
+def test_a_failing_scorer_leaves_the_joined_table(spark, monkeypatch):
+    from loomlake.plans import gold
+
+    real = gold.curate
+
+    def failing(composed, *more, **how):
+        if "shops" in composed.datasets:
+            raise RuntimeError("no score")
+        return real(composed, *more, **how)
+
+    monkeypatch.setattr(gold, "curate", failing)
+    run = Lake(spark, planted(spark)).gold()
+    (id, error), *_ = run.failed.items()
+    assert error == "RuntimeError: no score" and all(t.kind == gold.UNCURATED and len(t.datasets) == 2 for t in run.tables if t.id in run.failed)
+    assert run.table(id).df.count() == {"sales": 600, "shops": 40}[id] and "failed" in run.record()
+
+
+def test_only_changed_tables_are_profiled_again(spark, tmp_path, monkeypatch):
+    from loomlake.plans import flow
+
+    folder, kept = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(8):
+        (folder / f"t{i}.csv").write_text("name,day_date,n\n" + "\n".join(f"x{j % (i + 2)},1/{j % 28 + 1}/2024,{j}" for j in range(30)))
+    scans, tried = [], []
+    profiled, decided = flow.profile.lake_profile, flow.source.decide
+    monkeypatch.setattr(flow.profile, "lake_profile", lambda tables, *more: (scans.append(sorted(tables)), profiled(tables, *more))[1])
+    monkeypatch.setattr(flow.source, "decide", lambda df, *more: (tried.append(1), decided(df, *more))[1])
+    assert set(refresh(spark, str(folder), kept).values()) == {"profiled"}
+    before = sorted(map(repr, Lake.open(spark, str(folder), store=kept).columns().collect()))
+    assert scans == [[f"t{i}" for i in range(8)]] and len(tried) == 8
+    (folder / "t3.csv").write_text("name,n\n" + "\n".join(f"y{j % 5},{j}.5" for j in range(40)))
+    (folder / "t7.csv").unlink()
+    done = refresh(spark, str(folder), kept)
+    assert {n for n, d in done.items() if d == "profiled"} == {"t3"} and done["t7"] == "pruned" and scans[1:] == [["t3"]] and len(tried) == 9
+    own = Lake.open(spark, str(folder), store=kept)
+    after = sorted(map(repr, own.columns().collect()))
+    assert own.tables["t0"].schema["day_date"].dataType.simpleString() == "string" and own.tables["t0"].first().day_date == "2024-01-01"
+    assert own.tables["t3"].schema["n"].dataType.simpleString() == "double" and own.names() == [f"t{i}" for i in range(7)]
+    assert [r for r in after if "'t3'" not in r] == [r for r in before if "'t3'" not in r and "'t7'" not in r] and len(scans) == 2
+    plain = sorted(map(repr, Lake.open(spark, str(folder)).columns().collect()))
+    assert after == plain
+    names = {r.id for r in flow.catalogue_of(spark, f"{kept}/catalogue")["nodes"].collect()}
+    assert "dataset::t3" in names and "dataset::t7" not in names
+    # a snapshot that is not whole is not seen
+    path = source.new_snapshot(spark, f"{kept}/catalogue")
+    spark.range(1).write.parquet(f"{path}/nodes")
+    assert flow.catalogue_of(spark, f"{kept}/catalogue")["nodes"].columns != ["id"] or {r.id for r in flow.catalogue_of(spark, f"{kept}/catalogue")["nodes"].collect()} == names
+
+
+def test_jobs_are_watched_and_cancelled(spark):
+    import time
+
+    jobs = Jobs(spark)
+    assert jobs.state("x").status == "idle"
+    own = Lake(spark, planted(spark))
+    seen = []
+    jobs.start("every_table", lambda progress: own.gold(progress=lambda *p: (seen.append(p), progress(*p))))
+    assert jobs.start("every_table", lambda progress: 1 / 0).status == "running"  # one at a time
+    state = jobs.wait("every_table", 300)
+    assert (state.status, state.done, state.total) == ("done", 2, 2) and [p[0] for p in seen] == ["sales", "shops"] and state.seconds > 0
+    assert jobs.result("every_table").tables
+    assert jobs.start("bad", lambda progress: 1 / 0) and jobs.wait("bad", 60).error.startswith("ZeroDivisionError")
+    with pytest.raises(RuntimeError):
+        jobs.result("bad")
+
+    def slow(progress):
+        progress("long", 0, 1)
+        spark.range(1 << 40).selectExpr("sum(hash(id))").collect()
+
+    jobs.start("slow", slow)
+    for _ in range(100):
+        if jobs.state("slow").stages:
+            break
+        time.sleep(0.2)
+    assert jobs.state("slow").stages and jobs.state("slow").at == "long"
+    assert jobs.cancel("slow").status == "cancelled" and jobs.wait("slow", 60).status == "cancelled" and not jobs._threads["slow"].is_alive()
+
+
+def test_learned_scores_and_their_bounds(spark):
+    own = Lake(spark, planted(spark) | {"visits": spark.range(900).selectExpr("concat('shop ', id % 40) AS place", "concat('v', id % 50) AS who", "id AS n")})
+    pairs = own.labelled_pairs()
+    counted = {r.label: r["count"] for r in pairs.groupBy("label").count().collect()}
+    assert counted[1.0] > 20 and counted[0.0] > counted[1.0]
+    metrics = [c[2:] for c in pairs.columns if c.startswith("d_")]
+    assert metrics == [m for m in discovery.REGISTRY if m not in discovery.RULES["numerical"][1]]
+    model = own.fit_scorer(trees=20)
+    low, high = discovery.model_bounds(model)
+    scores = own.join_scores(model).collect()
+    assert low < high and all(low - 1e-6 <= r.score <= high + 1e-6 for r in scores)
+    fitted = discovery.learned(model, pairs)
+    mean = {r.label: r.s for r in fitted.groupBy("label").agg({"score": "mean"}).withColumnRenamed("avg(score)", "s").collect()}
+    assert mean[1.0] > 0.6 and mean[0.0] < 0.2
+    best = own.candidates("sales", "shop", model).first()
+    assert (best.candidate_dataset, best.candidate_column) in {("shops", "name"), ("visits", "place")}
+    assert sorted(map(tuple, own.join_scores(own.fit_scorer(trees=20)).collect())) == sorted(map(tuple, scores))
+    numeric = own.column_distances("numeric")
+    assert {f"d_{m}" for m in discovery.REGISTRY} <= set(numeric.columns)
