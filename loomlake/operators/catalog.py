@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .curate import top_share
+
 PRIMARY_KEY = 0.90
 
 
@@ -64,3 +66,39 @@ def governance(nodes: DataFrame, gold: DataFrame, scores: DataFrame, soundness:
         edges = edges.unionByName(joins.select(table.alias("source"), dataset.alias("target"), relation("joined_via"), "score", how.alias("detail")))
     ids = nodes.select("id").unionByName(gold.select(table.alias("id"))).distinct()
     return edges.filter("source <> target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+# -- views of the graph ------------------------------------------------------------------------------------------------
+
+#: Relations that a composed run adds about its tables.
+COMPOSITION = ("built_from", "derived_from", "joined_via", "statistically_related")
+
+
+def initial_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Datasets, columns and flags, as before any composition."""
+    return nodes.filter(F.col("kind").isin("dataset", "column", "quality_flag")), edges.filter(F.col("relation").isin("has_column", "has_flag")).select("source", "target", "relation")
+
+
+def joinable_once(governed: DataFrame) -> DataFrame:
+    """One joinable edge (source, target, score) for each two columns: the direction with the greater score, ties to the
+    lesser source."""
+    one = F.col("source") < F.col("target")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "source", "target")).alias("e")
+    held = governed.filter("relation = 'joinable'").groupBy(F.when(one, F.col("source")).otherwise(F.col("target")), F.when(one, F.col("target")).otherwise(F.col("source"))).agg(best)
+    return held.select("e.source", "e.target", (-F.col("e.s")).alias("score"))
+
+
+def joinability_view(edges: DataFrame, governed: DataFrame, threshold: float | None = None) -> DataFrame:
+    """source, target, relation, score: the columns of every dataset, and the joinable pairs from the threshold on; without
+    one, from the score that about three tenths of the pairs reach."""
+    joins = joinable_once(governed)
+    least = top_share(joins) if threshold is None else edges.sparkSession.createDataFrame([(float(threshold),)], "threshold double")
+    kept = joins.join(F.broadcast(least), F.col("score") >= F.col("threshold")).select("source", "target", F.lit("joinable").alias("relation"), "score")  # one row
+    columns = edges.filter("relation = 'has_column'").select("source", "target", "relation", F.lit(None).cast("double").alias("score"))
+    return columns.unionByName(kept)
+
+
+def composition_view(governed: DataFrame, table: str | None = None) -> DataFrame:
+    """What a run says of its tables, or of one of them: sources, columns, joins; related columns belong to no table."""
+    held = governed.filter(F.col("relation").isin(*COMPOSITION))
+    return held if table is None else held.filter((F.col("source") == f"gold::{table}") & (F.col("relation") != "statistically_related"))

@@ -277,8 +277,10 @@ def curate(composed: Composed, threshold: float = RELATED, keep=None) -> tuple[D
 
 def top_share(scores: DataFrame, share: float = 0.7) -> DataFrame:
     """The adaptive threshold: the score at place floor(share * (n - 1)) in ascending order."""
-    held = scores.agg(F.array_sort(F.collect_list("score")).alias("s"))  # scores of column pairs, one row each
-    return held.select(F.get("s", F.floor(share * (F.size("s") - 1)).cast("int")).alias("threshold"))
+    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))  # scores have six decimals, so there are few
+    upto = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select("score", upto.alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("rows"))
+    return ranked.filter(F.col("upto") > F.floor(F.lit(share) * (F.col("rows") - 1))).agg(F.min("score").alias("threshold"))
 
 
 def normalised(scores: DataFrame) -> DataFrame:

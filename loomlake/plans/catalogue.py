@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import curate, discovery, profile, quality
 from ..operators.compose import Candidate, Composed, Step, base, chain, match_rate, merge, star
 from ..sources.lake import page
-from . import lake_queries
+from . import derived_queries, lake_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -378,5 +378,5 @@ def relationship_edges(spark, sf_dir):
     return curate.relationship_edges(curate.dependence(_dependent(spark, sf_dir)))
 
 
-QUERIES |= lake_queries.QUERIES
-ORACLE_SQL |= lake_queries.ORACLE_SQL
+QUERIES |= lake_queries.QUERIES | derived_queries.QUERIES
+ORACLE_SQL |= lake_queries.ORACLE_SQL | derived_queries.ORACLE_SQL

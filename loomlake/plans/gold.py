@@ -59,6 +59,13 @@ class GoldTable:
     dropped: list[list[str]] = field(default_factory=list)
     cluster: str | None = None
 
+    def by_source(self) -> dict[str, list[str]]:
+        """The columns by the dataset that they come from."""
+        out: dict[str, list[str]] = {}
+        for c in self.columns:
+            out.setdefault(self.provenance[c], []).append(c)
+        return out
+
     def record(self) -> dict:
         """All but the rows."""
         return asdict(replace(self, df=None))
@@ -81,6 +88,13 @@ class GoldRun:
             raise KeyError(f"no such table in this run: {id}")
         return found[0]
 
+    def by_base(self) -> dict[str, list[GoldTable]]:
+        """The tables by the dataset whose rows they have, in order."""
+        out: dict[str, list[GoldTable]] = {}
+        for t in sorted(self.tables, key=lambda t: t.id):
+            out.setdefault(t.id.split("::")[0], []).append(t)
+        return out
+
     def record(self) -> dict:
         """The run as plain values."""
         return {"config": asdict(self.config), "redundant": self.redundant, "skipped": self.skipped, "failed": self.failed, "related": self.related, "tables": [t.record() for t in self.tables]}

@@ -53,14 +53,6 @@ def lake(spark: SparkSession, sf_dir: str) -> Lake:
 
 # -- profiles ------------------------------------------------------------------------------------------------------
 
-_EACH = [(t, c, k) for t, cs in LAKE.items() for c, k in cs.items()]
-_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS d, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v, count(*) AS f FROM {t} GROUP BY {c}" for t, c, k in _EACH)
-_OUT = " UNION ALL ".join(
-    f"SELECT '{t}' AS d, '{c}' AS c, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS o FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {t}),"
-    f" (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {t})"
-    for t, c, k in _EACH
-    if k in "if"
-)
 _FLAG = {
     "all_null": "r > 0 AND n = r",
     "high_incompleteness": "CAST(n AS DOUBLE) / r > 0.95",
@@ -68,8 +60,19 @@ _FLAG = {
     "high_outliers": "main = 'numeric' AND r - n >= 4 AND CAST(o AS DOUBLE) / r > 0.30",
     "unusable_type": "kind IN ('textual', 'array', 'other')",
 }
-#: p: a row a column, with its types, counts and flags (fl); ds: a row a table with its flags.
-_PROFILE = f"""WITH vc AS MATERIALIZED ({_COUNTS}), outliers AS ({_OUT}), tests AS (
+
+
+def profile_sql(tables: dict[str, dict[str, str]], made: str = "") -> str:
+    """p: a row a column, with its types, counts and flags (fl); ds: a row a table with its flags. made: CTEs before them."""
+    each = [(t, c, k) for t, cs in tables.items() for c, k in cs.items()]
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS d, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v, count(*) AS f FROM {t} GROUP BY {c}" for t, c, k in each)
+    out = " UNION ALL ".join(
+        f"SELECT '{t}' AS d, '{c}' AS c, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS o FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {t}),"
+        f" (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {t})"
+        for t, c, k in each
+        if k in "if"
+    )
+    return f"""WITH {made} vc AS MATERIALIZED ({counts}), outliers AS ({out}), tests AS (
     SELECT d, c, k, CAST(sum(f) AS BIGINT) AS r, CAST(sum(CASE WHEN v IS NULL OR v = '' THEN f ELSE 0 END) AS BIGINT) AS n, count(v) AS u, max(CASE WHEN v IS NOT NULL THEN f END) AS m,
       CAST(sum(CASE WHEN v IS NOT NULL THEN f ELSE 0 END) AS BIGINT) AS filled, bool_and(v IN ('0', '1')) AS bits,
       bool_and(lower(trim(v)) IN ('true', 'false')) OR bool_and(lower(trim(v)) IN ('yes', 'no')) AS bools, bool_and(try_cast(v AS TIMESTAMP) IS NOT NULL) AS dates,
@@ -84,6 +87,9 @@ _PROFILE = f"""WITH vc AS MATERIALIZED ({_COUNTS}), outliers AS ({_OUT}), tests
   usable AS (SELECT p.* FROM p JOIN ds USING (d) WHERE len(p.fl) = 0 AND len(ds.fl) = 0)"""
 
 
+_PROFILE = profile_sql(LAKE)
+
+
 @query(_PROFILE + """ SELECT d AS dataset, c AS "column", main AS main_type, kind AS secondary_type, r AS row_count, n AS null_count, round(100.0 * n / r, 1) AS null_pct, u AS unique_count, m AS top_freq, o AS outliers,
     array_to_string(list_transform(fl, lambda x: x || ':warning'), ',') AS flags FROM p""")
 def lake_columns(spark, sf_dir):
