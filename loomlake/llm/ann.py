@@ -89,7 +89,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     n, d = (sizes[0]["count"], sizes[0]["d"]) if sizes else (0, 0)
     rows = rows.filter(F.size("v") == d)
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "row").limit(SAMPLE).select("v").collect()], dtype=float).reshape(-1, max(d, 1))
+    # about SAMPLE rows, by a threshold on a hash: no task sends more than its share
+    drawn = F.shiftrightunsigned(F.xxhash64("row", F.lit(3)), 2) < int(2**62 * min(1.0, SAMPLE / max(n, 1)))
+    sample = np.array([r.v for r in sorted(rows.filter(drawn).select("row", "v").collect(), key=lambda r: r.row)], dtype=float).reshape(-1, max(d, 1))
     mean, rotation = fit_rotations(_unit(sample)) if len(sample) else (np.zeros(1), np.zeros((1, BITS)))
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-n // every // QUERIES))
 

@@ -406,6 +406,62 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.grade_documents(empty, labels).collect() == []
 
 
+def test_toxicity_against_brute_force(spark, docs):
+    """Scores from the definition of the cumulative link, and a fit that no small step improves."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rnd = np.random.default_rng(8)
+    plain, rude = [f"w{i}" for i in range(30)], ["vile", "awful", "nasty"]
+    texts, label = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        own = list(rnd.choice(plain, 12)) + (list(rnd.choice(rude, rnd.integers(1, 7))) if toxic or i % 37 == 0 else [])
+        texts.append(" ".join(own).upper() if i % 5 == 0 else " ".join(own))
+        label.append(int(toxic))
+    model = toxicity.fit([t.encode() for t in texts], label)
+    held = [word.findall(lower(t)) for t in texts]
+
+    def chances(text, weights, thresholds):
+        n = Counter(w for w in word.findall(lower(text)) if w.encode() in weights)
+        margin = sum(weights[w.encode()] * math.log(1 + k) for w, k in n.items())
+        return [1 / (1 + math.exp(min(500, max(-500, t - margin)))) for t in thresholds]
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:40], *TEXTS, "vile " * 50_000])], "doc_id long, text string")
+    for r, text in zip(sorted(toxicity.score_texts(rows, model).collect(), key=lambda r: r.doc_id), [*texts[:40], *TEXTS, "vile " * 50_000]):
+        p = chances(text, model.weights, model.thresholds)
+        each = [a - b for a, b in zip([1, *p], [*p, 0])]
+        assert math.isclose(r.p_any, p[0], abs_tol=1e-9) and math.isclose(r.severity, sum(p), abs_tol=1e-9)
+        assert math.isclose(each[r.grade], max(each), abs_tol=1e-9)
+    assert list(model.thresholds) == sorted(model.thresholds) and model.weights[b"vile"] > 1
+
+    # grades as the docstring has them, from the words that toxic labels single out
+    toxic_in = Counter(w for own, y in zip(held, label) if y for w in set(own))
+    seen = Counter(w for own in held for w in set(own))
+    n1, n0 = sum(label), len(label) - sum(label)
+    marked = set()
+    for w in (x.decode() for x in model.weights):
+        a, b = toxic_in[w] + 0.5, seen[w] - toxic_in[w] + 0.5
+        if math.log(a / n1) - math.log(b / n0) - math.sqrt(1 / a + 1 / b) >= toxicity.SINGLED_OUT:
+            marked.add(w)
+    grade = [sum(sum(w in marked for w in own) >= g for g in toxicity.GRADES) if y else 0 for own, y in zip(held, label)]
+    assert len(set(grade)) == 4
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for t, g in zip(texts, grade):
+            p = [1, *chances(t, weights, thresholds), 0]
+            total -= math.log(max(p[g] - p[g + 1], 1e-9))
+        return total / len(texts) + 1e-4 / 2 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.thresholds)
+    for w in model.weights:
+        for step in (-0.3, 0.3):
+            assert loss(model.weights | {w: model.weights[w] + step}, model.thresholds) > best - 1e-3
+    for k in range(len(model.thresholds)):
+        for step in (-0.1, 0.1):
+            moved = [t + step * (j == k) for j, t in enumerate(model.thresholds)]
+            assert loss(model.weights, moved) > best - 1e-3
+
+
 def test_nearest(spark):
     random = np.random.default_rng(0)
     x = random.normal(size=(600, 16)).astype(np.float32)
