@@ -24,17 +24,31 @@ def list_tables(spark: SparkSession, folder: str) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+def text_shape(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether quoted cells hold line breaks) of CSV files, from one scan of their lines on the executors.
+
+    UTF-8 if all lines read as that, else ISO-8859-1. A line with an odd number of quotes begins or ends a cell that goes on
+    in another line; without one, files can be split."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd, broken = lines.agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(quotes % 2 == 1)).first()
+    return "ISO-8859-1" if odd else "UTF-8", bool(broken)
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8 if all bytes of the files read as that, else ISO-8859-1; decided on the executors."""
-    lines = spark.read.format("binaryFile").load(path).select(F.try_validate_utf8(F.col("content").cast("string")).isNull().alias("odd"))
-    return "ISO-8859-1" if lines.filter("odd").limit(1).count() else "UTF-8"
+    return text_shape(spark, path)[0]
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, breaks: bool | None = None) -> DataFrame:
     """Every cell as text, empty cells null, quoted line breaks kept, a byte order mark dropped from the first header.
 
-    Without an encoding, UTF-8 is read, and ISO-8859-1 where the file is no UTF-8."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding or encoding_of(spark, path))
+    Without an encoding, UTF-8 is read, and ISO-8859-1 where the file is no UTF-8. Files without quoted line breaks are
+    split over tasks; breaks says whether there are any, and the lines are looked at if it does not."""
+    if encoding is None or breaks is None:
+        found = text_shape(spark, path)
+        encoding, breaks = encoding or found[0], found[1] if breaks is None else breaks
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=breaks, escape='"', encoding=encoding)
     return df.toDF(*[c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns])
 
 

@@ -36,7 +36,7 @@ def test_files_are_listed_read_and_typed(spark, folder, lake):
     first = shops.orderBy("shop_id").first()
     assert tuple(first) == (0, "Nice", "2024-01-01", "line\nbreak 0")
     assert sales.schema["amount"].dataType.simpleString() == "double" and sales.filter("city = 'Köln'").count() == 60
-    assert source.encoding_of(spark, str(folder / "sales.csv")) == "ISO-8859-1"
+    assert source.text_shape(spark, str(folder / "sales.csv")) == ("ISO-8859-1", False) and source.text_shape(spark, str(folder / "shops.csv")) == ("UTF-8", True)
     assert lake.preview("shops", ["shop_id"], 10, 5).count() == 5 and lake.preview("sales", ["city"], 0, 9_999, raw=True).count() == 90
     assert source.preprocess(spark.createDataFrame([(None,)], "a string")).first()[0] is None
     with pytest.raises(ValueError):
@@ -393,3 +393,18 @@ def test_learned_scores_and_their_bounds(spark):
     assert sorted(map(tuple, own.join_scores(own.fit_scorer(trees=20)).collect())) == sorted(map(tuple, scores))
     numeric = own.column_distances("numeric")
     assert {f"d_{m}" for m in discovery.REGISTRY} <= set(numeric.columns)
+
+
+def test_files_without_quoted_line_breaks_are_split(spark, tmp_path):
+    rows = [f'{i},"a ""quoted"", cell {i}",{"ü" * 40}' for i in range(4_000)]
+    (tmp_path / "wide.csv").write_text("\ufeffId,Note,Long\n" + "\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = source.read_csv(spark, str(tmp_path / "wide.csv"))
+        assert df.rdd.getNumPartitions() > 3 and df.columns == ["Id", "Note", "Long"]
+        assert sorted((int(r.Id), r.Note) for r in df.collect()) == [(i, f'a "quoted", cell {i}') for i in range(4_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "empty.csv").write_text("Id,Note\n")
+    assert source.read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
