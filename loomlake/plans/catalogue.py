@@ -151,11 +151,6 @@ def profile_common_values(spark, sf_dir):
     return profile.top_values(profile.value_counts(t(spark, sf_dir, "part"), PART))
 
 
-@query()
-def profile_common_sounds(spark, sf_dir):
-    return profile.common_values(profile.value_counts(t(spark, sf_dir, "part"), PART))
-
-
 LINES = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
 
 
@@ -188,11 +183,6 @@ def profile_numerical(spark, sf_dir):
     return profile.numerical(t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
 
 
-@query()
-def profile_deep(spark, sf_dir):
-    return profile.deep_profile(t(spark, sf_dir, "customer"), "customer")
-
-
 # -- quality and text ----------------------------------------------------------------------------------------------
 
 

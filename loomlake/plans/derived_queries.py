@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, compose, discovery
+from ..operators import catalog, compose, discovery, profile
 from ..sources import lake as source
 from . import recipe
 from .flow import Lake
-from .lake_queries import _METRICS, _PROFILE, lake, profile_sql, soundex_sql
+from .lake_queries import _METRICS, _PROFILE, LAKE, lake, profile_sql, soundex_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,8 +70,8 @@ def flags_of_odd_datasets(spark, sf_dir):
 _EIGHTHS = ", ".join(f"CAST(quantile_disc(f, {k / 8}) AS DOUBLE) / rows AS frequency_{k}qo" for k in range(1, 8))
 _WORDS = "list_transform(str_split(v, ' '), lambda x: length(x))"
 _COUNTED = "length(v) - length(replace(v, ' ', '')) + 1"
-#: A row a usable text column, with all metrics that value counts hold.
-_ALL_METRICS = _PROFILE + f""", own AS (SELECT vc.d, vc.c, v, f, CAST(r AS DOUBLE) AS rows FROM vc JOIN usable USING (d, c) WHERE main = 'string'),
+#: mx: a row a column of own (d, c, v, f, rows), with all metrics that value counts hold.
+_MX = f"""
   m0 AS (SELECT d, c, CAST(sum(f) AS DOUBLE) AS num_rows, CAST(count(v) AS DOUBLE) AS cardinality, CAST(sum(CASE WHEN v IS NULL THEN f ELSE 0 END) AS DOUBLE) / CAST(sum(f) AS DOUBLE) AS incompleteness,
     CAST(count(v) AS DOUBLE) / CAST(sum(f) AS DOUBLE) AS uniqueness, CAST(count(v) = 0 AS DOUBLE) AS is_empty, CAST(count(v) = 2 AS DOUBLE) AS is_binary FROM own GROUP BY d, c),
   m1 AS (SELECT d, c, round(abs(log2(sum(f)) - sum(f * log2(f)) / sum(f)), 6) AS entropy, avg(f) AS frequency_avg, min(f) AS frequency_min, max(f) AS frequency_max, round(stddev_pop(f), 6) AS frequency_sd,
@@ -85,6 +85,7 @@ _ALL_METRICS = _PROFILE + f""", own AS (SELECT vc.d, vc.c, v, f, CAST(r AS DOUBL
     CAST(sum(f * length(v)) AS DOUBLE) / CAST(sum(f) AS DOUBLE) AS len_avg_full, sum(f * ({_COUNTED})) AS number_words, max({_COUNTED}) AS words_cnt_max, min({_COUNTED}) AS words_cnt_min, CAST(sum(f * ({_COUNTED})) AS DOUBLE) / CAST(sum(f) AS DOUBLE) AS words_cnt_avg,
     round(sqrt(greatest(0, CAST(sum(f * ({_COUNTED}) * ({_COUNTED})) AS DOUBLE) / CAST(sum(f) AS DOUBLE) - power(CAST(sum(f * ({_COUNTED})) AS DOUBLE) / CAST(sum(f) AS DOUBLE), 2))), 6) AS words_cnt_sd FROM own WHERE v IS NOT NULL GROUP BY d, c),
   mx AS MATERIALIZED (SELECT * FROM m0 JOIN m1 USING (d, c) JOIN m2 USING (d, c) JOIN m3 USING (d, c))"""
+_ALL_METRICS = _PROFILE + ", own AS (SELECT vc.d, vc.c, v, f, CAST(r AS DOUBLE) AS rows FROM vc JOIN usable USING (d, c) WHERE main = 'string')," + _MX
 
 
 def _distance_sql(metric: str) -> str:
@@ -134,6 +135,42 @@ def lake_learned_scores(spark, sf_dir):
     return own.join_scores(own.fit_scorer(trees=20)).select("base_dataset", "base_column", "candidate_dataset", "candidate_column", "score")
 
 
+# -- profiles with all metrics -----------------------------------------------------------------------------------------
+
+_CUSTOMER = LAKE["customer"]
+_ENDS = " UNION ALL ".join(f"SELECT '{c}' AS c, CAST(min({c}) AS VARCHAR) AS lo, CAST(max({c}) AS VARCHAR) AS hi FROM customer" for c in _CUSTOMER)
+_NUMBERS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS c, q1, q3, count(*) AS values_count, CAST(count(*) FILTER (v < 0) AS DOUBLE) / count(*) AS percentage_negative, CAST(count(*) FILTER (v = 0) AS DOUBLE) / count(*) AS number_zero,
+    count(*) FILTER (v < q1 - 1.5 * (q3 - q1)) AS outliers_below_iqr, count(*) FILTER (v > q3 + 1.5 * (q3 - q1)) AS outliers_above_iqr, count(*) AS total_outliers, CAST(count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS DOUBLE) / count(*) AS percentage_outliers
+    FROM (SELECT CAST({c} AS DOUBLE) AS v FROM customer), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM customer) GROUP BY q1, q3"""
+    for c, k in _CUSTOMER.items()
+    if k in "if"
+)
+_DEEP = f""", own AS (SELECT vc.d, vc.c, v, f, CAST(r AS DOUBLE) AS rows FROM vc JOIN p USING (d, c)), {_MX}, ends AS ({_ENDS}), numbers AS ({_NUMBERS})
+  SELECT mx.d AS dataset, mx.c AS "column", main AS main_type, kind AS secondary_type, array_to_string(freq_word_containment, '|') AS freq_word_containment, array_to_string(freq_word_soundex_containment, '|') AS freq_word_soundex_containment, lo AS first_word, hi AS last_word,
+    mx.* EXCLUDE (d, c, freq_word_containment, freq_word_soundex_containment, first_word, last_word) REPLACE (CAST(num_rows AS BIGINT) AS num_rows, CAST(cardinality AS BIGINT) AS cardinality, CAST(is_empty AS INT) AS is_empty, CAST(is_binary AS INT) AS is_binary, CAST(number_words AS BIGINT) AS number_words), numbers.* EXCLUDE c FROM mx JOIN p USING (d, c) JOIN ends ON ends.c = mx.c LEFT JOIN numbers ON numbers.c = mx.c"""
+
+
+def _joined(df):
+    """Lists as texts."""
+    return df.withColumns({c: F.array_join(c, "|") for c in ("freq_word_containment", "freq_word_soundex_containment")})
+
+
+@query(profile_sql({"customer": _CUSTOMER}) + _DEEP)
+def profile_deep(spark, sf_dir):
+    """Every metric of every column of a table."""
+    return _joined(profile.deep_profile(lake(spark, sf_dir).tables["customer"], "customer"))
+
+
+_PARTS = ["p_name", "p_brand", "p_type"]
+
+
+@query(f"""SELECT c AS "column", string_agg(v, '|' ORDER BY rn) AS freq_word_containment, string_agg({soundex_sql("v")}, '|' ORDER BY rn) AS freq_word_soundex_containment
+    FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY f DESC, v) AS rn FROM ({" UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, count(*) AS f FROM part GROUP BY {c}" for c in _PARTS)})) WHERE rn <= 10 GROUP BY c""")
+def profile_common_sounds(spark, sf_dir):
+    return _joined(profile.common_values(profile.value_counts(lake(spark, sf_dir).tables["part"], _PARTS)))
+
+
 # -- recipes and chains ------------------------------------------------------------------------------------------------
 
 

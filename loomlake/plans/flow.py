@@ -267,11 +267,14 @@ class Lake:
         source.finish_snapshot(self.spark, path)
         return {n: df.count() for n, df in catalogue_of(self.spark, folder).items()}
 
-    def catalogue_json(self) -> str:
-        """The whole graph and the bounds of the score as one text; it has a row a column, so it is small."""
+    def catalogue_json(self, run: GoldRun | None = None, scorer=None) -> str:
+        """The whole graph, the bounds of the score and whether there is a run as one text; it has a row a column, so it is
+        small. With a run, the edges that it adds are part of it, but for the joinable ones, which are a row a pair."""
         rows = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).collect()]
         nodes, edges = self.catalogue()
-        return json.dumps({"nodes": rows(nodes), "edges": rows(edges), "score_bounds": discovery.score_bounds()}, sort_keys=True)
+        more = rows(catalog.composition_view(self.governance(run))) if run else []
+        bounds = discovery.model_bounds(scorer) if scorer else discovery.score_bounds()
+        return json.dumps({"nodes": rows(nodes), "edges": rows(edges) + more, "score_bounds": bounds, "has_run": run is not None}, sort_keys=True)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -111,6 +111,9 @@ def test_composites_and_previews(lake, spark, tmp_path):
     assert {d for _, d in lineage(run)} <= {"shops", "sales"} and json.dumps(run.record())
     graph = json.loads(lake.catalogue_json())
     assert {n["kind"] for n in graph["nodes"]} >= {"dataset", "column"} and graph["score_bounds"] == [0.0, 1.0]
+    whole = json.loads(lake.catalogue_json(run))
+    assert whole["has_run"] and not graph["has_run"] and {e["relation"] for e in whole["edges"]} > {"has_column", "built_from", "derived_from"}
+    assert set(run.by_base()) == {t.id.split("::")[0] for t in run.tables} and all(set(sum(t.by_source().values(), [])) == set(t.columns) for t in run.tables)
     rows = lake.rebuild(str(tmp_path / "catalogue"), run)
     assert rows["nodes"] == len(graph["nodes"]) and rows["usable_nodes"] <= rows["nodes"] and rows["governance"] > 0
     assert search(made.df, "`city.name`", "KÖL", 3).count() == 3
