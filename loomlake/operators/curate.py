@@ -22,6 +22,8 @@ BINS, AS_CATEGORIES, HEAVY_TAIL, RELATED = 10, 30, 2.0, 4.0
 BLOCK, IDENTIFIER = 256, 0.90
 #: Values of a column that is counted by codes, and cells that a task holds for it, at most.
 DENSE, CELLS = 1_024, 4 << 20
+#: Rows by pairs up to which hashes do for all columns: Python workers would take longer to start.
+FEW = 20_000_000
 
 
 class Groups:
@@ -53,9 +55,10 @@ def cells(df: DataFrame, pairs: list[tuple[str, str]], counts: DataFrame, size:
 
     a and b stand for values and mean nothing else. Columns of DENSE values at most get dictionary codes (their
     dictionaries are gathered, so many values each) and are counted in numpy matrices of a cell for each two codes, in
-    blocks of pairs that fit CELLS; the others are counted by 64-bit hashes of their values, in blocks of BLOCK pairs.
+    blocks of pairs that fit CELLS; the others, and all where there is little to count, by 64-bit hashes of their values, in blocks of BLOCK pairs.
     Either way cells are counted before the shuffle, whose size hangs on cells and not on rows."""
-    dense = {c for c, (u, _) in size.items() if u <= DENSE}
+    rows = max((n for _, n in size.values()), default=0)
+    dense = {c for c, (u, _) in size.items() if u <= DENSE and rows * len(pairs) > FEW}
     small = [k for k, pair in enumerate(pairs) if dense.issuperset(pair)]
     out = []
     if small:

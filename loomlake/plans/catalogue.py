@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import curate, discovery, profile, quality
 from ..operators.compose import Candidate, Composed, Step, base, chain, match_rate, merge, star
-from ..sources.lake import page
+from ..sources.lake import kept, page
 from . import derived_queries, lake_queries
 
 QUERIES: dict = {}
@@ -360,12 +360,12 @@ def _dependent(spark, sf_dir):
 
 @query(_DEP)
 def dependence_pairs(spark, sf_dir):
-    return curate.dependence(_dependent(spark, sf_dir))
+    return curate.dependence(_dependent(spark, sf_dir), keep=kept)
 
 
 @query("WITH x AS (" + _DEP + ") SELECT column_1, column_2, soundness FROM x WHERE soundness >= 4.0")
 def relationship_edges(spark, sf_dir):
-    return curate.relationship_edges(curate.dependence(_dependent(spark, sf_dir)))
+    return curate.relationship_edges(curate.dependence(_dependent(spark, sf_dir), keep=kept))
 
 
 QUERIES |= lake_queries.QUERIES | derived_queries.QUERIES

@@ -247,10 +247,7 @@ class Lake:
         return catalog.governance(self.catalogue()[0], gold, run.scores, related, joins)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        """df written to the shared folder and read back: its lineage is cut, and a lost executor costs no recomputation."""
-        path = source.shared_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return source.kept(df, name)
 
     # -- stored state ----------------------------------------------------------------------------------------------
 

@@ -219,6 +219,7 @@ def test_dependence_by_codes_and_by_hashes(spark, monkeypatch):
     df = spark.range(4_000).select(pick(1, 5).alias("a"), pick(1, 5).cast("string").alias("a.same"), F.when(F.col("id") % 9 > 0, pick(2, 700)).alias("wide"), pick(3, 7).alias("c"), F.concat(F.lit("r"), "id").alias("key"))
     found = {}
     for dense, cells in ((1_024, 4 << 20), (1_024, 1), (100, 4 << 20), (0, 1)):
+        monkeypatch.setattr(curate, "FEW", 0)
         monkeypatch.setattr(curate, "DENSE", dense)
         monkeypatch.setattr(curate, "CELLS", cells)
         monkeypatch.setattr(curate, "BLOCK", 2)
