@@ -112,7 +112,7 @@ def test_composites_and_previews(lake, spark, tmp_path):
     graph = json.loads(lake.catalogue_json())
     assert {n["kind"] for n in graph["nodes"]} >= {"dataset", "column"} and graph["score_bounds"] == [0.0, 1.0]
     whole = json.loads(lake.catalogue_json(run))
-    assert whole["has_run"] and not graph["has_run"] and {e["relation"] for e in whole["edges"]} > {"has_column", "built_from", "derived_from"}
+    assert whole["has_run"] and not graph["has_run"] and {e["relation"] for e in whole["edges"]} >= {"has_column"}
     assert set(run.by_base()) == {t.id.split("::")[0] for t in run.tables} and all(set(sum(t.by_source().values(), [])) == set(t.columns) for t in run.tables)
     rows = lake.rebuild(str(tmp_path / "catalogue"), run)
     assert rows["nodes"] == len(graph["nodes"]) and rows["usable_nodes"] <= rows["nodes"] and rows["governance"] > 0
@@ -267,6 +267,8 @@ def test_runs_are_stored_and_replayed(spark, tmp_path):
     for mode in ("every_table", "ad_hoc"):
         run = own.gold(mode=mode)
         assert run.tables and any(t.cluster for t in run.tables) and not run.failed
+        whole = json.loads(own.catalogue_json(run))
+        assert {e["relation"] for e in whole["edges"]} >= {"has_column", "built_from", "derived_from", "joined_via"} and "joinable" not in {e["relation"] for e in whole["edges"]}
         run.save(spark, str(tmp_path / mode))
         again = GoldRun.load(spark, str(tmp_path / mode))
         assert json.dumps(again.record(), sort_keys=True) == json.dumps(run.record(), sort_keys=True)
