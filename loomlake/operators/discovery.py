@@ -49,12 +49,52 @@ def edit(a: Column, b: Column) -> Column:
     return F.coalesce(F.levenshtein(a, b).cast("double"), F.length(a).cast("double"), F.length(b).cast("double"), F.lit(float("inf")))
 
 
-def pairs(profiles: DataFrame) -> DataFrame:
+#: Columns of a block: on wide lakes each two blocks meet in a cell of at most about BLOCK by BLOCK pairs.
+BLOCK = 1_024
+#: Lists of which columns that share an entry are found by an index.
+LISTS = ["freq_word_containment", "freq_word_soundex_containment"]
+
+
+def _sides(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(profiles.select(*[F.col(c).alias(f"{side}_{c}") for c in profiles.columns]) for side in "ab")
+
+
+def pairs(profiles: DataFrame, blocks: int = 1, bases: DataFrame | None = None) -> DataFrame:
     """Every column with every column of another dataset and the same main type. profiles: dataset, column, main_type,
-    cardinality, uniqueness, freq_word_containment, freq_word_soundex_containment, first_word, last_word."""
-    a = profiles.select(*[F.col(c).alias(f"a_{c}") for c in profiles.columns])
-    b = profiles.select(*[F.col(c).alias(f"b_{c}") for c in profiles.columns])
-    return a.join(b, (F.col("a_main_type") == F.col("b_main_type")) & (F.col("a_dataset") != F.col("b_dataset")))
+    cardinality, uniqueness, freq_word_containment, freq_word_soundex_containment, first_word, last_word. bases: the
+    profiles of the columns to find candidates for, where not all are.
+
+    As a main type is one key, its pairs are one task's unless columns are dealt to several blocks (by a hash of their
+    names): then each column goes to every block of the other side, and each two blocks meet in a cell of their own."""
+    a, b = _sides(profiles if bases is None else bases)[0], _sides(profiles)[1]
+    match = (F.col("a_main_type") == F.col("b_main_type")) & (F.col("a_dataset") != F.col("b_dataset"))
+    if blocks == 1:
+        return a.join(b, match)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = lambda side: F.pmod(F.xxhash64(f"{side}_dataset", f"{side}_column"), F.lit(blocks)).cast("int")
+    a = a.withColumn("row", own("a")).withColumn("at", every).repartition(blocks * blocks, "row", "at", "a_main_type")
+    b = b.withColumn("at", own("b")).withColumn("row", every).repartition(blocks * blocks, "row", "at", "b_main_type")
+    return a.join(b.withColumnsRenamed({"row": "b_row", "at": "b_at"}), (F.col("row") == F.col("b_row")) & (F.col("at") == F.col("b_at")) & match).drop("row", "at", "b_row", "b_at")
+
+
+def related_pairs(profiles: DataFrame, hot: int = BLOCK) -> DataFrame:
+    """The rows of pairs() whose columns share a common value or a sound, found by an index from entries to columns, so
+    that columns with nothing in common never meet.
+
+    Entries of one dataset alone go first. An entry of more than ``hot`` columns is dealt in parts: each of its columns is
+    in one part as a base and in every part as a candidate, so no task holds all pairs of an entry. Null entries do not count."""
+    held = [profiles.select("dataset", "column", "main_type", F.lit(n).alias("list"), F.explode(F.array_distinct(n)).alias("entry")) for n in LISTS]
+    each = held[0].unionByName(held[1])
+    key = ["main_type", "list", "entry"]
+    size = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("dataset").alias("least"), F.max("dataset").alias("most"))
+    size = size.filter("least < most").select(*key, F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    each = each.join(size, key)
+    part = F.pmod(F.xxhash64("dataset", "column"), F.col("parts")).cast("int")
+    a = each.select(*key, part.alias("part"), F.col("dataset").alias("a_dataset"), F.col("column").alias("a_column"))
+    b = each.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("dataset").alias("b_dataset"), F.col("column").alias("b_column"))
+    met = a.join(b, [*key, "part"]).filter("a_dataset <> b_dataset").select("a_dataset", "a_column", "b_dataset", "b_column").distinct()
+    left, right = _sides(profiles)
+    return met.join(left, ["a_dataset", "a_column"]).join(right, ["b_dataset", "b_column"]).select(*left.columns, *right.columns)
 
 
 def distances(pairs: DataFrame) -> DataFrame:
@@ -170,8 +210,10 @@ def ranked(scores: DataFrame) -> DataFrame:
 def best_per_dataset(scores: DataFrame, threshold: float = 0.001, uniqueness: float = 0.0, top: int | None = 4) -> DataFrame:
     """The best column pair of each base and candidate dataset above the threshold, and of those the best ``top`` of a base."""
     held = scores.filter((F.col("score") >= threshold) & (F.col("candidate_uniqueness") >= uniqueness))
-    best = Window.partitionBy("base_dataset", "candidate_dataset").orderBy(F.desc("score"), "candidate_column", "base_column")
-    held = held.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+    rest = [c for c in held.columns if c not in ("base_dataset", "candidate_dataset", "candidate_column", "base_column")]
+    order = F.struct((-F.col("score")).alias("less"), "candidate_column", "base_column", F.struct(*rest).alias("rest"))
+    best = held.groupBy("base_dataset", "candidate_dataset").agg(F.min(order).alias("x"))  # pairs meet their best where they are made
+    held = best.select("base_dataset", "x.base_column", "candidate_dataset", "x.candidate_column", "x.rest.*").select(*held.columns)
     order = Window.partitionBy("base_dataset").orderBy(F.desc("score"), "candidate_dataset")
     held = held.withColumn("rank", F.row_number().over(order))
     return held.filter(F.col("rank") <= top) if top else held

@@ -151,22 +151,29 @@ class Lake:
 
     def column_distances(self, main_type: str = "string") -> DataFrame:
         """Every registered distance of every usable column and every one of another table, of one main type."""
-        return discovery.all_distances(discovery.pairs(self.features(main_type)))
+        return discovery.all_distances(self._pairs(self.features(main_type)))
 
-    def join_scores(self, scorer=None) -> DataFrame:
+    def _pairs(self, profiles: DataFrame, related: bool = False) -> DataFrame:
+        return discovery.related_pairs(profiles) if related else discovery.pairs(profiles, max(1, -(-profiles.count() // discovery.BLOCK)))
+
+    def join_scores(self, scorer=None, related: bool = False) -> DataFrame:
         """The score of every usable text column with every one of another table: of the closed form, or of a fitted scorer.
 
-        It has a row a pair of columns, so it is written, not gathered."""
+        It has a row a pair of columns, so it is written, not gathered, and on wide lakes made in blocks of columns. With
+        ``related``, only the pairs that share a common value or a sound; an index finds them, so no others are made."""
         if scorer is not None:
-            return self._kept(discovery.learned(scorer, self.column_distances()), "scores")
-        return self._kept_once("scores", lambda: self._kept(discovery.scored(discovery.distances(discovery.pairs(self.metrics()))), "scores"))
+            return self._kept(discovery.learned(scorer, discovery.all_distances(self._pairs(self.features(), related))), "scores")
+        name = "related-scores" if related else "scores"
+        return self._kept_once(name, lambda: self._kept(discovery.scored(discovery.distances(self._pairs(self.metrics(), related))), name))
 
     def candidates(self, dataset: str, column: str, scorer=None) -> DataFrame:
         """What joins with a usable column, best first."""
         if (dataset, column) not in self.usable_pairs():
             raise ValueError(f"not a usable column: {dataset}.{column}")
-        held = self.join_scores(scorer).filter((F.col("base_dataset") == dataset) & (F.col("base_column") == column))
-        return discovery.ranked(held).orderBy("rank")
+        profiles = self.metrics() if scorer is None else self.features()
+        held = discovery.pairs(profiles, bases=profiles.filter((F.col("dataset") == dataset) & (F.col("column") == column)))
+        scores = discovery.scored(discovery.distances(held)) if scorer is None else discovery.learned(scorer, discovery.all_distances(held))
+        return discovery.ranked(scores).orderBy("rank")
 
     def labelled_pairs(self) -> DataFrame:
         """Distances of parts of the usable text columns, with label 1 for parts of one column."""

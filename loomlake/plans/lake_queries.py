@@ -174,6 +174,13 @@ def lake_join_scores(spark, sf_dir):
     return lake(spark, sf_dir).join_scores().select("base_dataset", "base_column", "candidate_dataset", "candidate_column", "score")
 
 
+@query(_METRICS + """ SELECT base_dataset, base_column, candidate_dataset, candidate_column, score FROM s JOIN q a ON a.d = base_dataset AND a.c = base_column JOIN q b ON b.d = candidate_dataset AND b.c = candidate_column
+    WHERE len(list_intersect(a.w, b.w)) > 0 OR len(list_intersect(a.sx, b.sx)) > 0""")
+def lake_related_scores(spark, sf_dir):
+    """The same for columns that share a common value or a sound, found by an index of values and sounds."""
+    return lake(spark, sf_dir).join_scores(related=True).select("base_dataset", "base_column", "candidate_dataset", "candidate_column", "score")
+
+
 @query(_METRICS + """ SELECT candidate_dataset, candidate_column, score, CAST(row_number() OVER (ORDER BY score DESC, candidate_dataset, candidate_column) AS INT) AS rank FROM s WHERE base_dataset = 'orders' AND base_column = 'o_orderstatus'""")
 def lake_candidates(spark, sf_dir):
     """What joins with one column, best first."""

@@ -401,6 +401,33 @@ def test_learned_scores_and_their_bounds(spark):
     assert {f"d_{m}" for m in discovery.REGISTRY} <= set(numeric.columns)
 
 
+def test_pairs_by_blocks_and_by_the_index_of_shared_entries(spark):
+    names = lambda i: [f"v{i % 7}", f"w{i % 5}"] + (["yes"] if i % 3 == 0 else [])
+    rows = [(f"t{i % 4}", f"c{i}", "string" if i % 6 else "numeric", float(i), 0.5, names(i), [f"S{i % 11}"], "a", None) for i in range(60)]
+    rows += [("t0", "empty", "string", 0.0, 0.0, [], [], None, None), ("t1", "twice", "string", 2.0, 1.0, ["v1", "v1"], ["S1"], "v1", "v1")]
+    kinds = "dataset string, column string, main_type string, cardinality double, uniqueness double, freq_word_containment array<string>, freq_word_soundex_containment array<string>, first_word string, last_word string"
+    profiles = spark.createDataFrame(rows, kinds)
+    whole = discovery.distances(discovery.pairs(profiles))
+    expected = sorted(map(repr, whole.collect()))
+    by_cells = discovery.pairs(profiles, blocks=3)
+    assert sorted(by_cells.columns) == sorted(discovery.pairs(profiles).columns)
+    assert sorted(map(repr, discovery.distances(by_cells).collect())) == expected
+    met = sorted(map(repr, whole.filter("containment > 0 OR soundex > 0").collect()))
+    assert 0 < len(met) < len(expected)
+    for hot in (1, 4, 1_024):  # at 1 every entry is dealt in parts, at 4 the common ones
+        assert sorted(map(repr, discovery.distances(discovery.related_pairs(profiles, hot)).collect())) == met
+    one = profiles.filter("column = 'twice'")
+    assert sorted(map(repr, discovery.distances(discovery.pairs(profiles, bases=one)).collect())) == sorted(map(repr, whole.filter("base_column = 'twice'").collect()))
+    none = profiles.limit(0)
+    assert discovery.related_pairs(none).count() == 0 and discovery.pairs(none, blocks=2).count() == 0
+    scores = discovery.scored(whole)
+    best = {}
+    for r in sorted(scores.collect(), key=lambda r: (-r.score, r.candidate_column, r.base_column)):
+        best.setdefault((r.base_dataset, r.candidate_dataset), (r.base_column, r.candidate_column, r.score))
+    found = discovery.best_per_dataset(scores, 0.0, top=None).collect()
+    assert {(r.base_dataset, r.candidate_dataset): (r.base_column, r.candidate_column, r.score) for r in found} == best
+
+
 def test_files_without_quoted_line_breaks_are_split(spark, tmp_path):
     rows = [f'{i},"a ""quoted"", cell {i}",{"ü" * 40}' for i in range(4_000)]
     (tmp_path / "wide.csv").write_text("\ufeffId,Note,Long\n" + "\n".join(rows) + "\n")
