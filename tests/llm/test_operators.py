@@ -560,6 +560,54 @@ def test_lm_training_reads_all_texts_and_learns(spark):
     assert lm.training_windows(np.arange(0), 9).tolist() == [[lm.START] * lm.WINDOW + [lm.END]]
 
 
+def test_lm_pairs_of_ids_leave_the_rest_to_the_model(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    texts = [random.integers(0, 30, n) ** 2 % 50 for n in random.integers(0, 60, 200)]
+    monkeypatch.setattr(lm, "PAIRS_AT_ONCE", 300)
+    rows = [(i, bytearray(x.astype("<u2").tobytes())) for i, x in enumerate(texts)]
+    counts = lm.pair_counts(spark.createDataFrame(rows, "row long, ids binary").repartition(3))
+    expected = Counter(p for x in texts for p in zip([lm.START, *x.tolist()], [*x.tolist(), lm.END]))
+    assert {divmod(r.pair, 1 << 16): r.n for r in counts.collect()} == dict(expected)
+    some = lm.common_pairs(counts, most=60)
+    held = {divmod(int(p), 1 << 16) for p in some.pair}
+    assert 20 <= len(held) <= 60 and min(expected[p] for p in held) > max(n for p, n in expected.items() if p not in held)
+    total = Counter()
+    for (first, _), n in expected.items():
+        total[first] += n
+    logs = np.log(np.full(lm.IDS, 1 / lm.IDS))
+    for first in (lm.START, 0, 1, 49, 7_000):  # the last stands before nothing
+        mixed = some.mixed(np.full(lm.IDS, first), np.arange(lm.IDS), logs)
+        assert math.isclose(np.exp(mixed).sum(), 1, rel_tol=1e-9)
+        left = 1 - sum((expected[p] - lm.DISCOUNT) / total[first] for p in held if p[0] == first)
+        for own in (*range(50), lm.END):
+            share = (expected[first, own] - lm.DISCOUNT) / total[first] if (first, own) in held else 0
+            assert math.isclose(math.exp(mixed[own]), share + left / lm.IDS, rel_tol=1e-9)
+    none = lm.common_pairs(counts.limit(0))
+    assert (none.mixed(np.array([3]), np.array([4]), logs[:1]) == logs[:1]).all()
+    model = lm.Model(random.integers(0, lm.CLASSES, lm.IDS), seed=4)
+    size = np.bincount(model.classes, minlength=lm.CLASSES)
+    inside, text = -np.log(size[model.classes]), texts[1]
+    alone = lm.log10_scores(lm.Scorer(model), inside, [text])[0]
+    both = lm.log10_scores(lm.Scorer(model), inside, [text], following=some)[0]
+    assert alone < both < 0
+
+
+def test_lm_learns_more_from_pairs_than_from_words(spark):
+    random = np.random.default_rng(9)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part".split()
+
+    def walk(at):  # each word is one id, and has three that may follow it
+        out = []
+        for _ in range(120):
+            out.append(words[at % 20])
+            at = at * 7 + 11 + int(random.integers(0, 3))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, walk(i)) for i in range(300)], "doc_id long, text string")
+    found = lm.score_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).filter("held_out").collect()
+    assert len(found) > 20 and sum(r.score for r in found) > sum(r.base_score for r in found)
+
+
 def test_frequent_words_are_bounded(spark, monkeypatch):
     counts = spark.createDataFrame([(bytearray(b"w%d" % i), 1 + 1000 // (i + 1)) for i in range(500)] + [(bytearray(b"x" * 99), 5000)], "word binary, c long")
     monkeypatch.setattr(lm, "FREQUENT", 50)
