@@ -547,10 +547,16 @@ def test_lm_training_reads_all_texts_and_learns(spark):
     ids[1::2] = (ids[::2] * 7 + 1) % 40 + 100  # every second id follows from the one before it
     rows = [(i, bytearray(ids[20 * i : 20 * i + 20].astype("<u2").tobytes())) for i in range(300)]
     training = spark.createDataFrame(rows, "row long, ids binary").repartition(3)
-    count = lm.id_counts(training)
+    pairs = lm.pair_counts(training)
+    count = lm.id_counts(pairs)
     assert count.sum() == 6300 and count[lm.END] == 300
-    seen, before = lm.before_counts(training, count)
+    seen, before = lm.before_counts(pairs, count)
     assert before.sum() == 6300 and sorted(seen.tolist()) == np.flatnonzero(count).tolist()
+    common, expected = np.argsort(-count, kind="stable")[: lm.BEFORE].tolist(), Counter()
+    for _, x in rows:
+        x = np.frombuffer(bytes(x), "<u2").tolist()
+        expected.update((b, common.index(a) if a in common else lm.BEFORE) for a, b in zip([lm.START, *x], [*x, lm.END]))
+    assert {(int(i), k): int(n) for i, row in zip(seen, before) for k, n in enumerate(row) if n} == dict(expected)
     classes = lm.classes_of(seen, before)
     after = lm.trained(training, classes, rate=0.05)
     score = lambda m: lm.log10_scores(lm.Scorer(m), np.zeros(lm.IDS), [ids[:400]])[0]
