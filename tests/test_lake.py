@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlake.operators import compose as C
 from loomlake.operators import curate, discovery, profile
@@ -445,9 +446,31 @@ def test_files_without_quoted_line_breaks_are_split(spark, tmp_path):
 
 def test_equal_frequencies_have_no_skewness(spark):
     """Merged moments of equal frequencies can be off by a rounding, which read as a spread."""
-    from pyspark.sql import functions as F
-
     counts = spark.range(0, 90_000, 1, 7).select(F.lit("a").alias("column"), F.col("id").cast("string").alias("value"), F.lit(1).cast("long").alias("freq"))
     assert counts.agg(F.stddev_pop("freq")).first()[0] > 0
     found = profile.frequency(counts).first()
     assert (found.frequency_skewness, found.frequency_kurtosis) == (0.0, 0.0)
+
+
+def test_values_are_counted_as_stored(spark):
+    """Only distinct values become text: the cast stands above the counting, for each type of columns."""
+    df = spark.createDataFrame([(1, 2, 1.5, "a"), (1, None, 1.5, None), (3, 2, 0.0, "a"), (3, 2, -0.0, "b")], "a int, b long, c double, d string")
+    counts = profile.value_counts(df, first=True)
+    found = {(r["column"], r.value): r.freq for r in counts.collect()}
+    assert found == {("a", "1"): 2, ("a", "3"): 2, ("b", "2"): 3, ("b", None): 1, ("c", "1.5"): 2, ("c", "0.0"): 2, ("d", "a"): 2, ("d", "b"): 1, ("d", None): 1}
+    first = {r["column"]: r.sample_values for r in profile.first_values(counts).collect()}
+    assert first == {"a": ["1", "3"], "b": ["2"], "c": ["1.5", "0.0"], "d": ["a", "b"]}
+
+
+def test_repeated_rows_are_sought_only_where_there_may_be_some(spark, monkeypatch):
+    """A column of distinct values rules them out; elsewhere hashes do, and rows that only share a hash are told apart."""
+    sought, found = [], profile.duplicate_rows
+    monkeypatch.setattr(profile, "duplicate_rows", lambda df: (sought.append(df.columns), found(df))[1])
+    one = spark.range(30).select("id", F.lit("x").alias("t"), (F.col("id") % 3).alias("m"))
+    two = spark.range(30).select((F.col("id") % 2).alias("u"), (F.col("id") % 3).alias("m"))
+    own = Lake(spark, {"one": one, "two": two})
+    assert {r.dataset: r.duplicate_row_count for r in own.datasets().collect()} == {"one": 0, "two": 24}
+    assert sought == [["u", "m"]]
+    nulls = spark.createDataFrame([("a", None), (None, "a"), (None, None), (None, None)], "x string, y string")
+    assert tuple(found(nulls).first()) == (4, 1)
+    assert tuple(found(nulls.limit(0)).first()) == (0, 0)
