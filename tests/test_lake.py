@@ -474,3 +474,18 @@ def test_repeated_rows_are_sought_only_where_there_may_be_some(spark, monkeypatc
     nulls = spark.createDataFrame([("a", None), (None, "a"), (None, None), (None, None)], "x string, y string")
     assert tuple(found(nulls).first()) == (4, 1)
     assert tuple(found(nulls.limit(0)).first()) == (0, 0)
+
+
+def test_bins_come_from_one_table_of_counts(spark):
+    """Rows are read once for all that bins are decided by, and pairs with a column of some thousand values are counted by codes."""
+    df = spark.range(6_000).select((F.col("id") % 3).alias("few"), F.col("id").alias("whole"), (F.col("id") * 0.5).cast("float").alias("f"), F.exp(F.col("id") / 500).alias("heavy"), F.lit(2.5).alias("one"))
+    written = []
+    bins = curate.binned(df, keep=lambda held, name: (written.append(name), source.kept(held, name))[1])
+    assert written == ["numbers"]
+    assert [bins.select(c).distinct().count() for c in bins.columns] == [3, 10, 10, 10, 1]
+    assert {r["count"] for r in bins.groupBy("heavy").count().collect()} == {600}
+    size = {"a": (2_500, 10**8), "b": (10, 10**8)}
+    days = spark.range(5_000).select((F.col("id") % 2_500).cast("string").alias("a"), (F.col("id") % 10).cast("string").alias("b"))
+    found = curate.cells(days, [("a", "b")], profile.value_counts(days), size)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert {r.n for r in found.collect()} == {2} and found.count() == 2_500
