@@ -566,6 +566,23 @@ def test_lm_training_reads_all_texts_and_learns(spark):
     assert lm.training_windows(np.arange(0), 9).tolist() == [[lm.START] * lm.WINDOW + [lm.END]]
 
 
+def test_lm_training_has_every_token_as_a_target_once(monkeypatch):
+    seen = Counter()
+
+    def step(self, windows):
+        self.step_count += 1
+        for w in windows.tolist():
+            seen.update((i, a) for i, a in zip(w, w[1:]) if a != lm.START)
+
+    monkeypatch.setattr(lm.Adam, "step", step)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 0)
+    random = np.random.default_rng(6)
+    texts = [random.integers(0, lm.END, n) for n in (0, 1, 14, 15, 16, 17, 448, 1000, 5000)]
+    lm.train_task([(phase, x) for phase in range(20) for x in texts], lm.Model(np.zeros(lm.IDS, int)), 0.02)
+    pairs = Counter(p for x in texts for p in zip([lm.START, *x.tolist()], [*x.tolist(), lm.END]))
+    assert seen == {p: 20 * n for p, n in pairs.items()}
+
+
 def test_lm_pairs_of_ids_leave_the_rest_to_the_model(spark, monkeypatch):
     random = np.random.default_rng(8)
     texts = [random.integers(0, 30, n) ** 2 % 50 for n in random.integers(0, 60, 200)]
