@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -631,6 +633,50 @@ def test_lm_learns_more_from_pairs_than_from_words(spark):
     assert len(found) > 20 and sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_lm_words_are_coded_as_bytes_are_split():
+    odd = [chr(i) for i in (*range(9, 14), 28, 29, 30, 31, 32, 133, 160, 0x2003, 0x3000)]
+    texts = ["", " ", "A", " A\x00a ", "İSß Éa", "\n\n".join("aBcab")] + [f"Ab{x}b{x}{x}aB" for x in odd] + odd
+    words, code, n = lm.coded_words(pa.array(["x", *texts]).slice(1))
+    words = words.to_pylist()
+    assert len(set(words)) == len(words) and words[-1] == lm.END_WORD
+    expected = [[*x.encode().lower().split(), lm.END_WORD] for x in texts]
+    assert n.tolist() == list(map(len, expected)) and [words[i] for i in code] == sum(expected, [])
+
+
+def test_lm_words_are_counted_in_parts(spark, monkeypatch):
+    random = np.random.default_rng(10)
+    texts = [" ".join(f"W{i}" for i in random.zipf(1.3, n) % 500) for n in random.integers(0, 60, 200)]
+    monkeypatch.setattr(lm, "AT_ONCE", 300)
+    monkeypatch.setattr(lm, "TEXTS_AT_ONCE", 7)
+    found = lm.word_counts(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)).collect()
+    assert {bytes(r.word): r.c for r in found} == Counter(w for x in texts for w in [*x.lower().encode().split(), lm.END_WORD])
+
+
+def test_lm_pairs_are_found_faster_than_by_bisection():
+    random = np.random.default_rng(11)
+    pair = np.unique(random.integers(0, lm.IDS, 1 << 20).astype(np.uint32) << np.uint32(16) | random.integers(0, lm.IDS, 1 << 20).astype(np.uint32))
+    total = np.full(lm.IDS + 1, 1e6)
+    some = lm.Following(pair, np.arange(len(pair)) % 90 + 1.0, total)
+    before, own = random.integers(0, lm.IDS, (2, 50_000))
+    before[::2], own[::2] = (lambda x: (x >> 16, x & 0xFFFF))(random.choice(pair, 25_000))
+    logs, wanted = np.full(50_000, -3.0), before.astype(np.uint32) << np.uint32(16) | own.astype(np.uint32)
+    n = dict(zip(pair.tolist(), (np.arange(len(pair)) % 90 + 1.0).tolist()))
+    left = {f: 1 - sum(n[p] - lm.DISCOUNT for p in pair[pair >> 16 == f].tolist()) / 1e6 for f in before[:200].tolist()}
+    share = [(n[w] - lm.DISCOUNT) / 1e6 if w in n else 0 for w in wanted[:200].tolist()]
+    expected = np.log(np.array(share) + np.array([left[f] for f in before[:200].tolist()]) * np.exp(-3.0))
+    assert np.allclose(some.mixed(before, own, logs)[:200], expected, rtol=1e-12)
+
+    def seconds(f):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: some.mixed(before, own, logs)) < seconds(lambda: np.searchsorted(pair, wanted))
+
+
 def test_frequent_words_are_bounded(spark, monkeypatch):
     counts = spark.createDataFrame([(bytearray(b"w%d" % i), 1 + 1000 // (i + 1)) for i in range(500)] + [(bytearray(b"x" * 99), 5000)], "word binary, c long")
     monkeypatch.setattr(lm, "FREQUENT", 50)
