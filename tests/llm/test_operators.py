@@ -633,6 +633,25 @@ def test_lm_learns_more_from_pairs_than_from_words(spark):
     assert len(found) > 20 and sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_texts_encoded_together_have_the_ids_of_each():
+    coder = bpe.coder_of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    random = np.random.default_rng(12)
+    parts = ["a", "b", " ", " ", "'s", "x1", "é", "日本", "!", "🙂", "don't", "12", *map(chr, (*range(9, 14), 0, 28, 133, 160, 0x2003, 0x200B, 0x3000))]
+    texts = [x or "" for x in TEXTS] + ["", " a", "a ", "a b", "it's 'll", "x" * 120_000 + " y z"]
+    texts += [sep.join(parts[i] for i in random.integers(0, len(parts), n)) for sep in ("", " ") for n in random.integers(0, 14, 400)]
+    for k in (1, 9, len(texts)):
+        for i in range(0, len(texts), k):
+            found = coder.encode_all(pa.array(["q", *texts[i : i + k]]).slice(1))
+            assert [x.tolist() for x in found] == [coder.encode(x).tolist() for x in texts[i : i + k]]
+    special = bpe.Coder(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, {"a b": 60_000})
+    assert [x.tolist() for x in special.encode_all(pa.array(["a b", "c"]))] == [[60_000], special.encode("c").tolist()]
+    seen, plain = [], coder._ordinary
+    coder._ordinary = lambda x: seen.append(len(x)) or plain(x)
+    coder.encode_all(pa.array([LONG.strip()] * 50))
+    del coder._ordinary
+    assert sum(seen) < len(LONG)  # what repeats is encoded once
+
+
 def test_lm_words_are_coded_as_bytes_are_split():
     odd = [chr(i) for i in (*range(9, 14), 28, 29, 30, 31, 32, 133, 160, 0x2003, 0x3000)]
     texts = ["", " ", "A", " A\x00a ", "İSß Éa", "\n\n".join("aBcab")] + [f"Ab{x}b{x}{x}aB" for x in odd] + odd
