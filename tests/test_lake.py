@@ -319,6 +319,31 @@ def test_a_failing_scorer_leaves_the_joined_table(spark, monkeypatch):
     assert run.table(id).df.count() == {"sales": 600, "shops": 40}[id] and "failed" in run.record()
 
 
+@pytest.mark.parametrize("mode", ["every_table", "ad_hoc"])
+def test_a_failure_is_no_result(spark, monkeypatch, mode):
+    from pyspark.errors import PySparkException
+
+    from loomlake.plans import gold, lake_queries
+
+    monkeypatch.setattr(lake_queries, "lake", lambda *at: Lake(spark, planted(spark)))
+    query = lake_queries.QUERIES[f"gold_{mode}"]
+    assert {r.kind for r in query(spark, "").collect()} >= {"cluster"}
+
+    def failing(error):
+        def curate(*a, **how):
+            raise error
+
+        monkeypatch.setattr(gold, "curate", curate)
+
+    failing(ValueError("no score"))
+    with pytest.raises(gold.GoldError, match="no score"):
+        query(spark, "")
+    # a job that fails ends the run, also where a failing scorer would not
+    failing(PySparkException("out of memory"))
+    with pytest.raises(PySparkException):
+        Lake(spark, planted(spark)).gold(mode=mode)
+
+
 def test_only_changed_tables_are_profiled_again(spark, tmp_path, monkeypatch):
     from loomlake.plans import flow
 
