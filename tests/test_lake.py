@@ -514,3 +514,54 @@ def test_bins_come_from_one_table_of_counts(spark):
     found = curate.cells(days, [("a", "b")], profile.value_counts(days), size)
     assert "MapInArrow" in found._jdf.queryExecution().toString()
     assert {r.n for r in found.collect()} == {2} and found.count() == 2_500
+
+
+def test_a_composite_is_scored_from_its_faces(spark, tmp_path):
+    """The scores, drops and null shares are those of the joined rows, which are neither written nor counted: only the root's
+    columns are, and what is a function of one of them is looked up by its values."""
+    from dataclasses import replace
+
+    from loomlake.plans import gold
+
+    pick = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    shops = spark.range(60).select(F.concat(F.lit("s"), F.col("id") % 30).alias("k"), pick(1, 4).cast("string").alias("city"), (F.col("id") % 5 * 1.5).alias("x"), F.concat(F.lit("z"), pick(1, 4)).alias("zip"), F.when(F.col("id") < 2, "r").alias("rare"))
+    cities = spark.range(8).select((F.col("id") % 6).cast("string").alias("c"), (F.col("id") * 7).alias("size"), F.concat(F.lit("n"), F.col("id") % 2).alias("land"))
+    sales = spark.range(3_000).select(
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("s"), F.col("id") % 40)).alias("shop"), F.when(F.col("id") % 7 > 0, F.col("id") % 6).cast("string").alias("place"), F.exp(F.col("id") % 900 / 90).alias("heavy"),
+        (F.col("id") % 6).alias("few"), (pick(5, 100) / 7).cast("float").alias("f"), pick(6, 500).alias("n"), F.lit("a").alias("one"), F.col("id").alias("id"),
+    )
+    tables, keep = {"sales": sales, "shops": shops, "cities": cities}, lambda df, name: source.kept(df, name)
+    shelf = gold.Shelf(tables, keep)
+    chained = C.attach(C.base("sales", sales), C.Candidate("shops", shops, "k", "shop"), looked=shelf.looked("shops", "k"))
+    chained = C.merge(chained, "city", C.base("cities", cities), "c", hold=lambda df: keep(df, "looked"))
+    star = C.attach(C.attach(C.base("sales", sales), C.Candidate("shops", shops, "k", "shop"), looked=shelf.looked("shops", "k")), C.Candidate("cities", cities, "c", "place"))
+    usable = {(d, c) for d, df in tables.items() for c in df.columns}
+    for made in (chained, star, C.base("sales", sales)):
+        held = shelf.faces(made)
+        assert len(held.parts) == 1 + len({made.determinants()[x.on] for x in made.lookups})
+        assert curate.redundant_groups(made, usable, faces=held) == curate.redundant_groups(made, usable)
+        assert curate.mostly_null(made.df, faces=held) == curate.mostly_null(made.df)
+        lean = replace(made, df=made.df.drop("one"))
+        one, _, groups = curate.curate(lean, keep=keep, faces=held)
+        two, _, same = curate.curate(lean)
+        scores = [{(r.column_1, r.column_2): round(r.soundness, 4) for r in x.collect()} for x in (one, two)]
+        assert scores[0] == scores[1] and len(scores[0]) > 10 and max(scores[0].values()) > 4
+        assert {k: v.columns for k, v in groups.items()} == {k: v.columns for k, v in same.items()}
+    scan = curate._cells_of(shelf.faces(star), sorted(star.df.columns), ["few", "heavy", "city", "land", "size"], dict.fromkeys(star.df.columns, (5, 3_000)), keep)
+    assert scan.select("pair").distinct().count() == 10
+    # whether rows meet is told by the values of the two columns
+    rate = C.match_rate(C.merge(C.base("sales", sales), "shop", C.base("shops", shops), "k"), ["k"]).first()[0]
+    assert 0 < rate < 1 and abs(shelf.match(C.base("sales", sales), "shop", C.base("shops", shops), "k") - rate) < 1e-12
+    assert shelf.match(C.base("sales", sales.limit(0)), "shop", C.base("shops", shops), "k") == rate  # the shelf's table of that name
+
+
+def test_no_composite_is_written(spark, monkeypatch):
+    """Steps that wrote or recounted the joined rows, which took most of a run's time."""
+    written = {}
+    kept = source.kept
+    monkeypatch.setattr(source, "kept", lambda df, name: (out := kept(df, name), written.setdefault(name, []).append(out.count()))[0])
+    for mode in ("every_table", "ad_hoc"):
+        own = Lake(spark, planted(spark))
+        assert own.gold(mode=mode).tables
+        # the larger table has 600 rows, and its columns 40, 3, 3 and 6 values
+        assert not {n for n in written if n in ("binned", "composite") or n.startswith("joined-")} and max(written["face"]) <= 40
